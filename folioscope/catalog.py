@@ -1,0 +1,4 @@
+"""Queries by name and their SQL equivalents."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}

@@ -1,6 +1,22 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from folioscope.llm import chat, mixing
+from functools import wraps
 
-QUERIES = {"op1_mix": mixing.op1_mix, "op2_chat": chat.op2_chat}
+from folioscope.llm import chat, line_dedup, mixing, quality, substring_dedup, suffix_dedup
+from folioscope.ship import ship
+
+
+def _shipped(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {
+    f.__name__: _shipped(f)
+    for f in (mixing.op1_mix, chat.op2_chat, substring_dedup.op5_substring, suffix_dedup.op8_suffix, quality.op9_quality, line_dedup.op10_lines)
+}
 ORACLES = mixing.ORACLE | chat.ORACLE

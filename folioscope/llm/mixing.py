@@ -11,7 +11,7 @@ from folioscope.llm._common import WORD, table
 #: code-point order, repeating.  Their areas are 5, 2 and 1: the first starts strong, the third is phased in.
 CURRICULUM = (((0.0, 7.5), (1.0, 2.5)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)))
 #: Documents of one source that one ordering task takes at most, on average.
-BIN_ROWS = 20_000
+BIN_ROWS = 4_000
 
 
 def _segments(knots):

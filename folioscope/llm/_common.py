@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: The id that stands for a null one inside the operators: it sorts after all others.
 NO_ID = (1 << 63) - 1
-#: A table is broadcast only if the files that hold it are no larger than this; else the join shuffles.
-BROADCAST_BYTES = 12 << 20
 #: What separates words: ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,26 +37,37 @@ def _fs(spark: SparkSession, path: str):
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the scratch folder and read it back: later steps start from files, not from df's lineage."""
+    """Write df to the scratch folder and read it back: later steps start from files, not from df's lineage.
+
+    The shuffle files that df needed are let go at once.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out._folioscope_path = path
     return out
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """Bytes of the files of a frame that ``table`` returned."""
+def drop(df: DataFrame) -> None:
+    """Delete the files of a frame that ``table`` returned; nothing may read it any more."""
     fs, where = _fs(df.sparkSession, df._folioscope_path)
-    return fs.getContentSummary(where).getLength()
+    fs.delete(where, True)
 
 
-def checked(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, with a broadcast hint if its files (see ``table``) are within the limit; else a join with it shuffles."""
-    return F.broadcast(df) if stored_bytes(df) <= limit else df
+def checked(df: DataFrame) -> DataFrame:
+    """df, a frame that ``table`` returned, with a broadcast hint if its files are within Spark's own broadcast limit.
+
+    Beyond ``spark.sql.autoBroadcastJoinThreshold`` a join with it shuffles.
+    """
+    spark = df.sparkSession
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    fs, where = _fs(spark, df._folioscope_path)
+    return F.broadcast(df) if fs.getContentSummary(where).getLength() <= limit else df
 
 
 @atexit.register
@@ -72,6 +82,11 @@ def clear() -> None:
             pass
 
 
+def beside(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the corpus: it is shuffled and merged at every size, never broadcast."""
+    return df.hint("merge")
+
+
 def lower_ascii(c: Column) -> Column:
     """c with A-Z, and nothing else, in lower case.  ``lower`` does that for texts of ASCII characters only."""
     slow = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -103,7 +118,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        e = table(nxt.distinct(), "edges")
+        old, e = e, table(nxt.distinct(), "edges")
+        drop(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

@@ -2,7 +2,18 @@
 
 from functools import wraps
 
-from folioscope.llm import chat, line_dedup, mixing, quality, substring_dedup, suffix_dedup
+from folioscope.llm import (
+    chat,
+    decontamination,
+    embedding_dedup,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+)
 from folioscope.ship import ship
 
 
@@ -17,6 +28,17 @@ def _shipped(query):
 
 QUERIES = {
     f.__name__: _shipped(f)
-    for f in (mixing.op1_mix, chat.op2_chat, substring_dedup.op5_substring, suffix_dedup.op8_suffix, quality.op9_quality, line_dedup.op10_lines)
+    for f in (
+        mixing.op1_mix,
+        chat.op2_chat,
+        embedding_dedup.op3_embedding,
+        lm_scoring.op4_lm,
+        substring_dedup.op5_substring,
+        decontamination.op6_decontaminate,
+        near_dedup.op7_near,
+        suffix_dedup.op8_suffix,
+        quality.op9_quality,
+        line_dedup.op10_lines,
+    )
 }
-ORACLES = mixing.ORACLE | chat.ORACLE
+ORACLES = mixing.ORACLE | chat.ORACLE | decontamination.ORACLE | embedding_dedup.ORACLE

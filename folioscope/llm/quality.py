@@ -139,6 +139,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", p.alias("score")).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are predicted to be good."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good, bad = model.compressors()
+        at = names.index(text_col)
+        for batch in batches:
+            d = [difference(t or b"", good, bad) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array([x * model.slope + model.bias >= 0 for x in d], pa.bool_()))
+
+    names = docs.columns
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 3; a null id counts as the text of nothing."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3

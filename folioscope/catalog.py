@@ -1,4 +1,447 @@
-"""Queries by name and their SQL equivalents."""
+"""Queries by name over the driver's tables, and their SQL equivalents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folioscope.functions import text as T
+from folioscope.operators import align, context, dataset, extract, features, headings, labeler, levels, locate, merge, routing, scoring, toc
+from folioscope.plans import outline
+from folioscope.ship import ship
+from folioscope.sources import views as V
+from folioscope.streaming import admission
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        def run(spark, sf_dir):
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return run
+
+    return add
+
+
+_WORDS = r"len(regexp_extract_all({0}, '[^\s]+'))"
+_BODY = """bw AS (SELECT doc_id, size AS s, sum(length(text)) AS weight, min(line_no) AS met FROM {0} GROUP BY ALL),
+bo AS (SELECT doc_id, s AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, met) AS r FROM bw) WHERE r = 1)"""
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_LABEL = r"(\d+(?:\.\d+)+\.?|\d+\.|\d{1,2}|[A-Za-z](?:\.\d+)+\.?|[IVXLivxl]{2,5}\.|[A-Za-z]\.)\s+"
+_WORDLABEL = r"^(chapter|appendix|part|section|annex)\s+(\d+|[ivxl]+|[a-z])\b[.:]?\s+"
+
+
+def _strip_labels(c: str) -> str:
+    s = _STRIP.format(c)
+    w = f"regexp_replace({s}, '{_WORDLABEL}', '', 'i')"
+    s2 = f"(CASE WHEN trim({w}) <> '' THEN {w} ELSE {s} END)"
+    r = f"regexp_replace({s2}, '^{_LABEL}', '')"
+    return f"(CASE WHEN trim({r}) <> '' THEN {r} ELSE {s2} END)"
+
+
+def _squeeze(c: str) -> str:
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+def _title_key(c: str) -> str:
+    return rf"regexp_replace(lower(regexp_replace({_STRIP.format(c)}, '^\.+|\.+$', '', 'g')), '\s+', ' ', 'g')"
+
+
+def _merge_key(c: str) -> str:
+    return _squeeze(rf"regexp_replace(lower({_strip_labels(c)}), '[^\p{{L}}\p{{N}}\s]', '', 'g')")
+
+
+def _match_key(c: str) -> str:
+    return _squeeze(rf"regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_\s]', '', 'g')")
+
+
+@query(f"WITH {V.DOC_LINES}, {_BODY.format('dl')} SELECT * FROM bo")
+def body_size_mode(spark, sf_dir):
+    return headings.body_size(V.doc_lines(spark, sf_dir))
+
+
+_HEADINGS = rf"""WITH {V.HTML_LINES}, {_BODY.format('hl')},
+c0 AS (SELECT hl.*, body, {_STRIP.format('text')} AS s FROM hl JOIN bo USING (doc_id)),
+c1 AS (SELECT *, regexp_matches(s, '(?i)^(chapter|part|appendix)\s+([0-9ivxlc]+)\b') OR regexp_matches(s, '^\d+(?:\.\d+)*[.\s]\s*\S') AS marked FROM c0
+  WHERE {_WORDS.format('text')} <= 12 AND s <> '' AND NOT regexp_matches(s, '^\d+$')),
+c2 AS (SELECT * FROM c1 WHERE size >= body * 1.15 OR (bold AND marked)),
+c3 AS (SELECT *, CASE WHEN lag(page) OVER w = page AND lag(size) OVER w = size AND lag(bold) OVER w = bold AND y - lag(y) OVER w <= 1.5 * lag(size) OVER w AND NOT marked THEN 0 ELSE 1 END AS new
+  FROM c2 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+c4 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM c3),
+c5 AS (SELECT doc_id, g, string_agg(s, ' ' ORDER BY line_no) AS title, arg_min(page, line_no) AS page, arg_min(y, line_no) AS y, arg_min(size, line_no) AS tier FROM c4 GROUP BY doc_id, g),
+he AS (SELECT doc_id, g::INT AS pos, title, coalesce(CASE WHEN regexp_extract(title, '^(\d+(?:\.\d+)*)[.\s]\s*', 1) <> '' THEN len(string_split(regexp_extract(title, '^(\d+(?:\.\d+)*)[.\s]\s*', 1), '.')) END,
+  CASE WHEN regexp_matches(title, '(?i)^(chapter|part|appendix)\s+([0-9ivxlc]+)\b') THEN 1 END, dense_rank() OVER (PARTITION BY doc_id ORDER BY tier DESC))::INT AS level, page, y FROM c5)"""
+_SANITIZED = """sa AS (SELECT doc_id, pos, title, (rn + least(0, min(greatest(level, 1) - rn) OVER (PARTITION BY doc_id ORDER BY pos)))::INT AS level, page, y
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM {0} WHERE page IS NOT NULL))"""
+
+
+@query(f"{_HEADINGS}, {_SANITIZED.format('he')} SELECT * FROM sa")
+def heading_outline(spark, sf_dir):
+    """Flagship: outlines of web pages from their layout."""
+    return levels.sanitize_levels(headings.detect_headings(V.html_lines(spark, sf_dir)))
+
+
+_TOC = rf"""WITH {V.TOC_LINES},
+tp AS (SELECT doc_id, page, bool_or(regexp_matches(text, '(?i)^(table of )?contents$')) AS headed, count_if(regexp_matches(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})$')) AS n FROM tl GROUP BY ALL),
+tq AS (SELECT *, (headed AND n >= 3) OR n >= 8 AS strict FROM tp JOIN (SELECT doc_id, max(page) + 1 AS pc FROM tl GROUP BY 1) USING (doc_id) WHERE page < greatest(30, floor(pc * 0.15))),
+ts AS (SELECT * FROM (SELECT *, min(CASE WHEN strict THEN page END) OVER (PARTITION BY doc_id) AS start FROM tq) WHERE page >= start),
+tu AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page) AS bad FROM
+  (SELECT *, strict OR (n >= 3 AND coalesce(lag(page) OVER (PARTITION BY doc_id ORDER BY page) = page - 1, false)) AS ok FROM ts)),
+pg AS (SELECT doc_id, page FROM tu WHERE bad = 0)"""
+
+
+@query(f"{_TOC} SELECT * FROM pg")
+def toc_run_pages(spark, sf_dir):
+    return toc.contents_pages(V.toc_lines(spark, sf_dir))
+
+
+@query(rf"""{_TOC},
+ro AS (SELECT tl.doc_id, line_no AS pos, regexp_replace(regexp_extract(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})$', 1), '^[ .]+|[ .]+$', '', 'g') AS title,
+  regexp_extract(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})$', 2)::INT AS printed_page FROM tl JOIN pg USING (doc_id, page) WHERE regexp_matches(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})$'))
+SELECT *, len(string_split(regexp_extract(title, '^(\d+(?:\.\d+)*)[.\s]\s*', 1), '.'))::INT AS level FROM ro""")
+def toc_parse_numbered(spark, sf_dir):
+    return toc.parse_contents(V.toc_lines(spark, sf_dir))
+
+
+@query()
+def toc_indent_tiers(spark, sf_dir):
+    """Contents rows without their numbers: levels come from indentation alone."""
+    lines = V.toc_lines(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"^\d+(\.\d+)? ", ""))
+    return toc.parse_contents(lines)
+
+
+@query(rf"""WITH t AS (SELECT doc_id, (doc_id % 7) || '.' || (doc_id % 3 + 1) || '  ' || replace(split_part(text, chr(10), 1), 'the', 'the_') || ' .' AS title FROM documents)
+SELECT doc_id, {_title_key('title')} AS key1, {_match_key('title')} AS key2, {_match_key(_strip_labels('title'))} AS key3, {_merge_key('title')} AS key4,
+  {_squeeze(r"regexp_replace(lower(title), '\d+', '#', 'g')")} AS key5, regexp_extract({_STRIP.format('title')}, '^{_LABEL}', 1) AS label, 2 AS depth FROM t""")
+def title_keys(spark, sf_dir):
+    first = F.replace(F.substring_index("text", "\n", 1), F.lit("the"), F.lit("the_"))
+    t = F.concat((F.col("doc_id") % 7).cast("string"), F.lit("."), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("  "), first, F.lit(" ."))
+    d = V.read(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    t = F.col("t")
+    return d.select(
+        "doc_id", T.title_key(t).alias("key1"), T.match_key(t).alias("key2"), T.bare_key(t).alias("key3"), T.merge_key(t).alias("key4"),
+        T.model_text(t).alias("key5"), T.section_label(t).alias("label"), T.label_depth(t).alias("depth"),
+    )
+
+
+@query(f"WITH {V.DOC_LINES}, {V.GOLD}, {_SANITIZED.format('go')} SELECT doc_id, pos, level FROM sa")
+def sanitize_levels(spark, sf_dir):
+    return levels.sanitize_levels(V.gold(spark, sf_dir)).select("doc_id", "pos", "level")
+
+
+@query(f"""WITH {V.DOC_LINES}, {V.GOLD}, {_SANITIZED.format('go')}
+SELECT doc_id, pos, level, title, page + 1 AS page, y, repeat('  ', level - 1) || title || '  (page ' || (page + 1) || ')' AS printed FROM sa""")
+def outline_write(spark, sf_dir):
+    return levels.outline_rows(V.gold(spark, sf_dir))
+
+
+def _scores(which: int) -> str:
+    k = _title_key("title")
+    rn = "row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS rn"
+    return f"""g{which} AS (SELECT *, {rn} FROM (SELECT *, {k} AS k FROM go)), q{which} AS (SELECT *, {rn} FROM (SELECT *, {k} AS k FROM p{which})),
+m{which} AS (SELECT g.doc_id, count(*) AS m, count_if(g.level = q.level) AS lv, count(g.printed_page) AS pg, count_if(g.printed_page = q.printed_page) AS pk FROM g{which} g JOIN q{which} q USING (doc_id, k, rn) GROUP BY 1),
+n{which} AS (SELECT * FROM (SELECT doc_id, count(*) AS ng FROM go GROUP BY 1) JOIN (SELECT doc_id, count(*) AS np FROM p{which} GROUP BY 1) USING (doc_id)),
+s{which} AS (SELECT doc_id, coalesce(m, 0) / np AS "precision", coalesce(m, 0) / ng AS recall,
+  CASE WHEN coalesce(m, 0) > 0 THEN 2 * (m / np) * (m / ng) / (m / np + m / ng) ELSE 0 END AS f1, lv / nullif(m, 0) AS level_accuracy, pk / nullif(pg, 0) AS page_accuracy FROM n{which} LEFT JOIN m{which} USING (doc_id))"""
+
+
+_S0 = f"WITH {V.DOC_LINES}, {V.GOLD}, {V.predicted_sql(0)}, {_scores(0)}"
+_S1 = f"{_S0}, {V.predicted_sql(1)}, {_scores(1)}"
+
+
+def _scored(spark, sf_dir, which):
+    return scoring.score_outlines(V.gold(spark, sf_dir), V.predicted(spark, sf_dir, which))
+
+
+@query(f"{_S0} SELECT * FROM s0")
+def greedy_match_score(spark, sf_dir):
+    return _scored(spark, sf_dir, 0)
+
+
+@query(f"""{_S0} SELECT count(f1) AS documents, count_if(f1 IS NULL) AS skipped, round(avg("precision"), 9) AS "precision", round(avg(recall), 9) AS recall, round(avg(f1), 9) AS f1,
+  round(avg(level_accuracy), 9) AS level_accuracy, round(avg(page_accuracy), 9) AS page_accuracy FROM (SELECT DISTINCT doc_id FROM go) LEFT JOIN s0 USING (doc_id)""")
+def macro_eval(spark, sf_dir):
+    out = scoring.macro_average(V.gold(spark, sf_dir), _scored(spark, sf_dir, 0))
+    return out.select("documents", "skipped", *(F.round(m, 9).alias(m) for m in scoring.METRICS))
+
+
+@query(f"""{_S1}, j AS (SELECT * FROM (SELECT doc_id, unnest(['precision', 'recall', 'f1', 'level_accuracy', 'page_accuracy']) AS metric, unnest(["precision", recall, f1, level_accuracy, page_accuracy]) AS b FROM s0)
+  JOIN (SELECT doc_id, unnest(['precision', 'recall', 'f1', 'level_accuracy', 'page_accuracy']) AS metric, unnest(["precision", recall, f1, level_accuracy, page_accuracy]) AS c FROM s1) USING (doc_id, metric) WHERE b IS NOT NULL AND c IS NOT NULL)
+SELECT metric, count(*) AS documents, round(avg(b), 9) AS baseline, round(avg(c), 9) AS candidate, round(avg(c - b), 9) AS mean, count_if(c - b > 1e-12) AS wins, count_if(c - b < -1e-12) AS losses, count_if(abs(c - b) <= 1e-12) AS ties FROM j GROUP BY 1""")
+def paired_compare(spark, sf_dir):
+    out = scoring.compare(scoring.paired(_scored(spark, sf_dir, 0), _scored(spark, sf_dir, 1)))
+    return out.withColumns({c: F.round(c, 9) for c in ("baseline", "candidate", "mean")})
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    return scoring.bootstrap(scoring.paired(_scored(spark, sf_dir, 0), _scored(spark, sf_dir, 1)), resamples=1000)
+
+
+_MERGED = f"""WITH {V.DOC_LINES}, {V.GOLD}, {V.predicted_sql(0)}, {V.predicted_sql(1)}, a AS (SELECT *, {_merge_key('title')} AS k FROM p0), b AS (SELECT *, {_merge_key('title')} AS k FROM p1)"""
+
+
+@query(f"""{_MERGED}, h AS (SELECT doc_id, k, count(*) AS have FROM a GROUP BY ALL),
+u AS (SELECT doc_id, pos, title, level, page, y, 0 AS side FROM a UNION ALL SELECT doc_id, pos, title, level, page, y, 1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS rn FROM b) LEFT JOIN h USING (doc_id, k) WHERE rn > coalesce(have, 0))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page NULLS LAST, y NULLS LAST, side, pos) AS rank, title, level, page, y, side FROM u""")
+def bag_merge(spark, sf_dir):
+    return merge.merge_outlines(V.predicted(spark, sf_dir, 0), V.predicted(spark, sf_dir, 1))
+
+
+@query(f"""{_MERGED}, t AS (SELECT doc_id, k, max(l) AS l, max(r) AS r FROM (SELECT doc_id, k, 1 AS l, 0 AS r FROM a UNION ALL SELECT doc_id, k, 0, 1 FROM b) GROUP BY ALL)
+SELECT count(*) AS titles, sum(l * r)::BIGINT AS shared, sum(l * (1 - r))::BIGINT AS only_a, sum((1 - l) * r)::BIGINT AS only_b FROM t""")
+def agreement(spark, sf_dir):
+    return merge.agreement(V.predicted(spark, sf_dir, 0), V.predicted(spark, sf_dir, 1))
+
+
+@query(rf"""WITH {V.DOC_LINES}, {V.GOLD}, l AS (SELECT doc_id, line_no, text, page, y, {_match_key('text')} AS k, {_match_key(_strip_labels('text'))} AS b FROM dl),
+e AS (SELECT doc_id, pos, title, level, {_match_key('title')} AS k, {_match_key(_strip_labels('title'))} AS b FROM go),
+c AS (SELECT e.doc_id, e.pos, e.title, e.level, l.page, l.y, l.line_no, l.text, e.b = l.b AS same FROM e JOIN l ON e.doc_id = l.doc_id AND (
+  (e.k <> '' AND l.k <> '' AND (e.k = l.k OR (length(e.k) >= 8 AND starts_with(l.k, e.k)) OR (length(l.k) >= 8 AND starts_with(e.k, l.k))))
+  OR ((e.k <> e.b OR l.k <> l.b) AND e.b <> '' AND l.b <> '' AND (e.b = l.b OR (length(e.b) >= 8 AND starts_with(l.b, e.b)) OR (length(l.b) >= 8 AND starts_with(e.b, l.b))))))
+SELECT doc_id, pos, CASE WHEN same THEN {_STRIP.format('text')} ELSE title END AS title, level, page, y FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY page, line_no) AS r FROM c) WHERE r = 1""")
+def locate_unhinted(spark, sf_dir):
+    return locate.locate_unhinted(V.gold(spark, sf_dir), V.doc_lines(spark, sf_dir))
+
+
+@query()
+def locate_hinted(spark, sf_dir):
+    return locate.locate_hinted(V.gold(spark, sf_dir), V.doc_lines(spark, sf_dir))
+
+
+def _bookmarks(spark, sf_dir):
+    return V.gold(spark, sf_dir).where("pos % 3 <> 1").select("doc_id", "pos", "level", "title", (F.col("page") + 1 + F.col("pos") % 3).alias("page"))
+
+
+@query()
+def band_align(spark, sf_dir):
+    return align.align_labels(V.doc_lines(spark, sf_dir), _bookmarks(spark, sf_dir))
+
+
+@query(rf"""WITH {V.DOC_LINES}, {V.GOLD}, u AS (SELECT DISTINCT doc_id, {_merge_key('title')} AS t FROM go WHERE pos % 3 = 1),
+l AS (SELECT doc_id, line_no, {_merge_key('text')} AS k FROM dl WHERE pos_mod <> 0 AND page <> 0 AND NOT regexp_matches({_STRIP.format('text')}, '^(.+?)[\s.]{{2,}}(\d{{1,4}})$'))
+SELECT DISTINCT l.doc_id, l.line_no FROM l JOIN u ON l.doc_id = u.doc_id AND k <> '' AND t <> '' AND (k = t OR (length(t) >= 8 AND starts_with(k, t)) OR (length(k) >= 8 AND starts_with(t, k)))""".replace("pos_mod", "line_no % 3"))
+def mask_semi(spark, sf_dir):
+    lines = V.doc_lines(spark, sf_dir)
+    labels = lines.where("line_no % 3 = 0").select("doc_id", "line_no")
+    return align.masked_lines(lines, labels, V.gold(spark, sf_dir).where("pos % 3 = 1"), lines.where("page = 0").select("doc_id", "page").distinct())
+
+
+@query()
+def printed_page_align(spark, sf_dir):
+    gold = V.gold(spark, sf_dir).where("pos < 12")
+    rows = V.predicted(spark, sf_dir, 0).where("pos < 12").withColumn("printed_page", F.col("pos") + 1)
+    return align.align_printed_pages(gold, rows)
+
+
+_LF = f"""WITH {V.DOC_LINES}, {_BODY.format('dl')},
+lf AS (SELECT doc_id, line_no, text, page, bold, x, y, size, round_even(size / body, 4) AS size_ratio, CASE WHEN lag(page) OVER w = page THEN y - lag(y) OVER w ELSE 0 END AS gap_above, {_WORDS.format('text')} AS words
+  FROM dl JOIN bo USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))"""
+
+
+@query(f"{_LF} SELECT * EXCLUDE (text), text FROM lf")
+def line_features(spark, sf_dir):
+    return features.line_features(V.doc_lines(spark, sf_dir))
+
+
+@query(rf"""{_LF}, w AS (SELECT *, size AS s, max(page) OVER (PARTITION BY doc_id) + 1 AS pages, lead(page) OVER o = page AS nx, lag(page) OVER o = page AS pv,
+  lead(size) OVER o AS nsize, lag(size) OVER o AS psize, lead(gap_above) OVER o AS ngap, lead(bold) OVER o AS nbold, lag(bold) OVER o AS pbold, lead(x) OVER o AS nx_x, lead(size_ratio) OVER o AS nratio,
+  quantile_cont(size, 0.5) OVER f AS med, avg(CASE WHEN bold THEN 1.0 ELSE 0.0 END) OVER f AS wb
+  FROM lf WINDOW o AS (PARTITION BY doc_id ORDER BY line_no), f AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))
+SELECT doc_id, line_no, round(size_vs, 9) AS size_vs_next, round(s / CASE WHEN pv THEN psize ELSE s END, 9) AS size_vs_prev, round(s / med, 9) AS size_vs_window, round(CASE WHEN nx THEN ngap ELSE 0 END / s, 9) AS gap_below,
+  round(gap_above / greatest(CASE WHEN nx AND ngap > 0.01 THEN ngap ELSE 0.01 END, 0.01), 9) AS gap_ratio, (CASE WHEN nx THEN nbold ELSE bold END)::INT::DOUBLE AS next_bold, (CASE WHEN pv THEN pbold ELSE bold END)::INT::DOUBLE AS prev_bold,
+  x - CASE WHEN nx THEN nx_x ELSE x END AS x_minus_next, CASE WHEN nx THEN nratio ELSE size_ratio END AS next_size_ratio, round(wb, 9) AS window_bold_frac, round(page / pages, 9) AS page_frac, round(y / 792.0, 9) AS y_frac,
+  round(gap_above / s, 9) AS gap_ems, length({_STRIP.format('text')})::DOUBLE AS chars FROM (SELECT *, s / CASE WHEN nx THEN nsize ELSE s END AS size_vs FROM w)""")
+def window_features(spark, sf_dir):
+    f = features.feature_columns(features.line_features(V.doc_lines(spark, sf_dir)))
+    exact = ["next_bold", "prev_bold", "x_minus_next", "next_size_ratio", "chars"]
+    near = ["size_vs_next", "size_vs_prev", "size_vs_window", "gap_below", "gap_ratio", "window_bold_frac", "page_frac", "y_frac", "gap_ems"]
+    return f.select("doc_id", "line_no", *exact, *(F.round(c, 9).alias(c) for c in near))
+
+
+@query(f"""WITH {V.DOC_LINES}, {_BODY.format('dl')}, c AS (SELECT dl.*, body, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn FROM dl JOIN bo USING (doc_id) WHERE size >= body * 1.1 OR bold),
+t AS (SELECT doc_id, string_agg('physical_page=' || page || ' size=' || format('{{:.1f}}', size) || ' bold=' || CASE WHEN bold THEN 'True' ELSE 'False' END || ' text=' || text, chr(10) ORDER BY line_no) AS c FROM c WHERE rn <= 400 GROUP BY 1)
+SELECT doc_id, 'Candidate heading lines (body text size ' || format('{{:.1f}}', coalesce(b, 0.0)) || '; physical_page is 0-based, not a printed page number):' || chr(10) || coalesce(c, '') AS context
+FROM (SELECT DISTINCT doc_id FROM dl) LEFT JOIN t USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id, body AS b FROM c) USING (doc_id)""")
+def context_cap(spark, sf_dir):
+    lines = V.doc_lines(spark, sf_dir)
+    return context.llm_context(lines, lines.where("false").select("doc_id", "page"))
+
+
+_STATS = f"""{V.GOLD}, st AS (SELECT doc_id, count(*) AS n_entries, max(page) + 1 AS page_count, count(DISTINCT level) AS n_levels FROM go GROUP BY 1)"""
+
+
+def _stats(spark, sf_dir):
+    return V.gold(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_entries"), (F.max("page") + 1).alias("page_count"), F.count_distinct("level").alias("n_levels"))
+
+
+@query(f"""WITH {V.DOC_LINES}, {_STATS} SELECT doc_id, n_entries, page_count, n_entries / page_count AS density FROM (SELECT *, row_number() OVER (ORDER BY n_entries / page_count, doc_id) AS rn FROM st)
+WHERE rn <= (SELECT round_even(count(*) * 0.3, 0) FROM st)""")
+def route_budget(spark, sf_dir):
+    return routing.route(_stats(spark, sf_dir).drop("n_levels"), 0.3)
+
+
+@query(f"""WITH {V.DOC_LINES}, {_STATS}, ju AS (SELECT doc_id, bool_or(coalesce(up > 1, false)) AS jump FROM (SELECT doc_id, lead(level) OVER (PARTITION BY doc_id ORDER BY pos) - level AS up FROM go) GROUP BY 1),
+x AS (SELECT st.*, jump, doc_id % 4 AS failures, doc_id % 2 = 0 AS used_toc, doc_id % 5 = 0 AS used_labeler, CASE doc_id % 6 WHEN 0 THEN 'never' WHEN 1 THEN 'always' ELSE 'auto' END AS mode, doc_id % 3 = 0 AS has_key, doc_id % 7 <> 0 AS needs FROM st JOIN ju USING (doc_id)),
+y AS (SELECT *, n_entries = 0 OR n_entries / greatest(page_count, 1) <= 0.5 AS sparse, n_entries = 0 OR (used_toc AND n_entries < 3) OR failures / n_entries > 0.2 OR (NOT used_toc AND jump) OR (page_count >= 300 AND n_levels = 1) AS low FROM x),
+z AS (SELECT *, CASE WHEN used_labeler THEN sparse ELSE low END AS need FROM y)
+SELECT doc_id, CASE mode WHEN 'never' THEN false WHEN 'always' THEN true ELSE need AND (has_key OR NOT needs) END AS run,
+  CASE WHEN mode = 'auto' AND need AND NOT has_key AND needs THEN 'outline confidence is low but no key is set; continuing without LLM' END AS warning FROM z""")
+def route_decision(spark, sf_dir):
+    i = F.col("doc_id")
+    x = _stats(spark, sf_dir).join(levels.has_level_jump(V.gold(spark, sf_dir)), "doc_id")
+    mode = F.when(i % 6 == 0, "never").when(i % 6 == 1, "always").otherwise("auto")
+    sparse = routing.is_sparse(F.col("n_entries"), F.col("page_count"))
+    low = routing.is_low_confidence(F.col("n_entries"), i % 4, i % 2 == 0, F.col("jump"), F.col("page_count"), F.col("n_levels"))
+    return x.select("doc_id", routing.decide(mode, i % 5 == 0, sparse, low, i % 3 == 0, i % 7 != 0).alias("d")).select("doc_id", "d.run", "d.warning")
+
+
+_SPLIT = f"""WITH {V.RECORDS}, fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha256, context_kind ORDER BY ord) AS rn FROM rec) WHERE rn = 1),
+sp AS (SELECT *, CASE WHEN b < 0.8 * 1000 THEN 'train' WHEN b < 799.9999999999999 + 0.1 * 1000 THEN 'val' ELSE 'test' END AS split FROM (SELECT *, ('0x' || substr(sha256, 1, 8))::BIGINT % 1000 AS b FROM fi)),
+ke AS (SELECT * FROM sp WHERE NOT (context_kind = 'headings-synthetic' OR silver) OR split = 'train')"""
+
+
+@query(f"{_SPLIT} SELECT ord, sha256, context_kind, split FROM ke")
+def dataset_split(spark, sf_dir):
+    return dataset.split_records(V.records(spark, sf_dir)).select("ord", "sha256", "context_kind", "split")
+
+
+@query(f"""{_SPLIT} SELECT split, count(*) AS n FROM ke GROUP BY 1 UNION ALL SELECT 'duplicate', (SELECT count(*) FROM rec) - (SELECT count(*) FROM fi)
+UNION ALL SELECT 'train-only', (SELECT count(*) FROM fi) - (SELECT count(*) FROM ke)""")
+def split_counts(spark, sf_dir):
+    return dataset.split_counts(V.records(spark, sf_dir))
+
+
+@query(f"""WITH {V.RECORDS} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN ord % 29 = 0 THEN 'unreadable' WHEN ord % 23 = 0 THEN 'encrypted' WHEN n_entries = 0 THEN 'no-embedded-outline' WHEN page_count < 4 THEN 'too-short'
+  WHEN ord % 17 = 0 THEN 'no-text-layer' WHEN (ord % 10) / 10.0 < 0.6 THEN 'poor-alignment' END AS reason FROM rec) WHERE reason IS NOT NULL GROUP BY 1""")
+def skip_reasons(spark, sf_dir):
+    i = F.col("ord")
+    r = {
+        "unreadable": i % 29 == 0, "encrypted": i % 23 == 0, "has_outline": F.col("n_entries") > 0, "page_count": F.col("page_count"),
+        "has_text": i % 17 != 0, "alignment": (i % 10) / 10.0,
+    }
+    return V.records(spark, sf_dir).select(dataset.harvest_reason(r).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {V.RECORDS} SELECT ord, sha256 FROM rec WHERE sha256 NOT IN (SELECT sha256 FROM rec JOIN labels ON ord = doc_id)")
+def resume_anti(spark, sf_dir):
+    r = V.records(spark, sf_dir)
+    done = r.join(V.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord")), "ord")
+    return dataset.pending(r, done).select("ord", "sha256")
+
+
+@query(f"WITH {V.RECORDS} SELECT ord, sha256 FROM rec WHERE sha256 IN (SELECT sha256 FROM rec JOIN labels ON ord = doc_id)")
+def split_semi(spark, sf_dir):
+    r = V.records(spark, sf_dir)
+    keys = r.join(V.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord")), "ord")
+    return dataset.chosen(r, keys).select("ord", "sha256")
+
+
+@query("""WITH s AS (SELECT doc_id, quality AS label, ((doc_id * 7919) % 1000) / 1000.0 * 0.5 + quality * 0.4 AS score FROM labels),
+g AS (SELECT DISTINCT round(t, 4) AS threshold FROM (SELECT unnest(range(1, 20)) * 0.05::DOUBLE AS t UNION ALL SELECT 0.95::DOUBLE + unnest(range(0, 10)) * 0.005::DOUBLE UNION ALL SELECT 0.999::DOUBLE)),
+f AS (SELECT threshold, 2 * count_if(score >= threshold AND label > 0) / (count_if(score >= threshold) + count_if(label > 0)) AS f1 FROM g, s GROUP BY 1)
+SELECT threshold, round(f1, 9) AS f1 FROM f ORDER BY f.f1 DESC, threshold LIMIT 1""")
+def threshold_tune(spark, sf_dir):
+    lab = V.read(spark, sf_dir, "labels")
+    score = ((F.col("doc_id") * 7919) % 1000) / 1000.0 * 0.5 + F.col("quality") * 0.4
+    return scoring.tune_threshold(lab.select(score.alias("score"), F.col("quality").alias("label"))).select("threshold", F.round("f1", 9).alias("f1"))
+
+
+@query()
+def rate_limit(spark, sf_dir):
+    hits = V.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return admission.rate_limit(hits.select("key", (F.col("us") / 1e6).alias("ts")), limit=3, window=86400.0)
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'processing' END AS status FROM orders
+WHERE (o_orderstatus = 'F' AND epoch(TIMESTAMP '1998-06-01' - o_orderdate) > 86400 * 365) OR epoch(TIMESTAMP '1998-06-01' - o_orderdate) > 2 * 86400 * 365""")
+def job_expiry(spark, sf_dir):
+    o = V.read(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("processing")
+    o = o.select(F.col("o_orderkey").alias("id"), status.alias("status"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("created_at"))
+    now = F.unix_timestamp(F.lit("1998-06-01 00:00:00").cast("timestamp"))
+    return o.where(admission.expired(F.col("status"), F.col("created_at"), now, 86400.0 * 365)).select("id", "status")
+
+
+@query("""SELECT id, arg_max(status, ts) AS status, max(ts) AS updated FROM (SELECT user_id AS id, event_type AS status, event_id AS ts FROM events) GROUP BY 1""")
+def latest_status(spark, sf_dir):
+    e = V.read(spark, sf_dir, "events")
+    return admission.latest_status(e.select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("event_id").alias("ts")))
+
+
+@query("""SELECT a.conv_id, a.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND length(a.text) + length(b.text) <= 3 * 300""")
+def overlong_filter(spark, sf_dir):
+    c = V.read(spark, sf_dir, "conversations")
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("completion"))
+    return c.where("role = 'user'").join(b, ["conv_id", "turn"]).where(dataset.fits(F.col("text"), F.col("completion"), 300)).select("conv_id", "turn")
+
+
+@query(f"""WITH {V.RECORDS} SELECT ord, length(context) + {len(dataset.PROMPT) - 9} AS prompt_chars, '{{"entries":[{{"title":"' || sha256 || '","level":1,"printed_page":null}}]}}' AS completion FROM rec""")
+def sft_rows(spark, sf_dir):
+    r = V.records(spark, sf_dir)
+    e = F.array(F.struct(F.col("sha256").alias("title"), F.lit(1).alias("level"), F.lit(None).cast("int").alias("printed_page")))
+    s = r.select("ord", dataset.sft_row(F.col("context"), e).alias("s"))
+    return s.select("ord", F.char_length("s.prompt").alias("prompt_chars"), F.col("s.completion").alias("completion"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE 1 END AS n, CASE WHEN doc_id % 3 <> 2 THEN lang END AS title FROM documents""")
+def parse_generation(spark, sf_dir):
+    d = V.read(spark, sf_dir, "documents")
+    body = F.format_string('{"entries":[{"title":"%s","level":2}]} and more', "lang")
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), body)).when(F.col("doc_id") % 3 == 1, body).otherwise('{"entries":[{"title":"x"}]}')
+    p = d.select("doc_id", dataset.parse_generation(said).alias("e"))
+    return p.select("doc_id", F.when(F.col("e").isNotNull(), F.size("e")).alias("n"), F.get("e", F.lit(0))["title"].alias("title"))
+
+
+@query(r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '10.0.0.' || page_id WHEN page_id % 3 = 1 THEN 'peer' ELSE 'unknown' END AS ip, split_part(url, ':', 1) AS provider, substr(url, instr(url, ':') + 1) AS model,
+  replace(url, '/', '_') || '.pdf' AS file, CASE WHEN page_id % 2 = 0 THEN 'context-too-long' ELSE 'teacher-error' END AS failure, greatest(72, least(300, floor(sqrt(40e6 / (page_id + 1)))))::INT AS dpi FROM pages""")
+def scalar_functions(spark, sf_dir):
+    p = V.read(spark, sf_dir, "pages")
+    i = F.col("page_id")
+    via = F.when(i % 3 == 0, F.concat(F.lit("1.1.1.1, 10.0.0."), i.cast("string"), F.lit(" ")))
+    said = F.when(i % 2 == 0, "Requested tokens exceeded context  window").otherwise("timeout")
+    return p.select(
+        "page_id", T.client_ip(via, F.when(i % 3 == 1, "peer")).alias("ip"), T.provider(F.col("url")).alias("provider"), T.model_name(F.col("url")).alias("model"),
+        T.safe_filename(F.col("url")).alias("file"), T.teacher_failure(said).alias("failure"), T.render_dpi((i + 1).cast("double")).alias("dpi"),
+    )
+
+
+@query()
+def blocks_to_lines(spark, sf_dir):
+    """Web page lines cut into spans and blocks, and put together again."""
+    ln = V.html_lines(spark, sf_dir)
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    span = lambda t: F.array(F.struct(t.alias("text"), F.col("size").alias("size"), F.when(F.col("bold"), 16).otherwise(0).alias("flags"), F.lit("Sans").alias("font")))
+    box = lambda a, b: F.array(F.col("x") + a, F.col("y"), F.col("x") + b, F.col("y") + 10)
+    one = F.struct(box(F.lit(0.0), F.lit(100.0)).alias("bbox"), span(F.substring(F.col("text"), F.lit(1), half)).alias("spans"))
+    two = F.struct(box(F.lit(110.0), F.lit(200.0)).alias("bbox"), span(F.substring(F.col("text"), half + 1, F.char_length("text"))).alias("spans"))
+    blocks = F.struct(F.lit(0).alias("type"), F.array(one, two).alias("lines"))
+    pages = ln.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", blocks.alias("b")))), lambda x: x["b"]).alias("blocks"))
+    return extract.lines_from_blocks(pages)
+
+
+@query(f"WITH {V.DOC_LINES} SELECT doc_id, bool_or(page < 10 AND {_STRIP.format('text')} <> '') AS has_text FROM dl GROUP BY 1")
+def has_text_layer(spark, sf_dir):
+    return extract.has_text_layer(V.doc_lines(spark, sf_dir))
+
+
+@query()
+def labeler_detect(spark, sf_dir):
+    """A line classifier trained on even documents, applied to odd ones."""
+    lines = V.doc_lines(spark, sf_dir)
+    f = features.feature_columns(features.line_features(lines)).join(V.gold(spark, sf_dir).select("doc_id", F.col("pos").alias("line_no"), "level"), ["doc_id", "line_no"], "left")
+    f = f.withColumn("label", F.coalesce("level", F.lit(0))).drop("level")
+    model = labeler.Labeler.train(f.where("doc_id % 4 = 0"), f.where("doc_id % 4 = 2"), trees=3, depth=3)
+    return model.detect(f.where("doc_id % 2 = 1"))
+
+
+@query()
+def toc_outline(spark, sf_dir):
+    """The whole plan: contents pages, rows, places, else headings."""
+    return outline.build_outline(V.toc_lines(spark, sf_dir))

@@ -7,15 +7,16 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no such function."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -24,14 +25,14 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def exact_round(digits: int):
     """Rounding of the exact binary value, ties to even."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def rounded(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if pd.isna(v) else round(float(v), digits)).astype("float64")
 
     return rounded
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def quoted(text: pd.Series) -> pd.Series:
     """A text as a Python literal."""
     return text.map(lambda t: None if t is None else repr(t))

@@ -109,7 +109,7 @@ def bootstrap(pairs: DataFrame, resamples: int = 10_000, confidence: float = 0.9
             yield pd.DataFrame({"metric": metric, "r": np.arange(resamples), "s": s, "n": n})
 
     drawn = pairs.select("metric", "doc_id", "delta").mapInPandas(sums, "metric string, r int, s double, n double")
-    means = drawn.groupBy("metric", "r").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    means = drawn.groupBy("metric", "r").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean")).where("mean is not null")
     ranked = means.withColumn("k", F.row_number().over(Window.partitionBy("metric").orderBy("mean")) - 1)
     return ranked.groupBy("metric").agg(F.max(F.when(F.col("k") == lo, F.col("mean"))).alias("ci_low"), F.max(F.when(F.col("k") == hi, F.col("mean"))).alias("ci_high"))
 

@@ -8,9 +8,9 @@
 3. *Shards*: contexts that share an anchor are compared with one another, by the method of each operator.
 4. The spans found go back to their documents, which are read again and cut.
 
-An anchor in more than HOT documents is not a fair unit of work: each window that it anchors becomes a context of its
-own, so that equal windows meet by their own hash and no shard gathers the anchor's contexts.  Texts with an earlier
-exact copy take no part after step 1; they are wholly made of windows of the first copy.
+An anchor with more than HOT distinct contexts is not a fair unit of work: its contexts are taken apart into windows,
+which meet by their own hash, so no shard gathers them.  Texts with an earlier exact copy take no part after step 1;
+they are wholly made of windows of the first copy.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import _bytes as B
-from folioscope.llm._common import NO_ID, checked, table, text_hash
+from folioscope.llm._common import NO_ID, beside, drop, table, text_hash
 
-#: Documents with an anchor beyond which its windows go their own ways.
-HOT = 256
+#: Distinct contexts of an anchor beyond which its windows go their own ways.
+HOT = 20_000
 #: Distinct contexts that a shard holds at a time, about.
 SHARD = 20_000
 
@@ -42,7 +42,9 @@ def _units(kind: str, gram: int, data: np.ndarray, at: np.ndarray):
     return B.gram_hashes(B.word_hashes(data, begin, end), gram), first, begin, end
 
 
-def _survey(kind: str, window: int, gram: int):
+def _survey(kind: str, window: int, gram: int, most: int):
+    """A row for each text: its length in units and its anchors, an anchor that occurs again at most `most` times."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in B.blocks(batch.column("text")):
@@ -51,9 +53,8 @@ def _survey(kind: str, window: int, gram: int):
                 h = g[anchor].view(np.int64)
                 order = np.lexsort((h, row))
                 row, h = row[order], h[order]
-                # of equal anchors in a row, two say all: it occurs again
                 keep = np.ones(len(h), dtype=bool)
-                keep[2:] = (h[2:] != h[:-2]) | (row[2:] != row[:-2])
+                keep[most:] = (h[most:] != h[:-most]) | (row[most:] != row[:-most])
                 row, h = row[keep], h[keep]
                 cut = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -66,53 +67,65 @@ def _survey(kind: str, window: int, gram: int):
 
 
 def _contexts(kind: str, window: int, gram: int, once: bool):
-    """once: of equal contexts in one document, only the first is needed (the others' spans are given out as such)."""
+    """A row for each context of a document's candidate anchors.
+
+    once: of equal contexts in a document only the first is cut out; a later one has no hash and no text.
+    """
+    kinds = (*(pa.int64(),) * 6, pa.int32(), pa.binary())
+    names = ["a", "c1", "c2", "d", "t1", "pos", "len", "ctx"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, t1 = batch.column("d").to_numpy(), batch.column("t1").to_numpy()
-            cand, hot = batch.column("cand"), batch.column("hot")
+            d, t1 = batch.column("d").to_pylist(), batch.column("t1").to_pylist()
+            cand = batch.column("cand")
             for lo, hi, data, at in B.blocks(batch.column("text")):
                 g, bounds, begin, end = _units(kind, gram, data, at)
                 row, anchor, first, last = B.runs(g, bounds, window, gram)
                 h = g[anchor].view(np.int64)
-                out: list[list] = [[] for _ in range(8)]
-                seen: set = set()
+                out: list[list] = [[] for _ in kinds]
                 edges = np.searchsorted(row, np.arange(hi - lo + 1))
                 for r in range(hi - lo):
-                    s = slice(edges[r], edges[r + 1])
-                    own = np.isin(h[s], np.asarray(cand[lo + r].values))
-                    if not own.any():
-                        continue
-                    burning = set(hot[lo + r].as_py() or ())
-                    seen.clear()
+                    own = np.flatnonzero(np.isin(h[edges[r] : edges[r + 1]], np.asarray(cand[lo + r].values))) + edges[r]
+                    seen: set = set()
                     base = int(bounds[r])
-                    idx = np.flatnonzero(own) + edges[r]
-                    for a, f, e in zip(h[idx].tolist(), first[idx].tolist(), last[idx].tolist(), strict=True):
-                        alone = a in burning
-                        for w, z in ((x, x) for x in range(f, e + 1)) if alone else ((f, e),):
-                            if begin is None:
-                                ctx = data[w : z + window].tobytes()
-                            else:
-                                ctx = b" ".join(data[begin[w] : end[z + window - 1]].tobytes().split())
-                            k = xxhash.xxh3_128_intdigest(ctx)
-                            if once and k in seen:
-                                k, ctx, mark = 0, None, None
-                            else:
-                                if once:
-                                    seen.add(k)
-                                mark = k >> 64
-                            for to, v in zip(
-                                out,
-                                (a, None if mark is None else _signed(mark), _signed(k & _LOW), int(d[lo + r]), int(t1[lo + r]), w - base, z + window - w, None if alone else ctx),
-                                strict=True,
-                            ):
-                                to.append(v)
+                    for a, f, e in zip(h[own].tolist(), first[own].tolist(), last[own].tolist(), strict=True):
+                        if begin is None:
+                            ctx = data[f : e + window].tobytes()
+                        else:
+                            ctx = b" ".join(data[begin[f] : end[e + window - 1]].tobytes().split())
+                        k = xxhash.xxh3_128_intdigest(ctx)
+                        values = (a, _signed(k >> 64), _signed(k & _LOW), d[lo + r], t1[lo + r], f - base, e + window - f, ctx)
+                        if once and k in seen:
+                            values = (a, None, None, *values[3:7], None)
+                        seen.add(k)
+                        for to, v in zip(out, values, strict=True):
+                            to.append(v)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(v, type=t) for v, t in zip(out, (pa.int64(),) * 6 + (pa.int32(), pa.binary()), strict=True)],
-                        ["a", "c1", "c2", "d", "t1", "pos", "len", "ctx"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out, kinds, strict=True)], names)
+
+    return run
+
+
+def _windows(kind: str, window: int):
+    """A row for each window of a context, with 128 bits of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c1, c2, fd, fp, ctx in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "fd", "fp", "ctx")), strict=True):
+                units = ctx if kind == "byte" else ctx.split(b" ")
+                n = len(units) - window + 1
+                own = (units[i : i + window] if kind == "byte" else b" ".join(units[i : i + window]) for i in range(n))
+                k = [xxhash.xxh3_128_intdigest(w) for w in own]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([_signed(x >> 64) for x in k], pa.int64()),
+                        pa.array([_signed(x & _LOW) for x in k], pa.int64()),
+                        *(pa.array([v] * n, pa.int64()) for v in (c1, c2, fd)),
+                        pa.array(range(fp, fp + n), pa.int64()),
+                        pa.array(range(n), pa.int64()),
+                    ],
+                    ["w1", "w2", "c1", "c2", "fd", "p", "off"],
+                )
 
     return run
 
@@ -211,30 +224,43 @@ def remove_recurring(
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), *text_hash(F.col("text")), "text")
     survey = table(
-        keyed.select("d", "t1", "t2", "text").mapInArrow(_survey(kind, window, gram), "d long, t1 long, t2 long, n long, anchors array<long>"),
+        keyed.select("d", "t1", "t2", "text").mapInArrow(
+            _survey(kind, window, gram, 2 if same_document else 1), "d long, t1 long, t2 long, n long, anchors array<long>"
+        ),
         "survey",
     )
     copies = table(
         survey.groupBy("t1", "t2").agg(F.min("d").alias("rep"), F.max("d").alias("top")).where("top > rep").drop("top"), "copies"
     )
-    known = survey.join(checked(copies), ["t1", "t2"], "left").withColumn("copy", F.coalesce(F.col("d") > F.col("rep"), F.lit(False)))
+    known = survey.join(beside(copies), ["t1", "t2"], "left").withColumn("copy", F.coalesce(F.col("d") > F.col("rep"), F.lit(False)))
+    later = table(known.where("copy").select("d", "t1").distinct(), "later")
     live = known.where(~F.col("copy")).select("d", "t1", F.explode("anchors").alias("a"))
-    seen = live.groupBy("a").agg(F.count("*").alias("times"), F.min("d").alias("x"), F.max("d").alias("y"))
-    again = table(seen.where("times > 1" if same_document else "x < y").select("a", F.col("times").cast("int")), "anchors")
-    cand = live.join(checked(again), "a").groupBy("d", "t1")
-    cand = cand.agg(F.collect_set("a").alias("cand"), F.collect_set(F.when(F.col("times") > HOT, F.col("a"))).alias("hot"))
-    cand = table(cand, "candidates")
-    found = keyed.join(checked(cand), ["d", "t1"]).select("d", "t1", "text", "cand", "hot")
+    again = table(live.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), "anchors")
+    cand = table(live.join(beside(again), "a").groupBy("d", "t1").agg(F.collect_set("a").alias("cand")), "candidates")
+    drop(survey)
+    found = keyed.join(beside(cand), ["d", "t1"]).select("d", "t1", "text", "cand")
     found = table(found.mapInArrow(_contexts(kind, window, gram, same_document), _CONTEXT), "contexts")
-    key = ["a", "c1", "c2"]
-    met = found.where("c1 is not null").groupBy(*key).agg(
-        F.min(F.struct("d", "pos")).alias("f"), F.first("ctx").alias("ctx"), F.count("*").alias("times")
+    drop(cand)
+    met = found.where("c1 is not null").groupBy("c1", "c2").agg(
+        F.min(F.struct("d", "pos")).alias("f"), F.first("a").alias("a"), F.first("ctx").alias("ctx"), F.count("*").alias("times")
     )
-    met = table(met.select(*key, F.col("f.d").alias("fd"), F.col("f.pos").alias("fp"), "ctx", "times"), "distinct")
-    sharded = met.where("ctx is not null").select(*key, "fd", "fp", "ctx").repartition("a").sortWithinPartitions("a", "c1", "c2")
+    met = table(met.select("a", "c1", "c2", F.col("f.d").alias("fd"), F.col("f.pos").alias("fp"), "ctx", "times"), "distinct")
+    crowd = table(met.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
+    shared = met.join(beside(crowd), "a").select("a", "c1", "c2", "fd", "fp", "ctx", "n")
     part = "array<struct<s:long,e:long>>"
+    sharded = shared.where(F.col("n") <= HOT).drop("n").repartition("a").sortWithinPartitions("a", "c1", "c2")
     hits = sharded.mapInArrow(shards(compare), f"c1 long, c2 long, parts {part}")
-    told = met.where("times > 1 or ctx is not null").select("c1", "c2", "fd", "fp").join(hits, ["c1", "c2"], "left")
+    if not crowd.where(F.col("n") > HOT).isEmpty():
+        alone = shared.where(F.col("n") > HOT).select("c1", "c2", "fd", "fp", "ctx")
+        alone = table(alone.mapInArrow(_windows(kind, window), "w1 long, w2 long, c1 long, c2 long, fd long, p long, off long"), "windows")
+        owner = alone.groupBy("w1", "w2").agg(F.min(F.struct("fd", "p")).alias("o"), F.count("*").alias("n")).where("n > 1")
+        mine = F.struct("fd", "p") > F.col("o") if same_document else F.col("fd") > F.col("o.fd")
+        more = alone.join(owner, ["w1", "w2"]).where(mine).groupBy("c1", "c2")
+        more = more.agg(F.collect_list(F.struct(F.col("off").alias("s"), (F.col("off") + window).alias("e"))).alias("parts"))
+        hits = hits.unionByName(more)
+    hits = table(hits, "hits")
+    # of a context only its later occurrences, and a first one with parts, are cut
+    told = met.select("c1", "c2", "fd", "fp", "times").join(hits, ["c1", "c2"], "left").where("times > 1 or parts is not null")
     first = (F.col("d") == F.col("fd")) & ((F.col("pos") == F.col("fp")) if same_document else F.lit(True))
     whole = F.array(F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("len")).alias("e")))
     moved = F.transform("parts", lambda p: F.struct((p["s"] + F.col("pos")).alias("s"), (p["e"] + F.col("pos")).alias("e")))
@@ -242,7 +268,9 @@ def remove_recurring(
     spans = spans.select("d", "t1", F.explode(F.when(first, moved).otherwise(whole)).alias("p"))
     spans = spans.unionByName(found.where("c1 is null").select("d", "t1", whole[0].alias("p")))
     cuts = spans.groupBy("d", "t1").agg(F.collect_list("p").alias("parts"), F.lit(False).alias("whole"))
-    gone = known.where("copy").select("d", "t1", F.lit(None).cast(part).alias("parts"), F.lit(True).alias("whole")).distinct()
+    gone = later.select("d", "t1", F.lit(None).cast(part).alias("parts"), F.lit(True).alias("whole"))
     cuts = table(cuts.unionByName(gone), "cuts")
-    joined = keyed.join(checked(cuts), ["d", "t1"], "left").select("doc_id", "text", "parts", "whole")
+    for done in (found, met, hits):
+        drop(done)
+    joined = keyed.join(beside(cuts), ["d", "t1"], "left").select("doc_id", "text", "parts", "whole")
     return joined.mapInArrow(_cut(kind, window), f"doc_id {dict(docs.dtypes)[id_col]}, kept binary, n long, n_removed long, spans {part}")

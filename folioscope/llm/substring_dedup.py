@@ -11,7 +11,7 @@ from folioscope.llm._recurrence import remove_recurring
 
 WINDOW = 13
 #: Words of an anchor: windows of WINDOW words are looked for around sequences of so many words that recur.
-GRAM = 8
+GRAM = 6
 
 
 def _automaton(window: int):

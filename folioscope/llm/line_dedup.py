@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import NO_ID, checked, table, text_hash
+from folioscope.llm._common import NO_ID, beside, table, text_hash
 
 #: Words that an aligned block has at least; a shorter one is no copy.
 MIN_WORDS = 5
@@ -150,7 +150,7 @@ def _align(min_words: int):
 
 
 def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs as doc_id, kept (its text without removed lines), n_lines, n_removed, gone (line numbers).
+    """Every row of docs as row (all its columns), doc_id, kept (its text without removed lines), n_lines, n_removed, gone (line numbers).
 
     A line that several documents have makes its first holder (the smallest id) the partner of all others, so the
     number of pairs is bounded by the number of shared lines, however common one is; rare lines and common ones are
@@ -162,14 +162,15 @@ def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     text is empty: one blank line.  A null id sorts last.  Of rows that repeat an id each gets its own result, from
     its own text; where they differ, the text with the least hash is the partner of later documents.
     """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = keyed.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), text_hash(F.col("text"))[0], "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    keyed = keyed.select("row", "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), text_hash(F.col("text"))[0], "text")
     lines = table(
         keyed.select("d", "t1", "text").mapInArrow(_lines, "d long, t1 long, k int, no int, h1 long, h2 long, words int"), "lines"
     )
     first = lines.groupBy("h1", "h2").agg(F.min("d").alias("f"), F.max("d").alias("m")).where("f < m").select("h1", "h2", "f")
     first = table(first, "shared")
-    shared = lines.join(checked(first), ["h1", "h2"])
+    shared = lines.join(beside(first), ["h1", "h2"])
     line = F.struct("k", "no", "h1", "h2", "words")
     held = shared.groupBy("d", "t1").agg(
         F.array_sort(F.collect_set(line)).alias("mine"), F.collect_set(F.when(F.col("f") < F.col("d"), F.col("f"))).alias("partners")
@@ -179,12 +180,13 @@ def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     wanted = pairs.select(F.col("f")).distinct()
     theirs = held.groupBy(F.col("d").alias("f")).agg(F.min_by("mine", "t1").alias("theirs")).join(wanted, "f", "left_semi")
     theirs = table(theirs, "partners")
-    found = pairs.join(checked(theirs), "f").select("d", "t1", "mine", "theirs").mapInArrow(_align(min_words), "d long, t1 long, gone array<int>")
+    found = pairs.join(beside(theirs), "f").select("d", "t1", "mine", "theirs").mapInArrow(_align(min_words), "d long, t1 long, gone array<int>")
     gone = found.where(F.size("gone") > 0).groupBy("d", "t1").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     gone = table(gone, "gone")
-    out = keyed.join(checked(gone), ["d", "t1"], "left")
+    out = keyed.join(beside(gone), ["d", "t1"], "left")
     cut = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     return out.select(
+        "row",
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(cut).alias("kept"),
         (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),

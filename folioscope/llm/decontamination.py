@@ -10,6 +10,8 @@ from folioscope.llm._common import beside, checked, lower_ascii, table
 #: What separates words here: ASCII characters other than letters and digits.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: Terms of a phrase, the rarest first, whose whole lists are read.
+FEW = 3
 
 
 def words(text: Column) -> Column:
@@ -48,8 +50,9 @@ def find(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     """Exact matches: (rid, item, first, start, length), a row for each place where a phrase's words follow one another.
 
     wanted: (item, first, length, off, tid).  The postings of each phrase's rarest term (of equally rare ones the
-    earliest) are moved by its offset and give the places where the phrase may start.  The postings of its other
-    terms, in the documents concerned, are intersected with these places, rarest first, until all terms are there.
+    earliest) are moved by its offset and give the places where the phrase may start.  They are intersected with the
+    moved postings of the second and the third rarest term, whose lists are short too; the long lists of common terms
+    are then read in the documents that are left only, where all of them must be there.
     """
     times = postings.where("tid is not null").groupBy("tid").agg(F.count("*").alias("times"))
     ranked = wanted.join(times, "tid", "left").withColumn("times", F.coalesce("times", F.lit(0)))
@@ -59,13 +62,20 @@ def find(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     hits = postings.where("tid is not null").select("rid", "pos", "tid")
     may = hits.join(checked(table(rarest, "rarest")), "tid").where("pos >= shift")
     may = table(may.select("rid", "item", "first", "length", (F.col("pos") - F.col("shift")).alias("start")), "places")
+    for rank in range(2, FEW + 1):
+        term = table(ranked.where(F.col("rank") == rank).select("item", "first", "off", "tid"), "terms")
+        listed = hits.join(checked(table(term.select("tid").distinct(), "ids")), "tid", "left_semi")
+        need = may.join(checked(term), ["item", "first"]).withColumn("pos", F.col("start") + F.col("off"))
+        met = need.join(listed, ["rid", "pos", "tid"], "left_semi").select(may.columns)
+        may = table(met.unionByName(may.where(F.col("length") < rank)), "places")
     docs = table(may.select("rid").distinct(), "concerned")
-    near = hits.join(beside(docs), "rid", "left_semi")
-    need = may.join(checked(table(ranked.where("rank > 1").select("item", "first", "off", "tid"), "others")), ["item", "first"])
+    near = hits.join(checked(docs), "rid", "left_semi")
+    rest = table(ranked.where(F.col("rank") > FEW).select("item", "first", "off", "tid"), "others")
+    need = may.join(checked(rest), ["item", "first"])
     need = need.select("rid", "item", "first", "start", "tid", (F.col("start") + F.col("off")).alias("pos"))
     there = need.join(near, ["rid", "pos", "tid"]).groupBy("rid", "item", "first", "start").agg(F.count("*").alias("others"))
     key = ["rid", "item", "first", "start"]
-    return may.join(there, key, "left").where("coalesce(others, 0) = length - 1").select(*key, "length")
+    return may.join(there, key, "left").where(F.coalesce("others", F.lit(0)) == F.greatest(F.col("length") - FEW, F.lit(0))).select(*key, "length")
 
 
 def proximity(postings: DataFrame, wanted: DataFrame, within: int) -> DataFrame:

@@ -19,7 +19,10 @@ SIMILARITY = 0.8
 #: Minimum k-mers of a sketch, and sketches of a text.  Two texts at the threshold share a sketch with probability
 #: about 0.8 ** PICKED = 0.33, so they share none of all sketches with probability 7e-5.
 PICKED, SKETCHES = 5, 24
-BINS = 64
+#: Bins of a text's profile.
+BINS = 256
+#: Rounds in which a node offers only its nearest candidate of a bucket, before the one with all candidates.
+NEAREST_ROUNDS = 2
 #: Texts of a bucket that meet in one task, from each of two blocks.
 BLOCK = 1024
 
@@ -59,7 +62,7 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
 
 def profile(kmers: np.ndarray) -> np.ndarray:
     """Counts of k-mers in BINS bins.  Profiles differ by no more than the k-mers do, so they rule pairs out for sure."""
-    return np.minimum(np.bincount((kmers >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    return np.minimum(np.bincount((kmers >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -145,10 +148,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
-def _may(na, pa_, nb, pb):
-    """Whether texts with these numbers of k-mers and profiles can reach the threshold (arrays that broadcast)."""
+def _excess(na, pa_, nb, pb):
+    """How far texts with these numbers of k-mers and profiles are from what a link allows; above 0 they cannot link."""
     band = (na + nb) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9
-    return np.abs(pa_.astype(np.int16) - pb.astype(np.int16)).sum(axis=-1) <= band
+    return np.abs(pa_.astype(np.int16) - pb.astype(np.int16)).sum(axis=-1) - band
 
 
 def _leader_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,29 +160,39 @@ def _leader_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             continue
         p = np.frombuffer(b"".join(batch.column("profile").to_pylist()), np.uint8).reshape(-1, BINS)
         q = np.frombuffer(b"".join(batch.column("lprofile").to_pylist()), np.uint8).reshape(-1, BINS)
-        ok = pa.array(_may(batch.column("n").to_numpy(), p, batch.column("ln").to_numpy(), q))
+        ok = pa.array(_excess(batch.column("n").to_numpy(), p, batch.column("ln").to_numpy(), q) <= 0)
         yield pa.RecordBatch.from_arrays([batch.column("lead").filter(ok), batch.column("node").filter(ok)], ["a", "b"])
 
 
-def _block_pairs(rows: pa.Table) -> pa.Table | None:
-    """Pairs of a bucket's block pair that are not known to be connected and can reach the threshold."""
-    node, n, comp = (rows.column(c).to_numpy() for c in ("node", "n", "comp"))
-    prof = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.uint8).reshape(-1, BINS)
-    side, p1, p2 = (rows.column(c).to_numpy() for c in ("side", "p1", "p2"))
-    within = p1[0] == p2[0]
-    left = np.flatnonzero(side == p1[0])
-    right = left if within else np.flatnonzero(side == p2[0])
-    a, b = [], []
-    for k, i in enumerate(left.tolist()):
-        others = right[k + 1 :] if within else right
-        others = others[comp[others] != comp[i]]
-        if len(others):
-            ok = others[_may(n[i], prof[i], n[others], prof[others])]
-            a.append(np.minimum(node[i], node[ok]))
-            b.append(np.maximum(node[i], node[ok]))
-    if not a:
-        return None
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+def _block_pairs(nearest: bool):
+    def compare(rows: pa.Table) -> pa.Table | None:
+        """Pairs of a bucket's block pair that are not known to be connected and can reach the threshold.
+
+        nearest: of each node only the one that its profile is nearest to.
+        """
+        node, n, comp = (rows.column(c).to_numpy() for c in ("node", "n", "comp"))
+        prof = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.uint8).reshape(-1, BINS)
+        side, p1, p2 = (rows.column(c).to_numpy() for c in ("side", "p1", "p2"))
+        within = p1[0] == p2[0]
+        left = np.flatnonzero(side == p1[0])
+        right = left if within else np.flatnonzero(side == p2[0])
+        a, b = [], []
+        for k, i in enumerate(left.tolist()):
+            others = right[k + 1 :] if within and not nearest else right
+            others = others[comp[others] != comp[i]]
+            if len(others):
+                over = _excess(n[i], prof[i], n[others], prof[others])
+                if nearest:
+                    best = int(np.argmin(over))
+                    others, over = others[best : best + 1], over[best : best + 1]
+                others = others[over <= 0]
+                a.append(np.minimum(node[i], node[others]))
+                b.append(np.maximum(node[i], node[others]))
+        if not a:
+            return None
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return compare
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,16 +228,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = lead.select("key", F.col("l.node").alias("lead"), F.col("l.n").alias("ln"), F.col("l.profile").alias("lprofile"))
     lead = table(lead, "leaders")
     pairs = member.join(beside(lead), "key").where("node <> lead").select("lead", "ln", "lprofile", "node", "n", "profile").distinct()
-    first = _links(pairs.mapInArrow(_leader_pairs, "a long, b long").distinct(), classes, keyed)
-    joined = table(components(first), "joined")
-    rows = member.join(beside(joined.withColumnsRenamed({"node": "x", "component": "c"})), F.col("node") == F.col("x"), "left")
-    rows = rows.select("key", "size", "node", "n", "profile", F.coalesce("c", "node").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = rows.join(beside(table(mixed, "mixed")), "key", "left_semi")
-    rows = dealt(rows, ["key"], "node", BLOCK)
-    found = grouped(rows, ["key", "p1", "p2"], _block_pairs, "a long, b long").distinct()
-    second = _links(found, classes, keyed)
-    joined = components(first.union(second))
+    links = _links(pairs.mapInArrow(_leader_pairs, "a long, b long").distinct(), classes, keyed)
+    for rounds in range(NEAREST_ROUNDS + 1):
+        joined = table(components(links).withColumnsRenamed({"node": "x", "component": "c"}), "joined")
+        rows = member.join(beside(joined), F.col("node") == F.col("x"), "left")
+        rows = rows.select("key", "size", "node", "n", "profile", F.coalesce("c", "node").alias("comp"))
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        rows = dealt(rows.join(beside(mixed), "key", "left_semi"), ["key"], "node", BLOCK)
+        found = grouped(rows, ["key", "p1", "p2"], _block_pairs(rounds < NEAREST_ROUNDS), "a long, b long").distinct()
+        links = table(links.union(_links(found, classes, keyed)), "linked")
+    joined = components(links)
     named = classes.select("node", "d").join(joined, "node", "left").select("d", "node", F.coalesce("component", "node").alias("component"))
     best = named.groupBy("component").agg(F.min("d").alias("best"))
     named = table(named.join(best, "component").where("best < d or component <> node").select("node", "best"), "named")

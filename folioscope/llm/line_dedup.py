@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 
 from folioscope.llm._common import NO_ID, beside, table, text_hash
 
+#: Up to this many different documents with a shared line, all are aligned with one another.
+RARE = 10
 #: Words that an aligned block has at least; a shorter one is no copy.
 MIN_WORDS = 5
 
-_LINE = "struct<k:int,no:int,h1:long,h2:long,words:int>"
-
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line with ink: its number, its rank among such lines, 128 bits of its bytes, its words."""
@@ -132,19 +133,37 @@ def common_blocks(later: list[tuple], earlier: list[tuple], min_words: int) -> l
     return out
 
 
-def _align(min_words: int):
-    def lines(rows) -> list[tuple]:
-        return [(x["k"], x["no"], (x["h1"], x["h2"]), x["words"]) for x in rows]
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of each sequence: a hash of every run of 1, 2, 4, 8, ... adjacent shared lines."""
+    for batch in batches:
+        q, d, key = [], [], []
+        for own, least, lines in zip(batch.column("q").to_pylist(), batch.column("f").to_pylist(), _rows(batch.column("lines")), strict=True):
+            at = [k for k, *_ in lines]
+            h = [f"{a:x},{b:x}" for _, _, (a, b), _ in lines]
+            n = 1
+            while n <= len(h):
+                keys = {xxhash.xxh3_64_intdigest(" ".join(h[i : i + n]), n) for i in range(len(h) - n + 1) if at[i + n - 1] - at[i] == n - 1}
+                q += [own] * len(keys)
+                d += [least] * len(keys)
+                key += keys
+                n *= 2
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(key, pa.uint64()).view(pa.int64())], ["q", "f", "key"])
+
+
+def _rows(column: pa.Array) -> Iterator[list[tuple]]:
+    """Sequences as lists of (k, place, hash, words)."""
+    flat = column.flatten()
+    k, h1, h2, words = (flat.field(c).to_pylist() for c in ("k", "h1", "h2", "words"))
+    ends = np.cumsum(column.value_lengths().to_numpy()).tolist()
+    for a, b in zip([0, *ends], ends, strict=False):
+        yield [(k[i], i - a, (h1[i], h2[i]), words[i]) for i in range(a, b)]
+
 
+def _align(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = [
-                common_blocks(lines(a.as_py()), lines(b.as_py()), min_words)
-                for a, b in zip(batch.column("mine"), batch.column("theirs"), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("d"), batch.column("t1"), pa.array(hit, pa.list_(pa.int32()))], ["d", "t1", "gone"]
-            )
+            hit = [common_blocks(a, b, min_words) for a, b in zip(_rows(batch.column("mine")), _rows(batch.column("theirs")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("q"), pa.array(hit, pa.list_(pa.int32()))], ["q", "gone"])
 
     return run
 
@@ -152,15 +171,21 @@ def _align(min_words: int):
 def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs as row (all its columns), doc_id, kept (its text without removed lines), n_lines, n_removed, gone (line numbers).
 
-    A line that several documents have makes its first holder (the smallest id) the partner of all others, so the
-    number of pairs is bounded by the number of shared lines, however common one is; rare lines and common ones are
-    found alike.  Each pair is aligned with patience diff over the lines that are shared with anyone.  Blocks of
-    aligned lines that are adjacent on both sides, blank lines aside, and have at least `min_words` words together are
-    deleted from the later document.  Lines are judged on the input.
+    Documents are compared by their sequences of shared lines (those that several documents have).  Documents of equal
+    sequences are aligned with the first of them, which takes all that any other partner could.  A sequence has as
+    partners all earlier sequences with which it shares a line, or a run of 2, 4, 8, ... adjacent lines, that at most
+    RARE sequences have; and of each more common line or run the first sequence that has it.  So every block is
+    compared with a document that has all of it or, longer than a power of two, each of its two halves, and pairs are
+    bounded by the number of shared lines, however common one is.  Of documents that share only what is more common than
+    RARE, those that are first in nothing are not aligned with each other.
+
+    Each pair is aligned with patience diff.  Blocks of aligned lines that are adjacent on both sides, blank lines
+    aside, and have at least `min_words` words together are deleted from the later document.  Lines are judged on the
+    input.
 
     Lines are separated by \\n and equal if their bytes are.  Blank lines are neither matched nor deleted.  A null
     text is empty: one blank line.  A null id sorts last.  Of rows that repeat an id each gets its own result, from
-    its own text; where they differ, the text with the least hash is the partner of later documents.
+    its own text; where they differ, all of them are partners of later documents.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -168,21 +193,33 @@ def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     lines = table(
         keyed.select("d", "t1", "text").mapInArrow(_lines, "d long, t1 long, k int, no int, h1 long, h2 long, words int"), "lines"
     )
-    first = lines.groupBy("h1", "h2").agg(F.min("d").alias("f"), F.max("d").alias("m")).where("f < m").select("h1", "h2", "f")
-    first = table(first, "shared")
-    shared = lines.join(beside(first), ["h1", "h2"])
-    line = F.struct("k", "no", "h1", "h2", "words")
-    held = shared.groupBy("d", "t1").agg(
-        F.array_sort(F.collect_set(line)).alias("mine"), F.collect_set(F.when(F.col("f") < F.col("d"), F.col("f"))).alias("partners")
-    )
-    held = table(held, "held")
-    pairs = held.where(F.size("partners") > 0).select("d", "t1", "mine", F.explode("partners").alias("f"))
-    wanted = pairs.select(F.col("f")).distinct()
-    theirs = held.groupBy(F.col("d").alias("f")).agg(F.min_by("mine", "t1").alias("theirs")).join(wanted, "f", "left_semi")
-    theirs = table(theirs, "partners")
-    found = pairs.join(beside(theirs), "f").select("d", "t1", "mine", "theirs").mapInArrow(_align(min_words), "d long, t1 long, gone array<int>")
-    gone = found.where(F.size("gone") > 0).groupBy("d", "t1").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-    gone = table(gone, "gone")
+    shared = lines.groupBy("h1", "h2").agg(F.min("d").alias("f"), F.max("d").alias("m")).where("f < m").select("h1", "h2")
+    held = lines.join(beside(table(shared, "shared")), ["h1", "h2"]).groupBy("d", "t1")
+    held = held.agg(F.array_sort(F.collect_set(F.struct("k", "no", "h1", "h2", "words"))).alias("own"))
+    lined = F.transform("own", lambda x: F.struct(x["k"].alias("k"), x["h1"].alias("h1"), x["h2"].alias("h2"), x["words"].alias("words")))
+    held = held.select("d", "t1", F.transform("own", lambda x: x["no"]).alias("nos"), lined.alias("lines"))
+    held = table(held.withColumn("q", F.xxhash64("lines")), "held")
+    seqs = held.groupBy("q").agg(F.min("d").alias("f"), F.max("d").alias("m"), F.min("lines").alias("lines"))
+    seqs = table(seqs, "sequences")
+    keys = table(seqs.select("q", "f", "lines").mapInArrow(_runs, "q long, f long, key long"), "runs")
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("f", "q")).alias("lead")).where("n > 1")
+    met = table(keys.join(beside(table(counts, "counts")), "key"), "met")
+    common = met.where(F.col("n") > RARE).select("q", "f", F.col("lead.q").alias("p"), F.col("lead.f").alias("pf"))
+    few = met.where(F.col("n") <= RARE).groupBy("key").agg(F.collect_list(F.struct("q", "f")).alias("x"))
+    few = few.select("x", F.explode("x").alias("y")).select(F.col("y.q").alias("q"), F.col("y.f").alias("f"), F.explode("x").alias("z"))
+    few = few.select("q", "f", F.col("z.q").alias("p"), F.col("z.f").alias("pf"))
+    pairs = few.union(common).where("pf < f").select("q", "p").distinct()
+    # equal sequences: the first one's own lines
+    pairs = table(pairs.union(seqs.where("f < m").select("q", F.col("q").alias("p"))), "pairs")
+    mine, theirs = seqs.select("q", F.col("lines").alias("mine")), seqs.select(F.col("q").alias("p"), F.col("lines").alias("theirs"))
+    found = pairs.join(beside(mine), "q").join(beside(theirs), "p")
+    found = found.select((F.col("p") == F.col("q")).alias("copy"), "q", "mine", "theirs")
+    hits = [found.where(c).select("q", "mine", "theirs").mapInArrow(_align(min_words), "q long, gone array<int>") for c in ("copy", "not copy")]
+    hits = hits[0].withColumn("copy", F.lit(True)).union(hits[1].withColumn("copy", F.lit(False))).where(F.size("gone") > 0)
+    hits = table(hits.groupBy("q", "copy").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("at")), "hits")
+    gone = held.select("d", "t1", "nos", "q").join(beside(seqs.select("q", "f")), "q").withColumn("copy", F.col("d") > F.col("f"))
+    gone = gone.join(beside(hits), ["q", "copy"])
+    gone = table(gone.select("d", "t1", F.array_sort(F.transform("at", lambda i: F.get("nos", i))).alias("gone")), "gone")
     out = keyed.join(beside(gone), ["d", "t1"], "left")
     cut = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     return out.select(

@@ -411,3 +411,41 @@ def test_line_dedup_repeated_rows(spark):
     df = spark.createDataFrame([(1, x, 1), (2, x, 2), (2, x, 2), (None, x + "\n\nmore", 3), (9, None, 4)], "doc_id long, text string, d int")
     got = sorted((r["doc_id"] or 99, r["kept"]) for r in line_dedup.remove_common_lines(df).collect())
     assert got == [(1, x), (2, ""), (2, ""), (9, ""), (99, "\nmore")]
+
+
+def all_earlier(rows, min_words=5):
+    """Texts after an alignment with every earlier document."""
+    ids, own = {}, {}
+    for d, t in rows:
+        for x in set((t or "").split("\n")):
+            ids.setdefault(x, set()).add(d)
+    for d, t in rows:
+        ink = [(no, x) for no, x in enumerate((t or "").split("\n")) if x.split()]
+        own[d] = [(k, no, x, len(x.split())) for k, (no, x) in enumerate(ink) if len(ids[x]) > 1]
+    out = {}
+    for d, t in rows:
+        gone = {no for e in own if e < d for no in line_dedup.common_blocks(own[d], own[e], min_words)}
+        out[d] = "\n".join(x for no, x in enumerate((t or "").split("\n")) if no not in gone)
+    return out
+
+
+@pytest.mark.parametrize("rare", [0, 99])
+def test_line_dedup_aligns_more_than_first_holders(spark, monkeypatch, rare):
+    monkeypatch.setattr(line_dedup, "RARE", rare)
+    x, y = "a line of five words", "and one with five more"
+    short = [f"s{i}" for i in range(6)]
+    # 3 copies 2; the first holder of either line has them the other way round
+    rows = [(1, f"{y}\n{x}"), (2, f"{x}\n{y}"), (3, f"{x}\n{y}")]
+    # the lines of a block of short ones have their first holders in different documents
+    rows += [(10 + i, f"{s}\nown {i}") for i, s in enumerate(short)]
+    rows += [(20, "\n".join(["head", *short])), (21, "\n".join(["other", *short, "tail"]))]
+    # a copy of the shared lines only, with lines of its own between the blank ones
+    rows += [(30, f"\n{x}\n\n{y}\n")]
+    rng = random.Random(3)
+    if rare:
+        pool = [" ".join([f"p{i}"] * (i % 4 + 2)) for i in range(12)]
+        rows += [(100 + i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["kept"] for r in line_dedup.remove_common_lines(df).collect()}
+    assert got[3] == "" and got[21] == "other\ntail" and got[30] == "\n\n"
+    assert got == all_earlier(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ SIMILARITY = 0.8
 #: Minimum k-mers of a sketch, and sketches of a text.  Two texts at the threshold share a sketch with probability
 #: about 0.8 ** PICKED = 0.33, so they share none of all sketches with probability 7e-5.
 PICKED, SKETCHES = 5, 24
+#: Up to this many k-mers a text also offers single ones as keys, enough of them to meet every text that it can link with.
+SHORT = 25
 #: Bins of a text's profile.
 BINS = 256
 #: Rounds in which a node offers only its nearest candidate of a bucket, before the one with all candidates.
@@ -60,6 +63,18 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
     return B.mix(out)
 
 
+def short_keys(kmers: np.ndarray) -> np.ndarray:
+    """The least k-mers of a text of up to SHORT of them, as keys; none for a longer one.
+
+    Linked texts have at least SIMILARITY of either's k-mers in common.  The least of the common ones is preceded, in
+    either text, by its other k-mers only, so it is among the least of both.
+    """
+    n = len(kmers)
+    if n > SHORT:
+        return kmers[:0]
+    return B.mix(np.sort(kmers)[: n - math.ceil(SIMILARITY * n - 1e-9) + 1] ^ _OCC)
+
+
 def profile(kmers: np.ndarray) -> np.ndarray:
     """Counts of k-mers in BINS bins.  Profiles differ by no more than the k-mers do, so they rule pairs out for sure."""
     return np.minimum(np.bincount((kmers >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
@@ -111,7 +126,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row = (0, 0, 0, [], b"")
                 else:
                     c1, c2 = _fold(h[own], 0), _fold(g[own], 1)
-                    row = (len(kmers), int(c1[0].view(np.int64)), int(c2[0].view(np.int64)), sketches(kmers).view(np.int64), profile(kmers).tobytes())
+                    row = (len(kmers), int(c1[0].view(np.int64)), int(c2[0].view(np.int64)), np.concatenate([sketches(kmers), short_keys(kmers)]).view(np.int64), profile(kmers).tobytes())
                 for to, v in zip(cols, row, strict=True):
                     to.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
@@ -201,7 +216,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if their k-mers (SHINGLE words, A-Z in lower case) align in order with a similarity of
     SIMILARITY or more (see `aligned`).  Texts with the same words are one node.  Candidates share an Order MinHash
     sketch: the least of several random orders' k-mers, labelled by occurrence and kept in text order, so that texts
-    match by edits and not merely by content.  In a first round each bucket's members are compared with its least
+    match by edits and not merely by content.  Texts of up to SHORT k-mers have too few for that to be reliable; they
+    also share single k-mers (see `short_keys`), by which none of their links is missed.  In a first round each bucket's members are compared with its least
     node, which connects dense groups at a cost in proportion to their size.  In a second round all pairs of a bucket
     that are not connected yet are looked at, in blocks, and those whose profiles allow a link are aligned too.  So no
     bucket is capped and links inside a connected group are the only ones left out, which changes no class.

@@ -449,3 +449,26 @@ def test_line_dedup_aligns_more_than_first_holders(spark, monkeypatch, rare):
     got = {r["doc_id"]: r["kept"] for r in line_dedup.remove_common_lines(df).collect()}
     assert got[3] == "" and got[21] == "other\ntail" and got[30] == "\n\n"
     assert got == all_earlier(rows)
+
+
+def test_near_duplicates_of_short_texts(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        w = [f"q{i}x{rng.randrange(10**6)}" for _ in range(9 + i % 12)]
+        # without its last word a text of 9 words has 4 of 5 k-mers, exactly the threshold
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w[:-1])), (10 * i + 2, " ".join(w[1:])), (10 * i + 3, " ".join(w[:4] + w))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert got == exact_classes(rows) and got[1] == 0
+
+
+def test_short_keys_meet():
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        n = int(rng.integers(1, near_dedup.SHORT + 1))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.delete(a, rng.integers(0, n, int(n * 0.2))) if rng.random() < 0.5 else np.where(rng.random(n) < 0.1, a + np.uint64(1), a)
+        if near_dedup.aligned(a, b) > 0:
+            assert set(near_dedup.short_keys(a)) & set(near_dedup.short_keys(b))
+    assert not len(near_dedup.short_keys(np.arange(near_dedup.SHORT + 1, dtype=np.uint64)))

@@ -10,14 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontamination, line_dedup, mixing, near_dedup, quality
-from folioscope.llm._common import table
+from folioscope.llm._common import beside, table, text_hash
 from folioscope.ship import ship
 
 
-def _without(docs: DataFrame, losers: DataFrame) -> DataFrame:
-    """docs less the rows whose id is among the losers' (null ids included)."""
-    lost = losers.select(F.col("doc_id").alias("lost")).distinct()
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("lost")), "left_anti")
+KEY = "row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs, stored, with a key of each row: 128 bits of its text, 64 of the whole row, and its number.
+
+    Ids are no keys: they may be null or repeated with other texts.  Only the number tells equal rows apart.
+    """
+    whole = F.xxhash64(*docs.columns)
+    key = F.struct(*text_hash(F.col("text")), whole.alias("whole"), F.monotonically_increasing_id().alias("no"))
+    return table(docs.withColumn(KEY, key).withColumn("row_no", F.col(f"{KEY}.no")), "keyed")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,26 +49,34 @@ def cut_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; one row of each id."""
-    ship(spark)
-    found = table(near_dedup.near_duplicates(docs), "near")
-    docs = _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))))
-    again = table(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("lost")), "again")
-    same = F.col("doc_id").eqNullSafe(F.col("lost"))
-    return docs.join(again, same, "left_anti").union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each group of near duplicates, that with the smallest id (null last), then the least key; of rows
+    that repeat both id and text, one."""
+    keyed = _keyed(docs)
+    found = near_dedup.near_duplicates(keyed, id_col="row_no").select(F.col("doc_id").alias("row_no"), "class_id")
+    rows = keyed.select("row_no", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY).alias("x")).join(beside(found), "row_no")
+    best = rows.groupBy("class_id").agg(F.min("x").alias("x"))
+    # texts without words are in no group
+    best = best.groupBy("x.doc_id", f"x.{KEY}.t1", f"x.{KEY}.t2").agg(F.min(f"x.{KEY}").alias(KEY))
+    kept = table(best.select(F.col(f"{KEY}.no").alias("row_no")), "kept")
+    return keyed.join(beside(kept), "row_no", "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Rows that hold no window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontamination.decontaminate(docs, items).where("n_hit > 0"))
+    keyed = _keyed(docs)
+    hit = decontamination.decontaminate(keyed, items, id_col="row_no").where("n_hit > 0").select(F.col("doc_id").alias("row_no"))
+    return keyed.join(beside(table(hit, "hit")), "row_no", "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training mix: what is taken of each document and where its readings stand, range-sorted by the first."""
-    plan = mixing.mix(docs).withColumnRenamed("doc_id", "i")
-    texts = docs.select("doc_id", "text", "lang")
-    out = plan.where("taken > 0").join(texts, F.col("i").eqNullSafe(F.col("doc_id"))).drop("i")
+    keyed = _keyed(docs)
+    plan = mixing.mix(keyed, row_col=KEY)
+    texts = keyed.select(F.col("row_no").alias("no"), "text", "lang")
+    out = plan.where("taken > 0").withColumn("no", F.col("row.no")).join(texts, "no")
+    own = [c for c in plan.columns if c not in ("doc_id", "row")]
+    out = out.select(*own, "doc_id", "text", "lang")
     return out.orderBy("position", F.asc_nulls_last("doc_id"))
 
 

@@ -51,6 +51,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per document, range-sorted by training position: what the mix takes of it, and when.
 
@@ -60,7 +61,7 @@ def mix(
     reached is taken in part.  Position p of a document is the progress at which its source's cumulative demand, the
     integral of its weight schedule, reaches the words that stand before it.
 
-    Returns doc_id, source, size, source_size, target, taken, passes (array of positions, one per reading), position
+    row_col names an orderable column that is returned as `row` and orders rows of equal id and size.  Returns doc_id, source, size, source_size, target, taken, passes (array of positions, one per reading), position
     (the first; null if nothing is taken).  A null or blank text has size 0, takes nothing and gets no position; a
     null source is a source that sorts last; rows that repeat an id count one by one.  An empty table gives no rows.
 
@@ -68,12 +69,15 @@ def mix(
     large part of all rows is spread over many tasks.
     """
     areas = [_segments(k)[1] for k in schedules]
+    extra_col = [F.col(row_col).alias("row")] if row_col else []
+    carried = ["row"] if row_col else []
     sized = table(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long").alias("h"),
+            *extra_col,
         ),
         "sizes",
     )
@@ -104,7 +108,7 @@ def mix(
     upto = Window.partitionBy("k", "none").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = table(sums.select("k", "none", "bin", F.coalesce(F.sum("b").over(upto), F.lit(0)).alias("base")), "bins")
     rows = rows.withColumns({"k": key[0], "none": key[1]}).join(sums, ["k", "none", "bin"])
-    within = Window.partitionBy("k", "none", "bin").orderBy("h", F.asc_nulls_last("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("k", "none", "bin").orderBy("h", F.asc_nulls_last("doc_id"), "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     turns = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     part = F.col("target") - turns * F.col("source_size")
@@ -115,7 +119,7 @@ def mix(
     steps = [F.when(readings > p, at(F.lit(p))) for p in range(max_repeats + 1)]
     rows = rows.withColumn("passes", F.filter(F.array(*steps), lambda x: x.isNotNull()))
     rows = rows.withColumn("position", F.get("passes", F.lit(0)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "position").orderBy(
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "position", *carried).orderBy(
         F.asc_nulls_last("position"), F.asc_nulls_last("doc_id")
     )
 

@@ -181,7 +181,7 @@ def paired_compare(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return scoring.bootstrap(scoring.paired(_scored(spark, sf_dir, 0), _scored(spark, sf_dir, 1)), resamples=1000)
+    return scoring.bootstrap(scoring.paired(_scored(spark, sf_dir, 0), _scored(spark, sf_dir, 1)))
 
 
 _MERGED = f"""WITH {V.DOC_LINES}, {V.GOLD}, {V.predicted_sql(0)}, {V.predicted_sql(1)}, a AS (SELECT *, {_merge_key('title')} AS k FROM p0), b AS (SELECT *, {_merge_key('title')} AS k FROM p1)"""

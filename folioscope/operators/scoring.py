@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,48 +70,47 @@ def compare(pairs: DataFrame) -> DataFrame:
 def bootstrap(pairs: DataFrame, resamples: int = 10_000, confidence: float = 0.95, seed: int = 0, most: int = 10_000) -> DataFrame:
     """(metric, ci_low, ci_high): percentile interval of the mean difference over resamples of the documents.
 
-    Up to `most` documents of a metric are resampled one by one with Python's generator, on one task per metric.
-    With more, multinomial counts are near Poisson(1) ones, so each document draws a count for each resample where it
-    lies, and only the resamples' sums travel.  Null for fewer than two documents.
+    Each resample draws as many documents as there are, with replacement.  Documents are dealt by their ids' hash over
+    a power of two of blocks, of about `most` at most.  How many draws of a resample fall into a block follows from
+    halving: a range of blocks passes a binomial share of its draws to its first half.  Within a block its documents
+    are drawn one by one.  That is the multinomial at every size; its generators are seeded by the range or block, so
+    the result depends on the documents and `most` only, not on partitions or batches.  Null for fewer than two documents.
     """
-    sizes = {r["metric"]: r["n"] for r in pairs.groupBy("metric").agg(F.count("*").alias("n")).collect()}
+    n = pairs.groupBy("metric").count().agg(F.max("count")).first()[0] or 0
+    levels = max(0, math.ceil(math.log2(max(n, 1) / most)))
+    blocks = 1 << levels
     lo = int((1 - confidence) / 2 * resamples)
     hi = min(resamples - 1, int((1 + confidence) / 2 * resamples))
-    out = "metric string, ci_low double, ci_high double"
-    if max(sizes.values(), default=0) <= most:
+    dealt = pairs.select("metric", "doc_id", "delta", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    sizes: dict = {}
+    for r in dealt.groupBy("metric", "block").count().collect():
+        sizes.setdefault(r["metric"], [0] * blocks)[r["block"]] = r["count"]
 
-        def draw(key, pdf):
-            import pandas as pd
-
-            x = pdf.sort_values("doc_id")["delta"].tolist()
-            if len(x) < 2:
-                return pd.DataFrame({"metric": [key[0]], "ci_low": [None], "ci_high": [None]})
-            rng = random.Random(seed)
-            means = sorted(sum(rng.choices(x, k=len(x))) / len(x) for _ in range(resamples))
-            return pd.DataFrame({"metric": [key[0]], "ci_low": [means[lo]], "ci_high": [means[hi]]})
-
-        return pairs.groupBy("metric").applyInPandas(draw, out)
-
-    def sums(batches):
+    def sums(key, pdf):
         import numpy as np
         import pandas as pd
 
-        acc: dict = {}
-        for pdf in batches:
-            for metric, g in pdf.groupby("metric"):
-                rng = np.random.default_rng([seed, int(g["doc_id"].iloc[0]), len(g)])
-                total = acc.setdefault(metric, np.zeros((2, resamples)))
-                for part in np.array_split(g["delta"].to_numpy(), max(1, len(g) // 256)):
-                    k = rng.poisson(1.0, (len(part), resamples))
-                    total[0] += part @ k
-                    total[1] += k.sum(axis=0)
-        for metric, (s, n) in acc.items():
-            yield pd.DataFrame({"metric": metric, "r": np.arange(resamples), "s": s, "n": n})
-
-    drawn = pairs.select("metric", "doc_id", "delta").mapInPandas(sums, "metric string, r int, s double, n double")
-    means = drawn.groupBy("metric", "r").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean")).where("mean is not null")
-    ranked = means.withColumn("k", F.row_number().over(Window.partitionBy("metric").orderBy("mean")) - 1)
-    return ranked.groupBy("metric").agg(F.max(F.when(F.col("k") == lo, F.col("mean"))).alias("ci_low"), F.max(F.when(F.col("k") == hi, F.col("mean"))).alias("ci_high"))
+        metric, block = key
+        size = np.concatenate([[0], np.cumsum(sizes[metric])])
+        draws = np.full(resamples, size[-1])
+        first, last = 0, blocks
+        while last - first > 1:
+            mid = (first + last) // 2
+            rng = np.random.default_rng([seed, first, last])
+            left = rng.binomial(draws, (size[mid] - size[first]) / max(size[last] - size[first], 1))
+            first, last, draws = (first, mid, left) if block < mid else (mid, last, draws - left)
+        x = pdf.sort_values(["doc_id", "delta"])["delta"].to_numpy()
+        rng = np.random.default_rng([seed, block, blocks, len(x)])
+        total = [x[rng.integers(0, len(x), k)].sum() for k in draws.tolist()]
+        return pd.DataFrame({"metric": metric, "r": np.arange(resamples), "s": total})
+
+    drawn = dealt.groupBy("metric", "block").applyInPandas(sums, "metric string, r int, s double")
+    # exact sums, whatever their order
+    totals = drawn.groupBy("metric", "r").agg(F.sum(F.col("s").cast("decimal(28,15)")).cast("double").alias("s"))
+    ranked = totals.withColumn("k", F.row_number().over(Window.partitionBy("metric").orderBy("s")) - 1).where(F.col("k").isin(lo, hi))
+    ends = ranked.groupBy("metric").agg(F.max(F.when(F.col("k") == lo, F.col("s"))).alias("low"), F.max(F.when(F.col("k") == hi, F.col("s"))).alias("high"))
+    out = pairs.groupBy("metric").agg(F.count("*").alias("n")).join(ends, "metric", "left")
+    return out.select("metric", *(F.when(F.col("n") > 1, F.col(c) / F.col("n")).alias(f"ci_{c}") for c in ("low", "high")))
 
 
 def tune_threshold(scored: DataFrame) -> DataFrame:

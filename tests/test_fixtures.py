@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.functions.python_semantics import exact_round, nfkc, quoted
+from folioscope import catalog
 from folioscope.operators import align, dataset, extract, features, headings, labeler, levels, locate, merge, routing, scoring, toc
 from folioscope.plans import outline
 from folioscope.sources import files
@@ -344,3 +345,26 @@ def test_labeler(spark, tmp_path):
         labeler.Labeler.load(spark, f"{tmp_path}/n")
     with pytest.raises(labeler.LabelerError):
         labeler.Labeler.load(spark, f"{tmp_path}/missing")
+
+
+def test_bootstrap_is_one_scheme(spark):
+    rows = [(m, i, 0.0, 0.0, ((i * 37) % 101) / 101 - 0.3) for m in ("f1", "recall") for i in range(400)]
+    df = spark.createDataFrame(rows, "metric string, doc_id long, b double, c double, delta double")
+    ends = lambda pairs, **kw: [tuple(r) for r in scoring.bootstrap(pairs, 2000, **kw).orderBy("metric").collect()]
+    x = [r[4] for r in rows[:400]]
+    mean, half = sum(x) / 400, 1.96 * (sum((v - sum(x) / 400) ** 2 for v in x) / 400 / 400) ** 0.5
+    for most in (10_000, 50):
+        got = ends(df.repartition(1), most=most)
+        assert got == ends(df.repartition(7, "delta"), most=most) and got[0][1:] == got[1][1:]
+        assert got[0][1] == pytest.approx(mean - half, abs=0.1 * half) and got[0][2] == pytest.approx(mean + half, abs=0.1 * half)
+    # the number of draws is that of the documents in every resample
+    same = ends(df.withColumn("delta", F.lit(0.25)), most=50)
+    assert [r[1:] for r in same] == [(0.25, 0.25)] * 2
+
+
+@pytest.mark.parametrize("name", ["bootstrap_ci"])
+def test_bootstrap_query_takes_the_default(spark, sf_dir, monkeypatch, name):
+    asked = []
+    real = scoring.bootstrap
+    monkeypatch.setattr(scoring, "bootstrap", lambda pairs, resamples=10_000, **kw: asked.append(resamples) or real(pairs, resamples, **kw))
+    assert catalog.QUERIES[name](spark, sf_dir).count() > 0 and asked == [10_000]

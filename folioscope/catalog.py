@@ -235,9 +235,8 @@ def mask_semi(spark, sf_dir):
 
 @query()
 def printed_page_align(spark, sf_dir):
-    gold = V.gold(spark, sf_dir).where("pos < 12")
-    rows = V.predicted(spark, sf_dir, 0).where("pos < 12").withColumn("printed_page", F.col("pos") + 1)
-    return align.align_printed_pages(gold, rows)
+    rows = V.predicted(spark, sf_dir, 0).withColumn("printed_page", F.col("pos") + 1)
+    return align.align_printed_pages(V.gold(spark, sf_dir), rows)
 
 
 _LF = f"""WITH {V.DOC_LINES}, {_BODY.format('dl')},

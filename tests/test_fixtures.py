@@ -11,6 +11,7 @@ from folioscope import catalog
 from folioscope.operators import align, dataset, extract, features, headings, labeler, levels, locate, merge, routing, scoring, toc
 from folioscope.plans import outline
 from folioscope.sources import files
+from folioscope.sources import views as V
 from folioscope.streaming import admission
 
 LINE = "doc_id long, line_no int, text string, page int, x double, y double, size double, bold boolean"
@@ -368,3 +369,9 @@ def test_bootstrap_query_takes_the_default(spark, sf_dir, monkeypatch, name):
     real = scoring.bootstrap
     monkeypatch.setattr(scoring, "bootstrap", lambda pairs, resamples=10_000, **kw: asked.append(resamples) or real(pairs, resamples, **kw))
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0 and asked == [10_000]
+
+
+def test_printed_pages_of_all_entries(spark, sf_dir):
+    out = catalog.QUERIES["printed_page_align"](spark, sf_dir).cache()
+    assert out.count() == V.gold(spark, sf_dir).count()
+    assert out.where("pos >= 12 and printed_page is not null").count() > 0

@@ -432,12 +432,13 @@ def has_text_layer(spark, sf_dir):
 
 @query()
 def labeler_detect(spark, sf_dir):
-    """A line classifier trained on even documents, applied to odd ones."""
+    """A line classifier fitted on the train split, its threshold on the val split, applied to all lines."""
     lines = V.doc_lines(spark, sf_dir)
     f = features.feature_columns(features.line_features(lines)).join(V.gold(spark, sf_dir).select("doc_id", F.col("pos").alias("line_no"), "level"), ["doc_id", "line_no"], "left")
     f = f.withColumn("label", F.coalesce("level", F.lit(0))).drop("level")
-    model = labeler.Labeler.train(f.where("doc_id % 4 = 0"), f.where("doc_id % 4 = 2"), trees=3, depth=3)
-    return model.detect(f.where("doc_id % 2 = 1"))
+    split = V.records(spark, sf_dir).groupBy(F.col("ord").alias("doc_id")).agg(T.split_of(F.min("sha256")).alias("split"))
+    fit, tune = (f.join(split.where(F.col("split") == s), "doc_id", "left_semi") for s in ("train", "val"))
+    return labeler.Labeler.train(fit, tune).detect(f)
 
 
 @query()

@@ -375,3 +375,22 @@ def test_printed_pages_of_all_entries(spark, sf_dir):
     out = catalog.QUERIES["printed_page_align"](spark, sf_dir).cache()
     assert out.count() == V.gold(spark, sf_dir).count()
     assert out.where("pos >= 12 and printed_page is not null").count() > 0
+
+
+def test_labeler_query_detects_on_all_lines(spark, sf_dir, monkeypatch):
+    seen = {}
+
+    class Fake:
+        def detect(self, rows):
+            return rows
+
+    def train(rows, validation, *args, **kw):
+        seen.update(fit=rows, tune=validation, args=(args, kw))
+        return Fake()
+
+    monkeypatch.setattr(labeler.Labeler, "train", train)
+    out = catalog.QUERIES["labeler_detect"](spark, sf_dir)
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").distinct().collect()}
+    assert seen["args"] == ((), {}) and out.count() == V.doc_lines(spark, sf_dir).count()
+    split = {r["ord"]: r["s"] for r in V.records(spark, sf_dir).select("ord", T.split_of(F.col("sha256")).alias("s")).collect()}
+    assert ids(seen["fit"]) == {d for d in ids(out) if split[d] == "train"} and ids(seen["tune"]) == {d for d in ids(out) if split[d] == "val"}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import align, context, dataset, extract, features, headings, labeler, levels, locate, merge, routing, scoring, toc
-from folioscope.plans import outline
+from folioscope.operators import align, context, dataset, entries, extract, features, headings, labeler, levels, locate, merge, routing, scoring, toc
+from folioscope.plans import backends, corpus, outline, process
 from folioscope.ship import ship
 from folioscope.sources import views as V
 from folioscope.streaming import admission
@@ -66,8 +66,9 @@ def body_size_mode(spark, sf_dir):
     return headings.body_size(V.doc_lines(spark, sf_dir))
 
 
-_HEADINGS = rf"""WITH {V.HTML_LINES}, {_BODY.format('hl')},
-c0 AS (SELECT hl.*, body, {_STRIP.format('text')} AS s FROM hl JOIN bo USING (doc_id)),
+def _headings(lines: str, made: str = "he") -> str:
+    """CTE `made`: the headings of a line CTE that has its body sizes in `bo`."""
+    return rf"""c0 AS (SELECT l.*, body, {_STRIP.format('text')} AS s FROM {lines} l JOIN bo USING (doc_id)),
 c1 AS (SELECT *, regexp_matches(s, '(?i)^(chapter|part|appendix)\s+([0-9ivxlc]+)\b') OR regexp_matches(s, '^\d+(?:\.\d+)*[.\s]\s*\S') AS marked FROM c0
   WHERE {_WORDS.format('text')} <= 12 AND s <> '' AND NOT regexp_matches(s, '^\d+$')),
 c2 AS (SELECT * FROM c1 WHERE size >= body * 1.15 OR (bold AND marked)),
@@ -75,8 +76,11 @@ c3 AS (SELECT *, CASE WHEN lag(page) OVER w = page AND lag(size) OVER w = size A
   FROM c2 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 c4 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM c3),
 c5 AS (SELECT doc_id, g, string_agg(s, ' ' ORDER BY line_no) AS title, arg_min(page, line_no) AS page, arg_min(y, line_no) AS y, arg_min(size, line_no) AS tier FROM c4 GROUP BY doc_id, g),
-he AS (SELECT doc_id, g::INT AS pos, title, coalesce(CASE WHEN regexp_extract(title, '^(\d+(?:\.\d+)*)[.\s]\s*', 1) <> '' THEN len(string_split(regexp_extract(title, '^(\d+(?:\.\d+)*)[.\s]\s*', 1), '.')) END,
+{made} AS (SELECT doc_id, g::INT AS pos, title, coalesce(CASE WHEN regexp_extract(title, '^(\d+(?:\.\d+)*)[.\s]\s*', 1) <> '' THEN len(string_split(regexp_extract(title, '^(\d+(?:\.\d+)*)[.\s]\s*', 1), '.')) END,
   CASE WHEN regexp_matches(title, '(?i)^(chapter|part|appendix)\s+([0-9ivxlc]+)\b') THEN 1 END, dense_rank() OVER (PARTITION BY doc_id ORDER BY tier DESC))::INT AS level, page, y FROM c5)"""
+
+
+_HEADINGS = f"WITH {V.HTML_LINES}, {_BODY.format('hl')}, {_headings('hl')}"
 _SANITIZED = """sa AS (SELECT doc_id, pos, title, (rn + least(0, min(greatest(level, 1) - rn) OVER (PARTITION BY doc_id ORDER BY pos)))::INT AS level, page, y
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM {0} WHERE page IS NOT NULL))"""
 
@@ -87,13 +91,16 @@ def heading_outline(spark, sf_dir):
     return levels.sanitize_levels(headings.detect_headings(V.html_lines(spark, sf_dir)))
 
 
-_TOC = rf"""WITH {V.TOC_LINES},
-tp AS (SELECT doc_id, page, bool_or(regexp_matches(text, '(?i)^(table of )?contents$')) AS headed, count_if(regexp_matches(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})$')) AS n FROM tl GROUP BY ALL),
+_RUN = rf"""tp AS (SELECT doc_id, page, bool_or(regexp_matches(text, '(?i)^(table of )?contents$')) AS headed, count_if(regexp_matches(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})$')) AS n FROM tl GROUP BY ALL),
 tq AS (SELECT *, (headed AND n >= 3) OR n >= 8 AS strict FROM tp JOIN (SELECT doc_id, max(page) + 1 AS pc FROM tl GROUP BY 1) USING (doc_id) WHERE page < greatest(30, floor(pc * 0.15))),
 ts AS (SELECT * FROM (SELECT *, min(CASE WHEN strict THEN page END) OVER (PARTITION BY doc_id) AS start FROM tq) WHERE page >= start),
 tu AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page) AS bad FROM
   (SELECT *, strict OR (n >= 3 AND coalesce(lag(page) OVER (PARTITION BY doc_id ORDER BY page) = page - 1, false)) AS ok FROM ts)),
 pg AS (SELECT doc_id, page FROM tu WHERE bad = 0)"""
+_TOC = f"WITH {V.TOC_LINES}, {_RUN}"
+_ROWS = r"""ro AS (SELECT tl.doc_id, line_no AS pos, x, regexp_replace(regexp_extract(text, '^(.+?)[\s.]{2,}(\d{1,4})$', 1), '^[ .]+|[ .]+$', '', 'g') AS title,
+  regexp_extract(text, '^(.+?)[\s.]{2,}(\d{1,4})$', 2)::INT AS printed_page FROM tl JOIN pg USING (doc_id, page) WHERE regexp_matches(text, '^(.+?)[\s.]{2,}(\d{1,4})$'))"""
+_NUMBER = r"len(string_split(regexp_extract(title, '^(\d+(?:\.\d+)*)[.\s]\s*', 1), '.'))::INT"
 
 
 @query(f"{_TOC} SELECT * FROM pg")
@@ -101,15 +108,17 @@ def toc_run_pages(spark, sf_dir):
     return toc.contents_pages(V.toc_lines(spark, sf_dir))
 
 
-@query(rf"""{_TOC},
-ro AS (SELECT tl.doc_id, line_no AS pos, regexp_replace(regexp_extract(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})$', 1), '^[ .]+|[ .]+$', '', 'g') AS title,
-  regexp_extract(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})$', 2)::INT AS printed_page FROM tl JOIN pg USING (doc_id, page) WHERE regexp_matches(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})$'))
-SELECT *, len(string_split(regexp_extract(title, '^(\d+(?:\.\d+)*)[.\s]\s*', 1), '.'))::INT AS level FROM ro""")
+@query(f"{_TOC}, {_ROWS} SELECT * EXCLUDE (x), {_NUMBER} AS level FROM ro")
 def toc_parse_numbered(spark, sf_dir):
     return toc.parse_contents(V.toc_lines(spark, sf_dir))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {V.TOC_LINES.replace('tl AS', 'tn AS')}, tl AS (SELECT * REPLACE (regexp_replace(text, '^\d+(\.\d+)? ', '') AS text) FROM tn), {_RUN}, {_ROWS},
+xl AS (SELECT doc_id, list_sort(list(DISTINCT x)) AS xs FROM ro GROUP BY 1),
+xr AS (SELECT doc_id, 1 AS i, [xs[1]] AS tiers FROM xl UNION ALL
+  SELECT xr.doc_id, i + 1, CASE WHEN xs[i + 1] - tiers[-1] >= 5 THEN list_append(tiers, xs[i + 1]) ELSE tiers END FROM xr JOIN xl ON xr.doc_id = xl.doc_id WHERE i < len(xs)),
+xt AS (SELECT doc_id, arg_max(tiers, i) AS tiers FROM xr GROUP BY 1)
+SELECT doc_id, pos, title, (1 + len(list_filter(tiers, lambda t: t + 5 <= x)))::INT AS level, printed_page FROM ro JOIN xt USING (doc_id)""")
 def toc_indent_tiers(spark, sf_dir):
     """Contents rows without their numbers: levels come from indentation alone."""
     lines = V.toc_lines(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"^\d+(\.\d+)? ", ""))
@@ -136,11 +145,17 @@ def sanitize_levels(spark, sf_dir):
 
 
 @query(f"""WITH {V.DOC_LINES}, {V.GOLD}, {_SANITIZED.format('go')}
-SELECT doc_id, pos, level, title, page + 1 AS page, y, repeat('  ', level - 1) || title || '  (page ' || (page + 1) || ')' AS printed FROM sa""")
+SELECT doc_id, pos, level, title, page + 1 AS page, y FROM sa""")
 def outline_write(spark, sf_dir):
     return levels.outline_rows(V.gold(spark, sf_dir))
 
 
+@query(f"""WITH {V.DOC_LINES}, {V.GOLD} SELECT doc_id, pos, repeat('  ', level - 1) || title || '  (page ' || CASE WHEN pos % 5 = 0 THEN '?' ELSE (page + 1)::VARCHAR END || ')' AS printed FROM go""")
+def outline_print(spark, sf_dir):
+    g = V.gold(spark, sf_dir)
+    return levels.printed_outline(g.withColumn("page", F.when(F.col("pos") % 5 != 0, F.col("page"))))
+
+
 def _scores(which: int) -> str:
     k = _title_key("title")
     rn = "row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS rn"
@@ -200,30 +215,72 @@ def agreement(spark, sf_dir):
     return merge.agreement(V.predicted(spark, sf_dir, 0), V.predicted(spark, sf_dir, 1))
 
 
-@query(rf"""WITH {V.DOC_LINES}, {V.GOLD}, l AS (SELECT doc_id, line_no, text, page, y, {_match_key('text')} AS k, {_match_key(_strip_labels('text'))} AS b FROM dl),
-e AS (SELECT doc_id, pos, title, level, {_match_key('title')} AS k, {_match_key(_strip_labels('title'))} AS b FROM go),
-c AS (SELECT e.doc_id, e.pos, e.title, e.level, l.page, l.y, l.line_no, l.text, e.b = l.b AS same FROM e JOIN l ON e.doc_id = l.doc_id AND (
+def _found(lines: str, wanted: str, where: str = "") -> str:
+    """CTE `mc`: the pairs of an entry CTE (doc_id, pos, title) and a line CTE whose titles match."""
+    return rf"""ml AS (SELECT doc_id, line_no, text, page, y, {_match_key('text')} AS k, {_match_key(_strip_labels('text'))} AS b FROM {lines} {where}),
+me AS (SELECT doc_id, pos, title, {_match_key('title')} AS k, {_match_key(_strip_labels('title'))} AS b FROM {wanted}),
+mc AS (SELECT e.doc_id, e.pos, l.page, l.y, l.line_no, CASE WHEN e.b = l.b THEN {_STRIP.format('l.text')} ELSE e.title END AS title FROM me e JOIN ml l ON e.doc_id = l.doc_id AND (
   (e.k <> '' AND l.k <> '' AND (e.k = l.k OR (length(e.k) >= 8 AND starts_with(l.k, e.k)) OR (length(l.k) >= 8 AND starts_with(e.k, l.k))))
-  OR ((e.k <> e.b OR l.k <> l.b) AND e.b <> '' AND l.b <> '' AND (e.b = l.b OR (length(e.b) >= 8 AND starts_with(l.b, e.b)) OR (length(l.b) >= 8 AND starts_with(e.b, l.b))))))
-SELECT doc_id, pos, CASE WHEN same THEN {_STRIP.format('text')} ELSE title END AS title, level, page, y FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY page, line_no) AS r FROM c) WHERE r = 1""")
+  OR ((e.k <> e.b OR l.k <> l.b) AND e.b <> '' AND l.b <> '' AND (e.b = l.b OR (length(e.b) >= 8 AND starts_with(l.b, e.b)) OR (length(l.b) >= 8 AND starts_with(e.b, l.b))))))"""
+
+
+def _placed(lines: str, wanted: str) -> str:
+    """CTE `lo`: the entries (doc_id, pos, title, level, printed_page) placed by hints that improve; after `mc`."""
+    return f"""hp AS (SELECT doc_id, max(page) + 1 AS pages FROM {lines} GROUP BY 1), hc AS (SELECT doc_id, pos, list({{'p': page, 'n': line_no}}) AS c FROM mc GROUP BY ALL),
+hn AS (SELECT e.doc_id, e.pos, e.title, e.level, e.printed_page, coalesce(pages, 0) AS pages, c, row_number() OVER (PARTITION BY e.doc_id ORDER BY e.pos) AS rn
+  FROM {wanted} e LEFT JOIN hc ON e.doc_id = hc.doc_id AND e.pos = hc.pos LEFT JOIN hp ON e.doc_id = hp.doc_id),
+hr AS (SELECT doc_id, 0::BIGINT AS rn, []::BIGINT[] AS offs, NULL::BIGINT AS pos, NULL::BIGINT AS page, NULL::BIGINT AS line_no FROM (SELECT DISTINCT doc_id FROM hn)
+  UNION ALL SELECT doc_id, rn, CASE WHEN best IS NOT NULL AND printed_page IS NOT NULL THEN list_append(offs, (best.p - (printed_page - 1))::BIGINT) ELSE offs END, pos::BIGINT,
+    coalesce(best.p, CASE WHEN printed_page IS NOT NULL THEN hint END)::BIGINT, best.n::BIGINT FROM (
+    SELECT *, list_sort(list_transform(c, lambda x: {{'d': abs(x.p - hint), 'b': x.p < hint, 'n': x.n, 'p': x.p}}))[1] AS best FROM (
+      SELECT hn.*, offs, CASE WHEN printed_page IS NULL THEN 0 ELSE least(greatest(printed_page - 1 + round_even(coalesce(list_aggregate(offs, 'median'), 0), 0), 0), greatest(pages - 1, 0)) END::BIGINT AS hint
+      FROM hr JOIN hn ON hn.doc_id = hr.doc_id AND hn.rn = hr.rn + 1))),
+lo AS (SELECT hn.doc_id, hn.pos, coalesce(mc.title, hn.title) AS title, level, hr.page, mc.y, printed_page, hr.line_no IS NULL AS failed FROM hr JOIN hn ON hr.doc_id = hn.doc_id AND hr.rn = hn.rn
+  LEFT JOIN mc ON mc.doc_id = hr.doc_id AND mc.pos = hr.pos AND mc.line_no = hr.line_no)"""
+
+
+_FIRST = "(SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY page, line_no) AS r FROM mc)"
+
+
+@query(f"""WITH {V.DOC_LINES}, {V.GOLD}, {_found('dl', 'go')} SELECT doc_id, pos, f.title, level, f.page, f.y FROM {_FIRST} f JOIN go USING (doc_id, pos) WHERE r = 1""")
 def locate_unhinted(spark, sf_dir):
     return locate.locate_unhinted(V.gold(spark, sf_dir), V.doc_lines(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {V.DOC_LINES}, {V.GOLD}, {_found('dl', 'go')}, {_placed('dl', 'go')} SELECT * FROM lo")
 def locate_hinted(spark, sf_dir):
     return locate.locate_hinted(V.gold(spark, sf_dir), V.doc_lines(spark, sf_dir))
 
 
 def _bookmarks(spark, sf_dir):
-    return V.gold(spark, sf_dir).where("pos % 3 <> 1").select("doc_id", "pos", "level", "title", (F.col("page") + 1 + F.col("pos") % 3).alias("page"))
+    return V.gold(spark, sf_dir).where("pos % 3 <> 1").select("doc_id", "pos", "level", "title", (F.col("page") + 1 + F.col("pos") % 3).alias("page"), "k_merge")
 
 
-@query()
+_BOOKMARKS = "bm AS (SELECT doc_id, pos, level, title, page + 1 + pos % 3 AS page FROM go WHERE pos % 3 <> 1)"
+_CLAIMS = f"""bl AS (SELECT doc_id, k, list({{'p': page, 'n': line_no}}) AS ls FROM (SELECT doc_id, page, line_no, {_merge_key('text')} AS k FROM dl) WHERE k <> '' GROUP BY ALL),
+be AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS rn FROM (SELECT doc_id, pos, level, greatest(page - 1, 0) AS hint, {_merge_key('title')} AS k FROM bm) WHERE k <> ''),
+br AS (SELECT doc_id, k, 0::BIGINT AS rn, []::BIGINT[] AS used, NULL::BIGINT AS pos, NULL::BIGINT AS n FROM (SELECT DISTINCT doc_id, k FROM be)
+  UNION ALL SELECT doc_id, k, rn, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.n::BIGINT) END, pos::BIGINT, best.n::BIGINT FROM (
+    SELECT be.*, used, list_sort(list_transform(list_filter(ls, lambda x: abs(x.p - hint) <= 1 AND NOT list_contains(used, x.n::BIGINT)),
+      lambda x: {{'o': CASE WHEN x.p = hint THEN 0 WHEN x.p = hint + 1 THEN 1 ELSE 2 END, 'n': x.n}}))[1] AS best
+    FROM br JOIN be ON be.doc_id = br.doc_id AND be.k = br.k AND be.rn = br.rn + 1 LEFT JOIN bl ON bl.doc_id = be.doc_id AND bl.k = be.k)),
+cl AS (SELECT bm.doc_id, bm.pos, br.n AS line_no, CASE WHEN br.n IS NOT NULL THEN least(greatest(level, 1), 4) END AS label FROM bm LEFT JOIN br ON br.doc_id = bm.doc_id AND br.pos = bm.pos)"""
+_CLAIMED = f"WITH RECURSIVE {V.DOC_LINES}, {V.GOLD}, {_BOOKMARKS}, {_CLAIMS}"
+
+
+@query(f"{_CLAIMED} SELECT doc_id, line_no, label FROM cl WHERE line_no IS NOT NULL")
 def band_align(spark, sf_dir):
     return align.align_labels(V.doc_lines(spark, sf_dir), _bookmarks(spark, sf_dir))
 
 
+@query(f"""{_CLAIMED}, s AS (SELECT count(line_no) AS aligned, count_if(line_no IS NULL) AS unaligned, (SELECT count(*) FROM dl) AS lines FROM cl)
+SELECT aligned, unaligned, 0 AS masked, lines, round(aligned / (aligned + unaligned), 9) AS aligned_share, round(aligned / lines, 9) AS positive_share, 0.0 AS masked_share FROM s""")
+def alignment_totals(spark, sf_dir):
+    lines = V.doc_lines(spark, sf_dir)
+    out = align.alignment_totals(align.alignment_counts(align.claims(lines, _bookmarks(spark, sf_dir))), lines)
+    return out.withColumns({c: F.round(c, 9) for c in ("aligned_share", "positive_share", "masked_share")})
+
+
 @query(rf"""WITH {V.DOC_LINES}, {V.GOLD}, u AS (SELECT DISTINCT doc_id, {_merge_key('title')} AS t FROM go WHERE pos % 3 = 1),
 l AS (SELECT doc_id, line_no, {_merge_key('text')} AS k FROM dl WHERE pos_mod <> 0 AND page <> 0 AND NOT regexp_matches({_STRIP.format('text')}, '^(.+?)[\s.]{{2,}}(\d{{1,4}})$'))
 SELECT DISTINCT l.doc_id, l.line_no FROM l JOIN u ON l.doc_id = u.doc_id AND k <> '' AND t <> '' AND (k = t OR (length(t) >= 8 AND starts_with(k, t)) OR (length(k) >= 8 AND starts_with(t, k)))""".replace("pos_mod", "line_no % 3"))
@@ -253,15 +310,20 @@ def line_features(spark, sf_dir):
   lead(size) OVER o AS nsize, lag(size) OVER o AS psize, lead(gap_above) OVER o AS ngap, lead(bold) OVER o AS nbold, lag(bold) OVER o AS pbold, lead(x) OVER o AS nx_x, lead(size_ratio) OVER o AS nratio,
   quantile_cont(size, 0.5) OVER f AS med, avg(CASE WHEN bold THEN 1.0 ELSE 0.0 END) OVER f AS wb
   FROM lf WINDOW o AS (PARTITION BY doc_id ORDER BY line_no), f AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))
-SELECT doc_id, line_no, round(size_vs, 9) AS size_vs_next, round(s / CASE WHEN pv THEN psize ELSE s END, 9) AS size_vs_prev, round(s / med, 9) AS size_vs_window, round(CASE WHEN nx THEN ngap ELSE 0 END / s, 9) AS gap_below,
-  round(gap_above / greatest(CASE WHEN nx AND ngap > 0.01 THEN ngap ELSE 0.01 END, 0.01), 9) AS gap_ratio, (CASE WHEN nx THEN nbold ELSE bold END)::INT::DOUBLE AS next_bold, (CASE WHEN pv THEN pbold ELSE bold END)::INT::DOUBLE AS prev_bold,
-  x - CASE WHEN nx THEN nx_x ELSE x END AS x_minus_next, CASE WHEN nx THEN nratio ELSE size_ratio END AS next_size_ratio, round(wb, 9) AS window_bold_frac, round(page / pages, 9) AS page_frac, round(y / 792.0, 9) AS y_frac,
-  round(gap_above / s, 9) AS gap_ems, length({_STRIP.format('text')})::DOUBLE AS chars FROM (SELECT *, s / CASE WHEN nx THEN nsize ELSE s END AS size_vs FROM w)""")
+SELECT doc_id, line_no, size_ratio AS body_ratio, bold::INT::DOUBLE AS is_bold, words::DOUBLE AS n_words, length(ink)::DOUBLE AS n_chars, round(gap_above / s, 9) AS above_ems, x AS left,
+  round(y / 792.0, 9) AS height_share, round(page / pages, 9) AS page_share, (label <> '')::INT::DOUBLE AS has_label,
+  CASE WHEN label = '' THEN 0 ELSE len(list_filter(string_split(regexp_replace(label, '\.+$', ''), '.'), lambda p: p <> '')) END::DOUBLE AS label_depth,
+  regexp_matches(ink, '^[^a-z]*[A-Z][^a-z]*$')::INT::DOUBLE AS is_upper, ends_with(ink, ':')::INT::DOUBLE AS colon_end, ends_with(ink, '.')::INT::DOUBLE AS period_end,
+  round(coalesce((length(ink) - length(regexp_replace(ink, '[0-9]', '', 'g'))) / nullif(length(ink), 0), 0), 9) AS digit_share,
+  round(s / CASE WHEN nx THEN nsize ELSE s END, 9) AS size_to_next, round(s / CASE WHEN pv THEN psize ELSE s END, 9) AS size_to_last, round(s / med, 9) AS size_to_median,
+  round(CASE WHEN nx THEN ngap ELSE 0 END / s, 9) AS below_ems, round(gap_above / greatest(CASE WHEN nx AND ngap > 0.01 THEN ngap ELSE 0.01 END, 0.01), 9) AS gap_quotient,
+  (CASE WHEN nx THEN nbold ELSE bold END)::INT::DOUBLE AS bold_next, (CASE WHEN pv THEN pbold ELSE bold END)::INT::DOUBLE AS bold_last,
+  x - CASE WHEN nx THEN nx_x ELSE x END AS indent_to_next, CASE WHEN nx THEN nratio ELSE size_ratio END AS body_ratio_next, round(wb, 9) AS bold_share
+FROM (SELECT *, regexp_extract(ink, '^LABEL', 1) AS label FROM (SELECT *, STRIP AS ink FROM w))""".replace("LABEL", _LABEL).replace("STRIP", _STRIP.format("text")))
 def window_features(spark, sf_dir):
     f = features.feature_columns(features.line_features(V.doc_lines(spark, sf_dir)))
-    exact = ["next_bold", "prev_bold", "x_minus_next", "next_size_ratio", "chars"]
-    near = ["size_vs_next", "size_vs_prev", "size_vs_window", "gap_below", "gap_ratio", "window_bold_frac", "page_frac", "y_frac", "gap_ems"]
-    return f.select("doc_id", "line_no", *exact, *(F.round(c, 9).alias(c) for c in near))
+    near = "above_ems height_share page_share digit_share size_to_next size_to_last size_to_median below_ems gap_quotient bold_share".split()
+    return f.withColumns({c: F.round(c, 9) for c in near})
 
 
 @query(f"""WITH {V.DOC_LINES}, {_BODY.format('dl')}, c AS (SELECT dl.*, body, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn FROM dl JOIN bo USING (doc_id) WHERE size >= body * 1.1 OR bold),
@@ -287,18 +349,19 @@ def route_budget(spark, sf_dir):
 
 
 @query(f"""WITH {V.DOC_LINES}, {_STATS}, ju AS (SELECT doc_id, bool_or(coalesce(up > 1, false)) AS jump FROM (SELECT doc_id, lead(level) OVER (PARTITION BY doc_id ORDER BY pos) - level AS up FROM go) GROUP BY 1),
-x AS (SELECT st.*, jump, doc_id % 4 AS failures, doc_id % 2 = 0 AS used_toc, doc_id % 5 = 0 AS used_labeler, CASE doc_id % 6 WHEN 0 THEN 'never' WHEN 1 THEN 'always' ELSE 'auto' END AS mode, doc_id % 3 = 0 AS has_key, doc_id % 7 <> 0 AS needs FROM st JOIN ju USING (doc_id)),
+x AS (SELECT st.*, jump, doc_id % 4 AS failures, doc_id % 2 = 0 AS used_toc, doc_id % 5 = 0 AS used_labeler, CASE doc_id % 6 WHEN 0 THEN 'never' WHEN 1 THEN 'always' ELSE 'auto' END AS mode, doc_id % 3 = 0 AS has_key, CASE WHEN doc_id % 7 = 0 THEN 'local' WHEN doc_id % 7 < 4 THEN 'anthropic' ELSE 'gemini' END AS provider FROM st JOIN ju USING (doc_id)),
 y AS (SELECT *, n_entries = 0 OR n_entries / greatest(page_count, 1) <= 0.5 AS sparse, n_entries = 0 OR (used_toc AND n_entries < 3) OR failures / n_entries > 0.2 OR (NOT used_toc AND jump) OR (page_count >= 300 AND n_levels = 1) AS low FROM x),
-z AS (SELECT *, CASE WHEN used_labeler THEN sparse ELSE low END AS need FROM y)
-SELECT doc_id, CASE mode WHEN 'never' THEN false WHEN 'always' THEN true ELSE need AND (has_key OR NOT needs) END AS run,
-  CASE WHEN mode = 'auto' AND need AND NOT has_key AND needs THEN 'outline confidence is low but no key is set; continuing without LLM' END AS warning FROM z""")
+z AS (SELECT *, CASE WHEN used_labeler THEN sparse ELSE low END AS need, NOT has_key AND provider <> 'local' AS missing FROM y)
+SELECT doc_id, CASE mode WHEN 'never' THEN false WHEN 'always' THEN true ELSE need AND NOT missing END AS run,
+  CASE WHEN mode = 'auto' AND need AND missing THEN 'outline confidence is low but ' || CASE provider WHEN 'anthropic' THEN 'ANTHROPIC_API_KEY' ELSE 'GEMINI_API_KEY' END || ' is not set; continuing without LLM' END AS warning FROM z""")
 def route_decision(spark, sf_dir):
     i = F.col("doc_id")
     x = _stats(spark, sf_dir).join(levels.has_level_jump(V.gold(spark, sf_dir)), "doc_id")
     mode = F.when(i % 6 == 0, "never").when(i % 6 == 1, "always").otherwise("auto")
     sparse = routing.is_sparse(F.col("n_entries"), F.col("page_count"))
     low = routing.is_low_confidence(F.col("n_entries"), i % 4, i % 2 == 0, F.col("jump"), F.col("page_count"), F.col("n_levels"))
-    return x.select("doc_id", routing.decide(mode, i % 5 == 0, sparse, low, i % 3 == 0, i % 7 != 0).alias("d")).select("doc_id", "d.run", "d.warning")
+    spec = F.when(i % 7 == 0, "local:c:/model").when(i % 7 < 4, "anthropic").otherwise("gemini:flash")
+    return x.select("doc_id", routing.decide(mode, i % 5 == 0, sparse, low, F.when(i % 3 == 0, "key"), spec).alias("d")).select("doc_id", "d.run", "d.warning")
 
 
 _SPLIT = f"""WITH {V.RECORDS}, fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha256, context_kind ORDER BY ord) AS rn FROM rec) WHERE rn = 1),
@@ -343,21 +406,37 @@ def split_semi(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT doc_id, quality AS label, ((doc_id * 7919) % 1000) / 1000.0 * 0.5 + quality * 0.4 AS score FROM labels),
-g AS (SELECT DISTINCT round(t, 4) AS threshold FROM (SELECT unnest(range(1, 20)) * 0.05::DOUBLE AS t UNION ALL SELECT 0.95::DOUBLE + unnest(range(0, 10)) * 0.005::DOUBLE UNION ALL SELECT 0.999::DOUBLE)),
-f AS (SELECT threshold, 2 * count_if(score >= threshold AND label > 0) / (count_if(score >= threshold) + count_if(label > 0)) AS f1 FROM g, s GROUP BY 1)
-SELECT threshold, round(f1, 9) AS f1 FROM f ORDER BY f.f1 DESC, threshold LIMIT 1""")
+g AS (SELECT 0.05::DOUBLE + 0.05::DOUBLE * unnest(range(0, 18)) AS threshold UNION ALL SELECT 0.95::DOUBLE + 0.005::DOUBLE * unnest(range(0, 10))),
+f AS (SELECT threshold, count_if(score >= threshold AND label > 0) AS tp, count_if(score >= threshold) AS n, count_if(label > 0) AS pos FROM g, s GROUP BY 1),
+h AS (SELECT threshold, 2 * (tp / n) * (tp / pos) / (tp / n + tp / pos) AS f1 FROM f WHERE tp > 0 UNION ALL SELECT 0.5, -1)
+SELECT threshold, round(f1, 9) AS f1 FROM h ORDER BY h.f1 DESC, threshold LIMIT 1""")
 def threshold_tune(spark, sf_dir):
     lab = V.read(spark, sf_dir, "labels")
     score = ((F.col("doc_id") * 7919) % 1000) / 1000.0 * 0.5 + F.col("quality") * 0.4
     return scoring.tune_threshold(lab.select(score.alias("score"), F.col("quality").alias("label"))).select("threshold", F.round("f1", 9).alias("f1"))
 
 
-@query()
+_HITS = """WITH RECURSIVE ev AS (SELECT user_id AS key, epoch_us(ts) / 1e6 AS ts FROM events), en AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS rn FROM ev),
+rl AS (SELECT key, 0::BIGINT AS rn, NULL::DOUBLE AS ts, []::DOUBLE[] AS ring, false AS allowed FROM (SELECT DISTINCT key FROM ev)
+  UNION ALL SELECT key, rn, ts, CASE WHEN ok THEN list_append(ring[-2:], ts) ELSE ring END, ok FROM (
+    SELECT en.key, en.rn, en.ts, ring, len(ring) < 3 OR en.ts - ring[1] > 86400 AS ok FROM rl JOIN en ON en.key = rl.key AND en.rn = rl.rn + 1)),
+al AS (SELECT key, ts, allowed FROM rl WHERE rn > 0)"""
+
+
+@query(f"{_HITS} SELECT * FROM al")
 def rate_limit(spark, sf_dir):
     hits = V.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return admission.rate_limit(hits.select("key", (F.col("us") / 1e6).alias("ts")), limit=3, window=86400.0)
 
 
+@query(f"{_HITS} SELECT key, max(ts) AS last FROM al WHERE allowed GROUP BY 1 HAVING (SELECT max(ts) FROM al) - max(ts) <= 86400")
+def live_keys(spark, sf_dir):
+    """Keys that the rate limit must still remember at the time of the last hit."""
+    told = rate_limit(spark, sf_dir)
+    now = told.agg(F.max("ts")).first()[0]
+    return admission.live_keys(told, now, 86400.0)
+
+
 @query("""SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'processing' END AS status FROM orders
 WHERE (o_orderstatus = 'F' AND epoch(TIMESTAMP '1998-06-01' - o_orderdate) > 86400 * 365) OR epoch(TIMESTAMP '1998-06-01' - o_orderdate) > 2 * 86400 * 365""")
 def job_expiry(spark, sf_dir):
@@ -368,10 +447,11 @@ def job_expiry(spark, sf_dir):
     return o.where(admission.expired(F.col("status"), F.col("created_at"), now, 86400.0 * 365)).select("id", "status")
 
 
-@query("""SELECT id, arg_max(status, ts) AS status, max(ts) AS updated FROM (SELECT user_id AS id, event_type AS status, event_id AS ts FROM events) GROUP BY 1""")
+@query("""SELECT user_id AS id, arg_max(event_type, struct_pack(ts := ts, n := event_id)) AS status, epoch_us(max(ts)) AS updated FROM events GROUP BY 1""")
 def latest_status(spark, sf_dir):
     e = V.read(spark, sf_dir, "events")
-    return admission.latest_status(e.select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("event_id").alias("ts")))
+    log = e.select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"))
+    return admission.latest_status(log, "seq")
 
 
 @query("""SELECT a.conv_id, a.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND length(a.text) + length(b.text) <= 3 * 300""")
@@ -411,7 +491,14 @@ def scalar_functions(spark, sf_dir):
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.HTML_LINES}, fr AS (SELECT doc_id, page, line_no * 2 + h AS frag_no, y, x + 110 * h AS x0, x + CASE h WHEN 0 THEN 100 ELSE 200 END AS x1, size, bold,
+    trim(CASE h WHEN 0 THEN substr(text, 1, length(text) // 2) ELSE substr(text, length(text) // 2 + 1) END) AS text FROM hl, (SELECT unnest([0, 1]) AS h)),
+fn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y, x0, frag_no) AS rn FROM fr WHERE text <> ''),
+fg AS (SELECT *, 1 AS g, y AS anchor FROM fn WHERE rn = 1 UNION ALL SELECT fn.*, CASE WHEN fn.y - anchor > 2.0 THEN g + 1 ELSE g END, CASE WHEN fn.y - anchor > 2.0 THEN fn.y ELSE anchor END
+  FROM fg JOIN fn ON fn.doc_id = fg.doc_id AND fn.page = fg.page AND fn.rn = fg.rn + 1),
+fw AS (SELECT *, lag(x1) OVER (PARTITION BY doc_id, page, g ORDER BY x0, y, frag_no) AS px FROM fg)
+SELECT doc_id, page, g, string_agg(CASE WHEN px IS NULL THEN '' WHEN x0 - px > 2.0 * size THEN '  ' ELSE ' ' END || text, '' ORDER BY x0, y, frag_no) AS text,
+  min(x0) AS x, min(y) AS y, max(size) AS size, bool_or(bold) AS bold FROM fw GROUP BY doc_id, page, g""")
 def blocks_to_lines(spark, sf_dir):
     """Web page lines cut into spans and blocks, and put together again."""
     ln = V.html_lines(spark, sf_dir)
@@ -441,7 +528,220 @@ def labeler_detect(spark, sf_dir):
     return labeler.Labeler.train(fit, tune).detect(f)
 
 
-@query()
+@query(rf"""WITH RECURSIVE {V.TOC_LINES}, {_RUN}, {_ROWS}, te AS (SELECT *, {_NUMBER} AS level FROM ro),
+{_found('tl', 'te', r"WHERE NOT ((doc_id, page) IN (SELECT doc_id, page FROM pg) AND (regexp_matches(text, '(?i)^(table of )?contents$') OR regexp_matches(text, '^(.+?)[\s.]{2,}(\d{1,4})$')))")},
+{_placed('tl', 'te')}, rest AS (SELECT *, 10.0::DOUBLE AS size, false AS bold FROM tl WHERE doc_id NOT IN (SELECT doc_id FROM te)), {_BODY.format('rest')}, {_headings('rest')}
+SELECT doc_id, pos, title, level, page, y, printed_page, failed, true AS used_toc FROM lo UNION ALL SELECT doc_id, pos, title, level, page, y, NULL, false, false FROM he""")
 def toc_outline(spark, sf_dir):
     """The whole plan: contents pages, rows, places, else headings."""
     return outline.build_outline(V.toc_lines(spark, sf_dir))
+
+
+def _predictions(spark, sf_dir, which):
+    p = V.predicted(spark, sf_dir, which)
+    return entries.to_predictions(p, p)
+
+
+_ENTRY = "{'title': title, 'level': level, 'printed_page': printed_page, 'page': page}"
+
+
+@query(f"""WITH {V.DOC_LINES}, {V.GOLD}, {V.predicted_sql(0)}, a AS (SELECT doc_id, list({_ENTRY} ORDER BY pos) AS es FROM p0 GROUP BY 1)
+SELECT doc_id, unnest(generate_series(0, len(es) - 1)) AS pos, unnest(es).title AS title, unnest(es).level AS level, unnest(es).page AS page, unnest(es).printed_page AS printed_page FROM a""")
+def predictions_as_rows(spark, sf_dir):
+    """Entries gathered into predictions, and taken apart again."""
+    return entries.to_entries(_predictions(spark, sf_dir, 0))
+
+
+@query(f"""WITH {V.DOC_LINES} SELECT doc_id, line_no AS pos, {_STRIP.format('text')} AS title, (doc_id + line_no) % 4 AS level, page, y FROM dl WHERE (doc_id + line_no) % 4 <> 0 AND {_STRIP.format('text')} <> ''""")
+def labels_to_outline(spark, sf_dir):
+    lines = V.doc_lines(spark, sf_dir)
+    return entries.entries_from_labels(lines, lines.select("doc_id", "line_no", ((F.col("doc_id") + F.col("line_no")) % 4).alias("label")))
+
+
+@query(f"""{_LF}, f AS (SELECT x AS "left", y / 792.0 AS height_share, size_ratio AS body_ratio, words::DOUBLE AS n_words FROM lf)
+SELECT unnest(['left', 'height_share', 'body_ratio', 'n_words']) AS feature, round(unnest([stddev_pop("left"), stddev_pop(height_share), stddev_pop(body_ratio), stddev_pop(n_words)]), 6) AS spread FROM f ORDER BY spread DESC LIMIT 3""")
+def feature_spread(spark, sf_dir):
+    f = features.feature_columns(features.line_features(V.doc_lines(spark, sf_dir)))
+    return entries.feature_spread(f, ["left", "height_share", "body_ratio", "n_words"], 3).withColumn("spread", F.round("spread", 6))
+
+
+@query(f"""WITH {V.DOC_LINES}, {V.GOLD}, s AS (SELECT doc_id, CASE WHEN b < 800 THEN 'train' WHEN b < 899.9999999999999 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || substr(sha256(text), 1, 8))::BIGINT % 1000 AS b FROM documents))
+SELECT split, count(*) AS lines, count(go.pos) AS headings, round(count(go.pos) / count(*), 9) AS share FROM dl JOIN s USING (doc_id) LEFT JOIN go ON go.doc_id = dl.doc_id AND go.pos = dl.line_no GROUP BY 1""")
+def split_positives(spark, sf_dir):
+    split = V.records(spark, sf_dir).select(F.col("ord").alias("doc_id"), T.split_of(F.col("sha256")).alias("split"))
+    label = F.when(F.col("n_words").between(1, 12), F.char_length("text") % 4 + 1).otherwise(0)
+    return entries.split_positives(V.doc_lines(spark, sf_dir).join(split, "doc_id").select("split", label.alias("label"))).withColumn("share", F.round("share", 9))
+
+
+@query("""SELECT doc_id, doc_id % 3 = 0 AS use, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 = 0 THEN 'OcrUnavailable' WHEN doc_id % 3 = 0 AND n_chars > 2000 THEN 'OcrPageLimit' END AS status,
+  CASE WHEN doc_id % 4 = 0 THEN coalesce(CASE WHEN doc_id % 2 = 0 THEN 'own' END, 'server') WHEN doc_id % 6 = 1 THEN NULL ELSE 'server' END AS spec,
+  CASE WHEN doc_id % 4 <> 0 AND doc_id % 6 = 1 THEN 'never' ELSE 'auto' END AS mode FROM documents""")
+def service_choices(spark, sf_dir):
+    """Whether a document must be read optically, and which model a job may use."""
+    d, i = V.read(spark, sf_dir, "documents"), F.col("doc_id")
+    ocr = process.ocr_decision("auto", i % 3 != 0, i % 5 != 0, F.col("n_chars"), 2000)
+    model = process.model_choice(F.when(i % 4 == 0, "key"), F.when(i % 2 == 0, "own"), F.when(i % 6 != 1, "server").otherwise(""), F.lit("default"), F.lit("auto"))
+    return d.select("doc_id", ocr.alias("o"), model.alias("m")).select("doc_id", "o.use", "o.status", "m.spec", "m.mode")
+
+
+_PAGES = "pc AS (SELECT doc_id, max(page) + 1 AS page_count FROM dl GROUP BY 1)"
+
+
+@query(f"""{_MERGED}, {_PAGES}, d AS (SELECT doc_id, count(*) / greatest(any_value(page_count), 1) AS density FROM p0 JOIN pc USING (doc_id) GROUP BY 1),
+r AS (SELECT doc_id FROM (SELECT *, row_number() OVER (ORDER BY density, doc_id) AS rn FROM d) WHERE rn <= (SELECT round_even(count(*) * 0.4, 0) FROM d)),
+h AS (SELECT doc_id, k, count(*) AS have FROM a GROUP BY ALL), bb AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS rn FROM b WHERE doc_id IN (SELECT doc_id FROM r)),
+u AS (SELECT doc_id, pos, title, level, page, printed_page, 0 AS side FROM a UNION ALL SELECT doc_id, pos, title, level, page, printed_page, 1 FROM bb LEFT JOIN h USING (doc_id, k) WHERE rn > coalesce(have, 0)),
+o AS (SELECT u.*, doc_id IN (SELECT doc_id FROM r) AS routed, doc_id IN (SELECT doc_id FROM r) AND doc_id IN (SELECT doc_id FROM p1) AS united FROM u)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN united THEN page END NULLS LAST, side, pos) AS pos, title, level, page, printed_page, routed FROM o""")
+def hybrid_union(spark, sf_dir):
+    """The sparsest four in ten labelled outlines, completed by the model's."""
+    pages = V.doc_lines(spark, sf_dir).groupBy("doc_id").agg((F.max("page") + 1).alias("page_count"))
+    return process.hybrid(_predictions(spark, sf_dir, 0), _predictions(spark, sf_dir, 1), pages, 0.4)
+
+
+_OPTIONS = [process.Options("auto", density=0.5), process.Options("dense", density=1.5, key="k"), process.Options("always", mode="always"), process.Options("alone", mode="always", labeler=False), process.Options("never", mode="never", labeler=False)]
+_KINDS = f"""{V.DOC_LINES}, {V.GOLD}, {V.predicted_sql(0)}, {V.predicted_sql(1)}, {_PAGES}, {_BODY.format('dl')}, {_headings('dl')}, {_found('dl', 'p1')},
+lc AS (SELECT f.doc_id, f.pos, f.title, level, f.page, f.y FROM {_FIRST} f JOIN p1 ON f.doc_id = p1.doc_id AND f.pos = p1.pos WHERE r = 1),
+ka AS (SELECT *, {_merge_key('title')} AS k FROM p0), kh AS (SELECT doc_id, k, count(*) AS have FROM ka GROUP BY ALL),
+kb AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS rn FROM (SELECT *, {_merge_key('title')} AS k FROM lc)),
+ku AS (SELECT doc_id, pos, title, level, page, y, 0 AS side FROM p0 UNION ALL SELECT doc_id, pos, title, level, page, y, 1 FROM kb LEFT JOIN kh USING (doc_id, k) WHERE rn > coalesce(have, 0)),
+al AS (SELECT 'heuristic' AS kind, doc_id, pos, title, level, page, y FROM he UNION ALL SELECT 'labeler', doc_id, pos, title, level, page, y FROM p0 UNION ALL SELECT 'located', * FROM lc
+  UNION ALL SELECT 'merged', doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page NULLS LAST, y NULLS LAST, side, pos), title, level, page, y FROM ku),
+fa AS (SELECT doc_id, page_count, count(*) FILTER (kind = 'labeler') AS nl, count(*) FILTER (kind = 'heuristic') AS nh, count(*) FILTER (kind = 'located') AS no, count(*) FILTER (kind = 'merged') AS nm,
+  count(DISTINCT CASE WHEN kind = 'heuristic' THEN level END) AS n_levels FROM pc LEFT JOIN al USING (doc_id) GROUP BY ALL),
+ju AS (SELECT doc_id, bool_or(coalesce(up > 1, false)) AS jump FROM (SELECT doc_id, lead(level) OVER (PARTITION BY doc_id ORDER BY pos) - level AS up FROM he) GROUP BY 1),
+op AS (SELECT * FROM (VALUES ('auto', 'auto', 0.5, true, false), ('dense', 'auto', 1.5, true, true), ('always', 'always', 0.5, true, false), ('alone', 'always', 0.5, false, false), ('never', 'never', 0.5, false, false)) AS v(config, mode, density, labeler, has_key)),
+ch AS (SELECT config, doc_id, labelled, run, CASE WHEN run AND labelled THEN 'merged' WHEN run THEN 'located' WHEN labelled THEN 'labeler' ELSE 'heuristic' END AS kind,
+  CASE WHEN mode = 'auto' AND need AND NOT has_key THEN 'outline confidence is low but ANTHROPIC_API_KEY is not set; continuing without LLM' END AS warning, nl, nh, no, nm FROM (
+  SELECT *, CASE mode WHEN 'never' THEN false WHEN 'always' THEN true ELSE need AND has_key END AS run FROM (
+    SELECT op.*, fa.*, labeler AND nl > 0 AS labelled, CASE WHEN labeler AND nl > 0 THEN nl / greatest(page_count, 1) <= density ELSE nh = 0 OR coalesce(jump, false) OR (page_count >= 300 AND n_levels = 1) END AS need
+    FROM op, fa LEFT JOIN ju USING (doc_id)))),
+cn AS (SELECT *, CASE kind WHEN 'merged' THEN nm WHEN 'located' THEN no WHEN 'labeler' THEN nl ELSE nh END AS n FROM ch),
+fo AS (SELECT config, al.* FROM cn JOIN al USING (doc_id, kind))"""
+
+
+@query(f"""WITH {_KINDS}, kk AS (SELECT config, doc_id, level, row_number() OVER (PARTITION BY config, doc_id, k ORDER BY pos) AS rn, k FROM (SELECT *, {_title_key(_strip_labels('title'))} AS k FROM fo)),
+gg AS (SELECT doc_id, level, printed_page, k, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS rn FROM (SELECT *, {_title_key(_strip_labels('title'))} AS k FROM go)),
+mm AS (SELECT config, kk.doc_id, count(*) AS m, count_if(kk.level = gg.level) AS lv, count(printed_page) AS pg FROM kk JOIN gg ON kk.doc_id = gg.doc_id AND kk.k = gg.k AND kk.rn = gg.rn GROUP BY ALL),
+ng AS (SELECT doc_id, count(*) AS ng FROM go GROUP BY 1), sc AS (SELECT config, doc_id, kind, run, n, m / n AS p, m / ng AS r, lv / nullif(m, 0) AS la, 0 / nullif(pg, 0) AS pa, ng FROM (SELECT cn.*, ng, coalesce(m, 0) AS m, lv, pg FROM cn LEFT JOIN ng USING (doc_id) LEFT JOIN mm USING (config, doc_id))),
+sd AS (SELECT *, n > 0 AND ng IS NOT NULL AS scored, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM sc)
+SELECT config, count_if(scored) AS documents, count_if(scored AND run) AS routed, round(count_if(scored AND run) / count_if(scored), 9) AS routed_share, round(avg(p) FILTER (scored), 9) AS "precision", round(avg(r) FILTER (scored), 9) AS recall,
+  round(avg(f1) FILTER (scored), 9) AS f1, round(avg(la) FILTER (scored), 9) AS level_accuracy, round(avg(pa) FILTER (scored), 9) AS page_accuracy, count_if(n = 0) AS n_failed, round(sum(f1) FILTER (scored), 6) AS f1_sum FROM sd GROUP BY 1""")
+def route_sweep(spark, sf_dir):
+    """Five routing options scored by one plan."""
+    lines = V.doc_lines(spark, sf_dir)
+    docs = lines.groupBy("doc_id").agg((F.max("page") + 1).alias("page_count"))
+    said = backends.get_backend("replay", predictions=_predictions(spark, sf_dir, 1)).outlines(docs)
+    out = process.sweep(docs, lines, V.predicted(spark, sf_dir, 0).drop("printed_page"), said, V.gold(spark, sf_dir), _OPTIONS)
+    shown = {m: F.round(m, 9) for m in (*scoring.METRICS, "routed_share")} | {"n_failed": F.size("failed"), "f1_sum": F.round(F.aggregate("f1s", F.lit(0.0), lambda a, x: a + x), 6)}
+    return out.withColumns(shown).drop("failed", "f1s")
+
+
+@query(f"""WITH {_KINDS}, w AS (SELECT doc_id, count(*) AS c FROM fo WHERE config = 'auto' AND page IS NOT NULL GROUP BY 1)
+SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'Encrypted' WHEN n = 0 THEN 'NoOutline' ELSE 'done' END AS status, CASE WHEN doc_id % 19 <> 0 THEN coalesce(c, 0) ELSE 0 END AS bookmark_count,
+  doc_id % 19 <> 0 AND run AS used_llm, false AS used_toc, doc_id % 19 <> 0 AND labelled AS used_labeler, CASE WHEN doc_id % 19 <> 0 THEN warning END AS warning FROM cn LEFT JOIN w USING (doc_id) WHERE config = 'auto'""")
+def process_documents(spark, sf_dir):
+    """Every document with its status, as the whole pipeline leaves it."""
+    lines = V.doc_lines(spark, sf_dir)
+    docs = lines.groupBy("doc_id").agg((F.max("page") + 1).alias("page_count")).withColumn("status", F.when(F.col("doc_id") % 19 == 0, "Encrypted"))
+    said = backends.get_backend("replay", predictions=_predictions(spark, sf_dir, 1)).outlines(docs)
+    results, _ = process.process(docs, lines, V.predicted(spark, sf_dir, 0), said)
+    return results.withColumn("warning", F.get("warnings", F.lit(0))).drop("warnings")
+
+
+def _decoded(spark, sf_dir):
+    """Documents as a decoder leaves them: some unreadable or encrypted, half with an embedded outline."""
+    i = F.col("doc_id")
+    d = V.read(spark, sf_dir, "documents").select(
+        "doc_id", F.format_string("%d.pdf", "doc_id").alias("file"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"),
+        (F.col("n_chars") / 300).cast("int").alias("page_count"), (i % 29 == 0).alias("unreadable"), (i % 23 == 0).alias("encrypted"),
+    )
+    one = F.struct("pos", F.struct("level", "title", "page").alias("t"))
+    toc = _bookmarks(spark, sf_dir).where("doc_id % 2 = 0").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]).alias("toc"))
+    return d.join(toc, "doc_id", "left")
+
+
+_DOCS = f"""{V.DOC_LINES}, {V.GOLD}, bm AS (SELECT doc_id, pos, level, title, page + 1 + pos % 3 AS page FROM go WHERE pos % 3 <> 1 AND doc_id % 2 = 0), {_BODY.format('dl')},
+de AS (SELECT doc_id, sha256(text) AS sha256, (n_chars // 300)::INT AS page_count, doc_id % 29 = 0 AS unreadable, doc_id % 23 = 0 AS encrypted, doc_id IN (SELECT doc_id FROM bm) AS has_outline,
+  doc_id IN (SELECT doc_id FROM dl WHERE page < 10 AND {_STRIP.format('text')} <> '') AS has_text FROM documents)"""
+_QUOTED = r"""CASE WHEN contains(text, '''') AND NOT contains(text, '"') THEN '"' || replace(text, '\', '\\') || '"' ELSE '''' || replace(replace(text, '\', '\\'), '''', '\''') || '''' END"""
+_CONTEXT = f"""cc AS (SELECT dl.*, body, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn FROM dl JOIN bo USING (doc_id) WHERE size >= body * 1.1 OR bold),
+ct AS (SELECT doc_id, any_value(body) AS body, string_agg('physical_page=' || page || ' size=' || format('{{:.1f}}', size) || ' bold=' || CASE WHEN bold THEN 'True' ELSE 'False' END || ' text=' || {_QUOTED}, chr(10) ORDER BY line_no) AS c FROM cc WHERE rn <= 400 GROUP BY 1),
+cx AS (SELECT doc_id, 'Candidate heading lines (body text size ' || format('{{:.1f}}', coalesce(body, 0.0)) || '; physical_page is 0-based, not a printed page number):' || chr(10) || coalesce(c, '') AS context FROM (SELECT DISTINCT doc_id FROM dl) LEFT JOIN ct USING (doc_id))"""
+_HARVEST = f"""WITH {_DOCS}, {_CONTEXT}, hv AS (SELECT *, CASE WHEN unreadable THEN 'unreadable' WHEN encrypted THEN 'encrypted' WHEN NOT has_outline THEN 'no-embedded-outline' WHEN page_count < 4 THEN 'too-short' WHEN NOT has_text THEN 'no-text-layer' END AS reason FROM de)"""
+
+
+@query(f"""{_HARVEST}, n AS (SELECT doc_id, count(*) AS n_entries, string_agg(level || ' ' || title, chr(10) ORDER BY pos) AS es FROM bm GROUP BY 1)
+SELECT doc_id, doc_id || '.pdf' AS file, sha256, page_count, 'headings' AS context_kind, sha256(context) AS context_sha, n_entries, sha256(es) AS entries_sha, NULL::DOUBLE AS alignment, false AS silver
+FROM hv JOIN cx USING (doc_id) JOIN n USING (doc_id) WHERE reason IS NULL""")
+def harvest_records(spark, sf_dir):
+    """Training records of documents with an embedded outline."""
+    records, _ = corpus.harvest(_decoded(spark, sf_dir), V.doc_lines(spark, sf_dir), augment=True)
+    return _shown(records)
+
+
+def _shown(records):
+    said = F.array_join(F.transform("entries", lambda e: F.concat_ws(" ", e["level"].cast("string"), e["title"])), "\n")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return records.select(
+        "doc_id", "file", "sha256", "page_count", "context_kind", sha(F.col("context")).alias("context_sha"), F.size("entries").alias("n_entries"), sha(said).alias("entries_sha"), "alignment", "silver"
+    )
+
+
+@query(f"{_HARVEST} SELECT doc_id, reason FROM hv WHERE reason IS NOT NULL")
+def harvest_reasons(spark, sf_dir):
+    return corpus.harvest(_decoded(spark, sf_dir), V.doc_lines(spark, sf_dir))[1]
+
+
+@query(f"""WITH RECURSIVE {_DOCS}, {_CLAIMS}, n AS (SELECT doc_id, count(line_no) AS aligned, count_if(line_no IS NULL) AS unaligned, sum(label * (line_no + 1)) AS label_sum FROM cl GROUP BY 1), c AS (SELECT doc_id, count(*) AS n_lines FROM dl GROUP BY 1)
+SELECT doc_id, sha256, page_count, aligned, unaligned, 0 AS masked, n_lines, label_sum FROM de JOIN n USING (doc_id) JOIN c USING (doc_id) WHERE NOT unreadable AND NOT encrypted AND has_outline AND has_text AND aligned > 0""")
+def line_dataset(spark, sf_dir):
+    """Labelled lines of documents with an embedded outline, nested by document."""
+    rows, _ = corpus.line_dataset(_decoded(spark, sf_dir), V.doc_lines(spark, sf_dir))
+    label_sum = F.aggregate(F.transform("lines", lambda x, i: (x["label"] * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", "sha256", "page_count", "aligned", "unaligned", "masked", F.size("lines").alias("n_lines"), label_sum.alias("label_sum"))
+
+
+@query(f"""WITH RECURSIVE {_DOCS}, {_CLAIMS}, n AS (SELECT doc_id, count(line_no) AS aligned FROM cl GROUP BY 1)
+SELECT * FROM (SELECT doc_id, CASE WHEN unreadable THEN 'unreadable' WHEN encrypted THEN 'encrypted' WHEN NOT has_outline THEN 'no-embedded-outline' WHEN NOT has_text THEN 'no-text-layer' WHEN coalesce(aligned, 0) = 0 THEN 'no-alignment' END AS reason FROM de LEFT JOIN n USING (doc_id)) WHERE reason IS NOT NULL""")
+def line_dataset_reasons(spark, sf_dir):
+    return corpus.line_dataset(_decoded(spark, sf_dir), V.doc_lines(spark, sf_dir))[1]
+
+
+_TAUGHT = f"""WITH {_DOCS}, {_CONTEXT}, {V.predicted_sql(1)}, {_found('dl', 'p1')}, n AS (SELECT p1.doc_id, count(*) AS n_entries, count_if(f.pos IS NULL) AS failures, string_agg(level || ' ' || p1.title, chr(10) ORDER BY p1.pos) AS es
+  FROM p1 LEFT JOIN (SELECT DISTINCT doc_id, pos FROM mc) f ON f.doc_id = p1.doc_id AND f.pos = p1.pos GROUP BY 1),
+di AS (SELECT *, CASE WHEN unreadable THEN 'unreadable' WHEN encrypted THEN 'encrypted' WHEN has_outline THEN 'has-embedded-outline' WHEN page_count < 4 THEN 'too-short' WHEN NOT has_text THEN 'no-text-layer'
+  WHEN n_entries IS NULL THEN 'teacher-empty' WHEN failures / n_entries > 0.2 THEN 'teacher-unlocatable' END AS reason FROM de LEFT JOIN n USING (doc_id))"""
+
+
+@query(f"""{_TAUGHT} SELECT doc_id, doc_id || '.pdf' AS file, sha256, page_count, 'headings' AS context_kind, sha256(context) AS context_sha, n_entries, sha256(es) AS entries_sha, NULL::DOUBLE AS alignment, true AS silver FROM di JOIN cx USING (doc_id) WHERE reason IS NULL""")
+def distill_records(spark, sf_dir):
+    """Silver records of documents without an embedded outline; a replayed prediction is the teacher."""
+    return _shown(_distilled(spark, sf_dir)[0])
+
+
+def _distilled(spark, sf_dir):
+    return corpus.distill(_decoded(spark, sf_dir), V.doc_lines(spark, sf_dir), backends.ReplayBackend(_predictions(spark, sf_dir, 1)))
+
+
+@query(f"{_TAUGHT} SELECT doc_id, reason FROM di WHERE reason IS NOT NULL")
+def distill_reasons(spark, sf_dir):
+    return _distilled(spark, sf_dir)[1]
+
+
+@query(f"""{_HARVEST}, sp AS (SELECT doc_id, sha256, context, CASE WHEN b < 800 THEN 'train' WHEN b < 899.9999999999999 THEN 'val' ELSE 'test' END AS split FROM (
+  SELECT *, ('0x' || substr(sha256, 1, 8))::BIGINT % 1000 AS b, row_number() OVER (PARTITION BY sha256 ORDER BY doc_id) AS rn FROM hv JOIN cx USING (doc_id) WHERE reason IS NULL) WHERE rn = 1)
+SELECT split, sha256, doc_id || '.pdf' AS file, length(context) + {len(dataset.PROMPT) - 9} AS prompt_chars FROM sp""")
+def build_dataset(spark, sf_dir):
+    """Harvested records as prompts and completions, by split."""
+    records, _ = corpus.harvest(_decoded(spark, sf_dir), V.doc_lines(spark, sf_dir))
+    out = corpus.build(records, order="doc_id")
+    return out.select("split", "meta.sha256", "meta.file", F.char_length("prompt").alias("prompt_chars"))
+
+
+@query()
+def lexical_scores(spark, sf_dir):
+    """Out-of-fold scores of a lexical heading model over all lines."""
+    lines = V.doc_lines(spark, sf_dir)
+    rows = lines.select("doc_id", "line_no", T.model_text(F.col("text")).alias("text"), F.when(F.col("n_words").between(1, 12), 1).otherwise(0).alias("label"))
+    return labeler.text_scores(rows)[1]

@@ -6,6 +6,7 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -16,10 +17,21 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two strings."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Ratcliff-Obershelp ratio of two strings; 0 where the characters that they share rule out `least`; null for a null."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, match = [], SequenceMatcher(None)
+        for x, y in zip(a, b, strict=True):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            match.set_seqs(x, y)
+            out.append(match.ratio() if match.quick_ratio() >= least else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return ratio(a, b)
 
 
 def exact_round(digits: int):

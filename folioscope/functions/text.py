@@ -6,7 +6,7 @@ Five title keys exist and differ on purpose: `title_key` keeps inner punctuation
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The white space that Python strips and splits at, as a character class.
@@ -36,8 +36,7 @@ def squeeze(c: Column) -> Column:
 
 
 def n_words(c: Column) -> Column:
-    s = squeeze(c)
-    return F.when(s == "", 0).otherwise(F.size(F.split(s, " ")))
+    return F.regexp_count(c, F.lit(f"[^{WS[1:]}+"))
 
 
 def section_label(title: Column) -> Column:
@@ -72,8 +71,37 @@ def bare_key(c: Column) -> Column:
     return match_key(strip_labels(c))
 
 
+def _letters_key(c: Column) -> Column:
+    return squeeze(F.regexp_replace(F.lower(c), rf"[^\p{{L}}\p{{N}}{WS[1:]}", ""))
+
+
 def merge_key(c: Column) -> Column:
-    return squeeze(F.regexp_replace(F.lower(strip_labels(c)), rf"[^\p{{L}}\p{{N}}{WS[1:]}", ""))
+    return _letters_key(strip_labels(c))
+
+
+def with_keys(df: DataFrame, text: str, *names: str) -> DataFrame:
+    """df with the keys of its column `text` that it does not carry yet: k_title, k_match, k_bare, k_merge, n_words.
+
+    Line and entry tables may carry them ready-made (see `sources.views`).  Otherwise each step is computed once a row.
+    """
+    want = [n for n in names if n not in df.columns]
+    if not want:
+        return df
+    columns = df.columns
+    if {"k_bare", "k_merge"} & set(want):
+        df = df.withColumn("_s", strip(F.col(text)))
+        df = df.withColumn("_w", F.regexp_replace("_s", WORD_LABEL, ""))
+        df = df.withColumn("_s", F.when(strip(F.col("_w")) != "", F.col("_w")).otherwise(F.col("_s")))
+        df = df.withColumn("_w", F.regexp_replace("_s", rf"\A{SECTION_LABEL}\s+", ""))
+        df = df.withColumn("_s", F.when(strip(F.col("_w")) != "", F.col("_w")).otherwise(F.col("_s")))
+    made = {
+        "k_title": lambda: title_key(F.col(text)),
+        "k_match": lambda: match_key(F.col(text)),
+        "k_bare": lambda: match_key(F.col("_s")),
+        "k_merge": lambda: _letters_key(F.col("_s")),
+        "n_words": lambda: n_words(F.col(text)),
+    }
+    return df.select(*columns, *(made[n]().alias(n) for n in want))
 
 
 def model_text(c: Column) -> Column:
@@ -106,8 +134,12 @@ def is_furniture(text: Column) -> Column:
     return strip(text).rlike(r"\A[\p{Nd}²³¹⁰-⁹₀-₉]+\z")
 
 
+# Fixed value: no lower-case letter of ASCII and one upper-case one at least.
+ALL_CAPS = r"\A[^a-z]*[A-Z][^a-z]*\z"
+
+
 def all_caps(text: Column) -> Column:
-    return text.rlike(r"\A[^a-z]*[A-Z][^a-z]*\z")
+    return text.rlike(ALL_CAPS)
 
 
 def split_of(sha: Column, train: float = 0.8, val: float = 0.1) -> Column:

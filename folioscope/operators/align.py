@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,29 +17,64 @@ MAX_LEVEL, MASK = 4, -1
 SIMILAR = 0.85
 
 
-def align_labels(lines: DataFrame, toc: DataFrame) -> DataFrame:
-    """(doc_id, line_no, label): the level of the bookmark that claims a line, at most MAX_LEVEL; only claimed lines.
+def claims(lines: DataFrame, toc: DataFrame) -> DataFrame:
+    """(doc_id, pos, line_no, label): every bookmark of toc; line_no and label are null where it claims no line.
 
     toc: doc_id, pos, level, title, page (from 1).  Each bookmark takes the first unclaimed line with its key on its
-    page, the next or the one before.  Claims block lines of the same key only, so the fold runs per document and key.
+    page, the next or the one before; a blank key takes none.  Claims block lines of the same key only, so the fold runs
+    per document and key, in which each page's lines are taken from the front.
     """
-    ln = lines.select("doc_id", T.merge_key(F.col("text")).alias("k"), F.struct("page", "line_no").alias("x"))
+    ln = T.with_keys(lines, "text", "k_merge").select("doc_id", F.col("k_merge").alias("k"), F.struct(F.col("page").cast("long").alias("p"), F.col("line_no").cast("long").alias("n")).alias("x"))
     ln = ln.where("k <> ''").groupBy("doc_id", "k").agg(F.array_sort(F.collect_list("x")).alias("ls"))
-    e = toc.select("doc_id", T.merge_key(F.col("title")).alias("k"), F.struct("pos", F.greatest(F.col("page") - 1, F.lit(0)).alias("hint"), "level").alias("x"))
-    e = e.where("k <> ''").groupBy("doc_id", "k").agg(F.array_sort(F.collect_list("x")).alias("es"))
-    got = F.array().cast("array<struct<line_no:int,label:int>>")
+    e = T.with_keys(toc, "title", "k_merge").select("doc_id", "pos", F.col("k_merge").alias("k"), "level", F.greatest(F.col("page") - 1, F.lit(0)).cast("long").alias("hint"))
+    both = e.where("k <> ''").join(ln, ["doc_id", "k"], "left")
+    kinds = dict(toc.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, pos {kinds['pos']}, line_no long"
+    sorted_rows = both.select("doc_id", "k", "pos", "hint", "ls").repartition("doc_id", "k").sortWithinPartitions("doc_id", "k", "pos")
+    got = sorted_rows.mapInArrow(_claim, schema)
+    blank = e.where("k = ''").select("doc_id", "pos", F.lit(None).cast("long").alias("line_no"))
+    label = F.least(F.greatest(F.col("level"), F.lit(1)), F.lit(MAX_LEVEL)).cast("int")
+    out = toc.select("doc_id", "pos", "level").join(got.unionByName(blank), ["doc_id", "pos"])
+    return out.select("doc_id", "pos", F.col("line_no").cast(dict(lines.dtypes)["line_no"]).alias("line_no"), F.when(F.col("line_no").isNotNull(), label).alias("label"))
+
+
+def _claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines taken by bookmarks, which come by document, key and position; a key's free lines are kept by page."""
+    last, free = None, {}
+    for batch in batches:
+        doc, key, hint, ls = (batch.column(c) for c in ("doc_id", "k", "hint", "ls"))
+        taken = []
+        for i, here in enumerate(zip(doc.to_pylist(), key.to_pylist(), hint.to_pylist(), strict=True)):
+            if here[:2] != last:
+                last, free = here[:2], {}
+                for x in ls[i].as_py() or ():
+                    free.setdefault(x["p"], deque()).append(x["n"])
+            at = next((p for p in (here[2], here[2] + 1, here[2] - 1) if free.get(p)), None)
+            taken.append(None if at is None else free[at].popleft())
+        yield pa.RecordBatch.from_arrays([doc, batch.column("pos"), pa.array(taken, pa.int64())], ["doc_id", "pos", "line_no"])
+
+
+def align_labels(lines: DataFrame, toc: DataFrame) -> DataFrame:
+    """(doc_id, line_no, label) of the lines that bookmarks claim (see `claims`); a label is at most MAX_LEVEL."""
+    return claims(lines, toc).where("line_no is not null").select("doc_id", "line_no", "label")
 
-    def claim(acc, b):
-        free = F.filter("ls", lambda x: ~F.exists(acc, lambda t: t["line_no"] == x["line_no"]))
-        near = F.filter(free, lambda x: F.abs(x["page"] - b["hint"]) <= 1)
-        ranked = F.array_sort(
-            F.transform(near, lambda x: F.struct(F.when(x["page"] == b["hint"], 0).when(x["page"] == b["hint"] + 1, 1).otherwise(2).alias("o"), x["line_no"].alias("line_no")))
-        )
-        label = F.least(F.greatest(b["level"], F.lit(1)), F.lit(MAX_LEVEL)).cast("int")
-        return F.when(F.size(ranked) > 0, F.concat(acc, F.array(F.struct(F.get(ranked, F.lit(0))["line_no"].cast("int").alias("line_no"), label.alias("label"))))).otherwise(acc)
 
-    pairs = e.join(ln, ["doc_id", "k"])
-    return pairs.select("doc_id", F.explode(F.aggregate("es", got, claim)).alias("c")).select("doc_id", "c.line_no", "c.label")
+def alignment_counts(claimed: DataFrame, masked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, aligned, unaligned, masked) of `claims` and `masked_lines`."""
+    n = claimed.groupBy("doc_id").agg(F.count("line_no").alias("aligned"), F.count_if(F.col("line_no").isNull()).alias("unaligned"))
+    if masked is None:
+        return n.withColumn("masked", F.lit(0).cast("long"))
+    return n.join(masked.groupBy("doc_id").agg(F.count("*").alias("masked")), "doc_id", "left").fillna(0, ["masked"])
+
+
+def alignment_totals(counts: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row: aligned, unaligned, masked, lines, and the shares aligned of bookmarks, positive and masked of lines."""
+    c = counts.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("aligned", "unaligned", "masked")))
+    c = c.crossJoin(F.broadcast(lines.agg(F.count("*").alias("lines"))))
+    return c.select(
+        "*", F.try_divide("aligned", F.col("aligned") + F.col("unaligned")).alias("aligned_share"),
+        F.try_divide("aligned", "lines").alias("positive_share"), F.try_divide("masked", "lines").alias("masked_share"),
+    )
 
 
 def masked_lines(lines: DataFrame, labels: DataFrame, unaligned: DataFrame, toc_pages: DataFrame) -> DataFrame:
@@ -43,24 +83,30 @@ def masked_lines(lines: DataFrame, labels: DataFrame, unaligned: DataFrame, toc_
     Keys are equal, or one of at least eight characters begins the other.  Contents pages and rows are never masked.
     Titles and lines meet on the document and the key's first eight characters.
     """
-    ln = lines.join(toc_pages, ["doc_id", "page"], "left_anti").where(~T.is_contents_row(F.col("text")))
-    ln = ln.join(labels.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti")
     head = lambda k: F.substring(k, 1, T.PREFIX_CHARS)
-    ln = ln.withColumn("k", T.merge_key(F.col("text"))).withColumn("h", head(F.col("k")))
-    u = unaligned.select("doc_id", T.merge_key(F.col("title")).alias("t")).withColumn("h", head(F.col("t"))).distinct()
+    ln = T.with_keys(lines, "text", "k_merge").select("doc_id", "line_no", "page", F.col("k_merge").alias("k"), "text").where("k <> ''")
+    ln = ln.join(toc_pages, ["doc_id", "page"], "left_anti").where(~T.is_contents_row(F.col("text")))
+    ln = ln.join(labels.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti").withColumn("h", head(F.col("k")))
+    u = T.with_keys(unaligned, "title", "k_merge").select("doc_id", F.col("k_merge").alias("t")).withColumn("h", head(F.col("t"))).distinct()
     return ln.join(u, (ln.doc_id == u.doc_id) & (ln.h == u.h) & T.prefix_match(F.col("k"), F.col("t")), "left_semi").select("doc_id", "line_no")
 
 
 def align_printed_pages(gold: DataFrame, rows: DataFrame) -> DataFrame:
-    """(doc_id, pos, printed_page): for each gold title in order, the best unused contents row of ratio SIMILAR or more.
+    """(doc_id, pos, printed_page, matched): for each gold title in order, the best unused contents row of ratio SIMILAR or more.
 
     Ratios are computed in Arrow batches over a document's pairs; taking rows is a fold over its titles.
     """
-    g = gold.select("doc_id", "pos", T.title_key(F.col("title")).alias("a"))
-    r = rows.select("doc_id", F.col("pos").alias("r"), "printed_page", T.title_key(F.col("title")).alias("b"))
-    # a ratio is at most 2 * shorter / (shorter + longer), which spares most pairs the comparison
+    g = T.with_keys(gold, "title", "k_title").select("doc_id", "pos", F.col("k_title").alias("a"))
+    r = T.with_keys(rows, "title", "k_title").select("doc_id", F.col("pos").alias("r"), "printed_page", F.col("k_title").alias("b"))
+    # a ratio is at most 2 * shorter / (shorter + longer): titles of lengths that may reach SIMILAR meet in length classes
+    step = math.log(SIMILAR / (2 - SIMILAR))
+    size = lambda c: F.floor(F.log(F.greatest(F.char_length(c), F.lit(1)).cast("double")) / (1e-9 - step))
+    g = g.select("*", F.explode(F.sequence(size("a") - 1, size("a") + 1)).alias("z"))
     la, lb = F.char_length("a"), F.char_length("b")
-    pairs = g.join(r, "doc_id").where(2 * F.least(la, lb) >= SIMILAR * (la + lb)).withColumn("ratio", similarity("a", "b")).where(F.col("ratio") >= SIMILAR)
+    pairs = g.join(r.withColumn("z", size("b")), ["doc_id", "z"]).drop("z").where(2 * F.least(la, lb) >= SIMILAR * (la + lb))
+    # equal titles need no comparison; of the others the number of common characters is a bound as well
+    same = F.col("a") == F.col("b")
+    pairs = pairs.withColumn("ratio", F.when(same, 1.0).otherwise(similarity(F.when(~same, F.col("a")), F.when(~same, F.col("b")), SIMILAR))).where(F.col("ratio") >= SIMILAR)
     by = pairs.groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("o"), "r", "printed_page"))).alias("c"))
     docs = by.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("es"))
     got = F.array().cast("array<struct<pos:int,r:int,printed_page:int>>")
@@ -70,5 +116,10 @@ def align_printed_pages(gold: DataFrame, rows: DataFrame) -> DataFrame:
         one = F.get(free, F.lit(0))
         return F.when(F.size(free) > 0, F.concat(acc, F.array(F.struct(e["pos"].cast("int").alias("pos"), one["r"].cast("int").alias("r"), one["printed_page"].cast("int").alias("printed_page"))))).otherwise(acc)
 
-    taken = docs.select("doc_id", F.explode(F.aggregate("es", got, take)).alias("t")).select("doc_id", "t.pos", F.col("t.printed_page").alias("printed_page"))
-    return gold.select("doc_id", "pos").join(taken, ["doc_id", "pos"], "left")
+    taken = docs.select("doc_id", F.explode(F.aggregate("es", got, take)).alias("t")).select("doc_id", "t.pos", F.col("t.printed_page").alias("printed_page"), F.lit(True).alias("matched"))
+    return gold.select("doc_id", "pos").join(taken, ["doc_id", "pos"], "left").select("doc_id", "pos", "printed_page", F.coalesce("matched", F.lit(False)).alias("matched"))
+
+
+def matched_share(aligned: DataFrame) -> DataFrame:
+    """(doc_id, alignment): the share of a document's gold titles that `align_printed_pages` matched."""
+    return aligned.groupBy("doc_id").agg(F.avg(F.col("matched").cast("int")).alias("alignment"))

@@ -9,6 +9,7 @@ from folioscope.functions import text as T
 
 CHARS_PER_TOKEN = 3
 MIN_PAGES, MIN_ALIGNMENT = 4, 0.6
+MAX_UNLOCATABLE = 0.2
 
 # Fixed value: the text around a context that training and serving share.
 PROMPT = (
@@ -31,9 +32,9 @@ def first_of_each(records: DataFrame, order: str = "ord") -> DataFrame:
     return records.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def split_records(records: DataFrame, train: float = 0.8, val: float = 0.1) -> DataFrame:
+def split_records(records: DataFrame, train: float = 0.8, val: float = 0.1, order: str = "ord") -> DataFrame:
     """Deduplicated records with their split; synthetic and silver ones stay in train or go."""
-    r = first_of_each(records).withColumn("split", T.split_of(F.col("sha256"), train, val))
+    r = first_of_each(records, order).withColumn("split", T.split_of(F.col("sha256"), train, val))
     only_train = (F.col("context_kind") == "headings-synthetic") | F.coalesce(F.col("silver"), F.lit(False))
     return r.where(~only_train | (F.col("split") == "train"))
 
@@ -81,7 +82,18 @@ def harvest_reason(r: dict[str, Column]) -> Column:
     )
 
 
-def distill_reason(r: dict[str, Column], max_unlocatable: float = 0.2) -> Column:
+def lines_reason(r: dict[str, Column]) -> Column:
+    """Why a document gives no labelled lines.  r: unreadable, encrypted, has_outline, has_text, aligned."""
+    return (
+        F.when(r["unreadable"], "unreadable")
+        .when(r["encrypted"], "encrypted")
+        .when(~r["has_outline"], "no-embedded-outline")
+        .when(~r["has_text"], "no-text-layer")
+        .when(r["aligned"] == 0, "no-alignment")
+    )
+
+
+def distill_reason(r: dict[str, Column], max_unlocatable: float = MAX_UNLOCATABLE) -> Column:
     """The like for documents without an outline, after a teacher has been asked.  r also: n_entries, failures."""
     return (
         F.when(r["unreadable"], "unreadable")
@@ -90,7 +102,7 @@ def distill_reason(r: dict[str, Column], max_unlocatable: float = 0.2) -> Column
         .when(r["page_count"] < MIN_PAGES, "too-short")
         .when(~r["has_text"], "no-text-layer")
         .when(r["n_entries"] == 0, "teacher-empty")
-        .when(r["failures"] / r["n_entries"] > max_unlocatable, "teacher-unlocatable")
+        .when(F.try_divide(r["failures"], r["n_entries"]) > max_unlocatable, "teacher-unlocatable")
     )
 
 

@@ -18,6 +18,11 @@ def body_size(lines: DataFrame) -> DataFrame:
     return by_size.groupBy("doc_id").agg(F.max_by("s", F.struct("weight", -F.col("met"))).alias("body"))
 
 
+def with_body(lines: DataFrame) -> DataFrame:
+    """lines with the body size of their document, which they may carry already."""
+    return lines if "body" in lines.columns else lines.join(body_size(lines), "doc_id")
+
+
 def detect_headings(lines: DataFrame) -> DataFrame:
     """Outlines from fonts alone: doc_id, pos, title, level, page, y.
 
@@ -25,12 +30,11 @@ def detect_headings(lines: DataFrame) -> DataFrame:
     called chapter.  A candidate continues the one before it if both have the page, size and weight in common, stand
     close together, and it is not itself numbered.  Sizes rank the levels where no number gives one.
     """
-    lines = lines.join(body_size(lines), "doc_id")
-    s = T.strip(F.col("text"))
-    marked = s.rlike(T.CHAPTER) | s.rlike(T.NUMBERED)
-    cand = lines.where((T.n_words(F.col("text")) <= MAX_WORDS) & (s != "") & ~T.is_furniture(F.col("text")))
-    cand = cand.where((F.col("size") >= F.col("body") * SIZE_FACTOR) | (F.col("bold") & marked))
-    cand = cand.withColumns({"s": s, "marked": marked, "tier": F.bround("size", 1)})
+    lines = T.with_keys(with_body(lines), "text", "n_words")
+    large = F.col("size") >= F.col("body") * SIZE_FACTOR
+    cand = lines.where(F.col("n_words").between(1, MAX_WORDS) & (large | F.col("bold"))).withColumn("s", T.strip(F.col("text")))
+    cand = cand.withColumns({"marked": F.col("s").rlike(T.CHAPTER) | F.col("s").rlike(T.NUMBERED), "tier": F.bround("size", 1)})
+    cand = cand.where((large | F.col("marked")) & ~T.is_furniture(F.col("s")))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     prev = lambda c: F.lag(c).over(w)
     joins = (

@@ -15,10 +15,14 @@ TIE = 1e-12
 
 def match_entries(gold: DataFrame, pred: DataFrame, ignore_numbers: bool = False) -> DataFrame:
     """Gold entries matched one to one: the k-th of a title with the k-th predicted one of that title."""
-    key = T.title_key(T.strip_labels(F.col("title")) if ignore_numbers else F.col("title"))
-    rn = F.row_number().over(Window.partitionBy("doc_id", "k").orderBy("pos"))
-    g = gold.withColumn("k", key).withColumn("rn", rn)
-    p = pred.withColumn("k", key).withColumn("rn", rn)
+    def keyed(df: DataFrame) -> DataFrame:
+        if ignore_numbers:
+            df = df.withColumn("_bare", T.strip_labels(F.col("title"))).withColumn("k", T.title_key(F.col("_bare"))).drop("_bare")
+        else:
+            df = T.with_keys(df, "title", "k_title").withColumnRenamed("k_title", "k")
+        return df.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "k").orderBy("pos")))
+
+    g, p = keyed(gold), keyed(pred)
     p = p.select("doc_id", "k", "rn", F.col("pos").alias("p_pos"), F.col("level").alias("p_level"), F.col("printed_page").alias("p_printed"))
     return g.join(p, ["doc_id", "k", "rn"], "inner")
 
@@ -113,21 +117,76 @@ def bootstrap(pairs: DataFrame, resamples: int = 10_000, confidence: float = 0.9
     return out.select("metric", *(F.when(F.col("n") > 1, F.col(c) / F.col("n")).alias(f"ci_{c}") for c in ("low", "high")))
 
 
-def tune_threshold(scored: DataFrame) -> DataFrame:
-    """(threshold, f1): the cut on `score` with the best F1 for `label` > 0 over a fixed grid; of equal ones the lowest.
+def bootstrap_sequential(pairs: DataFrame, resamples: int = 10_000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """(metric, ci_low, ci_high) as a sequential draw gives them: for sets of documents that one task can hold.
 
-    Scores are first counted by the last grid point that they reach, so the grid never multiplies the rows.
+    Each metric's differences, in the order of ids, are drawn one by one from Python's generator seeded with `seed`, so
+    published intervals can be reproduced to the digit.  `bootstrap` is the one to use for large sets.
     """
-    grid = sorted({round(0.05 * k, 4) for k in range(1, 20)} | {round(0.95 + 0.005 * k, 4) for k in range(10)} | {0.999})
+    lo, hi = int((1.0 - confidence) / 2.0 * resamples), min(int((1.0 - (1.0 - confidence) / 2.0) * resamples), resamples - 1)
+
+    def run(key, pdf):
+        import random
+
+        import pandas as pd
+
+        x = pdf.sort_values("doc_id")["delta"].tolist()
+        low = high = None
+        if len(x) > 1:
+            rng = random.Random(seed)
+            drawn = ([rng.choice(x) for _ in x] for _ in range(resamples))
+            means = sorted(sum(d) / len(x) for d in drawn)
+            low, high = means[lo], means[hi]
+        return pd.DataFrame({"metric": [key[0]], "ci_low": [low], "ci_high": [high]}).astype({"ci_low": "Float64", "ci_high": "Float64"})
+
+    return pairs.groupBy("metric").applyInPandas(run, "metric string, ci_low double, ci_high double")
+
+
+def report(compared: DataFrame, intervals: DataFrame) -> str:
+    """A table in plain text of `compare` and `bootstrap`: a line for each of METRICS, `--` where there is nothing to say."""
+    rows = {r["metric"]: r for r in compared.join(intervals, "metric", "left").collect()}  # one row a metric
+    # Titles and widths of the columns; the first is aligned to the left.
+    columns = (("metric", 15), ("baseline", 10), ("candidate", 11), ("delta", 10), ("95% CI", 22), ("W/L/T", 14), ("n", 5))
+
+    def line(*cells: str) -> str:
+        return "".join(c.ljust(w) if k == 0 else c.rjust(w) for k, (c, (_, w)) in enumerate(zip(cells, columns, strict=True)))
+
+    head = line(*(name for name, _ in columns))
+    out = [head, "-" * len(head)]
+    for m in METRICS:
+        r = rows.get(m)
+        if r is None or not r["documents"]:
+            out.append(line(m, "--", "", "", "", "", "0"))
+            continue
+        ci = "--" if r["ci_low"] is None else f"[{r['ci_low']:+.4f}, {r['ci_high']:+.4f}]"
+        moved = f"{r['wins']}/{r['losses']}/{r['ties']}"
+        out.append(line(m, f"{r['baseline']:.4f}", f"{r['candidate']:.4f}", f"{r['mean']:+.4f}", ci, moved, str(r["documents"])))
+    return "\n".join(out)
+
+
+#: Cuts that are tried: twentieths below 0.95, then steps of 0.005 up to 0.995.
+CUTS = tuple(0.05 + 0.05 * k for k in range(18)) + tuple(0.95 + 0.005 * k for k in range(10))
+
+
+def tune_threshold(scored: DataFrame, cuts: tuple[float, ...] = CUTS) -> DataFrame:
+    """(threshold, f1): the cut on `score` with the best F1 for `label` > 0; of equal ones the lowest.
+
+    A cut without a true positive is no candidate; if none is one, (0.5, -1).  Scores are first counted by the last cut
+    that they reach, so the cuts never multiply the rows.
+    """
+    cuts = tuple(sorted(cuts))
     point = F.lit(None).cast("double")
-    for t in grid:
+    for t in cuts:
         point = F.when(F.col("score") >= t, t).otherwise(point)
     hits = scored.select(point.alias("t"), (F.col("label") > 0).cast("long").alias("y")).groupBy("t").agg(F.sum("y").alias("tp"), F.count("*").alias("n"))
-    spark = scored.sparkSession
-    cuts = spark.createDataFrame([(t,) for t in grid], "threshold double")
-    pos = hits.agg(F.sum("tp").alias("pos"))
-    at = cuts.join(F.broadcast(hits.where("t is not null")), F.col("t") >= F.col("threshold"), "left").groupBy("threshold").agg(
-        F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")
-    )
-    at = at.crossJoin(F.broadcast(pos)).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("tp"), F.col("n") + F.col("pos")), F.lit(0.0)))
-    return at.orderBy(F.desc("f1"), "threshold").limit(1).select("threshold", "f1")
+    # one row for each cut at most, from here on
+    down = Window.orderBy(F.desc_nulls_last("t")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.orderBy(F.desc_nulls_last("t")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = hits.select("t", F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("n"), F.sum("tp").over(whole).alias("pos"))
+    p, r = F.col("tp") / F.col("n"), F.col("tp") / F.col("pos")
+    at = at.where("t is not null and tp > 0").withColumn("f1", 2 * p * r / (p + r))
+    # a cut that nothing falls on has the counts of the next higher one: the lowest of equal ones follows the last used
+    lowest = F.coalesce(F.lag("t").over(Window.orderBy("t")), F.lit(float("-inf")))
+    at = at.withColumn("threshold", F.array_min(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > lowest)))
+    best = at.agg(F.max(F.struct("f1", -F.col("threshold"))).alias("b"))
+    return best.select(F.coalesce(-F.col("b")["col2"], F.lit(0.5)).alias("threshold"), F.coalesce(F.col("b")["f1"], F.lit(-1.0)).alias("f1"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,7 +17,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_folioscope_shipped", False):
         return
     top = Path(__file__).resolve().parent
-    to = Path(tempfile.mkdtemp(prefix="folioscope-")) / "folioscope_src.zip"
+    folder = tempfile.mkdtemp(prefix="folioscope-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = Path(folder) / "folioscope_src.zip"
     with zipfile.ZipFile(to, "w") as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators.extract import BLOCKS
+from folioscope.operators.extract import BLOCKS, PROBE_PAGES
 from folioscope.operators.levels import outline_rows
 
 MAX_BYTES = 50 << 20
@@ -33,32 +33,85 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return ok.unionByName(large.withColumn("status", F.lit("too-large")), allowMissingColumns=True)
 
 
-def decode(files: DataFrame, decoder: Callable) -> DataFrame:
-    """Pages of files by a plug-in decoder(bytes) that yields (page, blocks) or raises; errors become a status."""
-    schema = f"doc_id string, page int, blocks {BLOCKS}, status string"
+DECODED = f"doc_id string, file string, sha256 string, status string, page_count int, toc array<struct<level:int,title:string,page:int>>, pages array<struct<page:int,blocks:{BLOCKS}>>"
+
+
+def decode(files: DataFrame, decoder: Callable, optical: Callable | None = None, ocr_mode: str = "auto", ocr_max_pages: int | None = None, replace_existing: bool = True) -> DataFrame:
+    """Documents of files by a plug-in decoder: DECODED, one row a file; whatever goes wrong becomes a status.
+
+    decoder(bytes) returns a dict: page_count, encrypted, toc (level, title, page from 1) and pages, an iterable of (page,
+    blocks) that may be lazy.  optical(bytes) yields (page, blocks) by OCR; without it documents that need it stop with
+    OcrUnavailable.  An encrypted document, or one with an outline that may not be replaced, is not read further.
+    """
+    if ocr_mode not in ("auto", "force", "never"):
+        raise ValueError(f"OCR mode must be auto, force or never, not {ocr_mode!r}")
+
+    def one(content: bytes) -> tuple:
+        try:
+            d = decoder(content)
+        except Exception:  # noqa: BLE001  any failure to open is that document's status
+            return "InvalidPdf", None, None, None
+        head = (d.get("page_count"), [{"level": a, "title": b, "page": c} for a, b, c in d.get("toc") or []])
+        if d.get("encrypted"):
+            return "Encrypted", *head, None
+        if head[1] and not replace_existing:
+            return "ExistingBookmarks", *head, None
+        pages = list(d.get("pages") or [])
+        texts = (s.get("text") or "" for n, blocks in pages if n < PROBE_PAGES for k in blocks for ln in k.get("lines") or [] for s in ln.get("spans") or [])
+        has_text = any(t.strip() for t in texts)
+        if ocr_mode == "force" or (ocr_mode == "auto" and not has_text):
+            if optical is None:
+                return "OcrUnavailable", *head, None
+            if ocr_max_pages is not None and (head[0] or 0) > ocr_max_pages:
+                return "OcrPageLimit", *head, None
+            pages = list(optical(content))
+        elif not has_text:
+            return "NoTextLayer", *head, None
+        return None, *head, [{"page": n, "blocks": blocks} for n, blocks in pages]
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                try:
-                    out += [(r.sha256, page, blocks, None) for page, blocks in decoder(bytes(r.content))]
-                except Exception as e:  # noqa: BLE001  any failure is that document's status
-                    out.append((r.sha256, None, None, type(e).__name__))
-            yield pd.DataFrame(out, columns=["doc_id", "page", "blocks", "status"])
+            rows = [(r.sha256, r.path, r.sha256, *one(bytes(r.content))) for r in pdf.itertuples()]
+            yield pd.DataFrame(rows, columns=["doc_id", "file", "sha256", "status", "page_count", "toc", "pages"]).astype({"page_count": "Int32"})
+
+    return files.where("status is null").select("path", "sha256", "content").mapInPandas(run, DECODED)
+
+
+def decoded_pages(decoded: DataFrame) -> DataFrame:
+    """(doc_id, page, blocks) of documents that could be read, as `extract.lines_from_blocks` takes them."""
+    return decoded.where("status is null").select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.page", "p.blocks")
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of a fixed schema, blank lines left out; of a path that does not exist, no rows.  A bad line fails."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
 
-    return files.where("status is null").select("sha256", "content").mapInPandas(run, schema)
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """(prompt, completion) of one split as `write_splits` stores it; a split that was never written is empty."""
+    return read_json(spark, path, "prompt string, completion string")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
+    return read_json(spark, path, RECORD)
+
+
+LINES = "text string, page int, x double, y double, size double, bold boolean, size_ratio double, gap_above double, words int, label int"
+LINE_DATASET = f"doc_id string, file string, sha256 string, page_count int, aligned long, unaligned long, masked long, lines array<struct<{LINES}>>"
+
+
+def read_line_dataset(spark: SparkSession, path: str) -> DataFrame:
+    return read_json(spark, path, LINE_DATASET)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Predictions; a generation that could not be parsed counts as an empty outline."""
-    p = spark.read.schema(PREDICTION).option("mode", "FAILFAST").json(path)
+    p = read_json(spark, path, PREDICTION)
     return p.withColumn("entries", F.when(F.coalesce("parse_error", F.lit(False)), F.array().cast(p.schema["entries"].dataType)).otherwise(F.col("entries")))
 
 
@@ -71,10 +124,13 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return e.select(F.regexp_extract("id", r"/abs/(.+)$", 1).alias("id"), F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"), "published", url.alias("pdf_url"))
 
 
-def revision_urls(base: Column, number: Column) -> Column:
-    """Where a publication may be found: its five latest revisions, newest first, then the plain name."""
-    revised = F.transform(F.sequence(F.lit(5), F.lit(1), F.lit(-1)), lambda r: F.concat(base, number, F.lit("r"), r.cast("string"), F.lit(".pdf")))
-    return F.concat(revised, F.array(F.concat(base, number, F.lit(".pdf"))))
+def candidate_urls(number: Column, base: str, legacy: str) -> Column:
+    """Where a publication may be found: its five latest revisions, newest first, the plain name, then the legacy one.
+
+    base and legacy are what stands before the number in either place.
+    """
+    revised = F.transform(F.sequence(F.lit(5), F.lit(1), F.lit(-1)), lambda r: F.concat(F.lit(base), number, F.lit("r"), r.cast("string"), F.lit(".pdf")))
+    return F.concat(revised, F.array(F.concat(F.lit(base), number, F.lit(".pdf")), F.concat(F.lit(legacy), number, F.lit(".pdf"))))
 
 
 def write_outlines(entries: DataFrame, path: str) -> DataFrame:
@@ -89,13 +145,20 @@ def write_splits(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("split").json(path)
 
 
-def append_pending(rows: DataFrame, path: str, key: str = "sha256") -> None:
-    """Append the rows whose key is not stored yet."""
+def write_json(rows: DataFrame, path: str) -> None:
+    """Records, line datasets or predictions as JSON lines; nulls are written."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def append_pending(rows: DataFrame, path: str, key: str = "sha256", limit: int | None = None) -> None:
+    """Append the rows whose key is not stored yet, at most `limit` of them (by key); a resumed run goes on from there."""
     spark = rows.sparkSession
-    try:
-        done = spark.read.schema(rows.schema).json(path).select(key)
-        rows = rows.join(done, key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    rows.write.mode("append").json(path)
+    pending = rows.join(read_json(spark, path, f"`{key}` {dict(rows.dtypes)[key]}"), key, "left_anti").select(rows.columns)
+    if limit is not None:
+        pending = pending.orderBy(key).limit(limit)
+    pending.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def append_manifest(rows: DataFrame, path: str, key: str = "file") -> None:
+    """Append a row of provenance for each downloaded file that the manifest does not name yet, with the time."""
+    append_pending(rows.withColumn("retrieved", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")), path, key)

@@ -6,28 +6,48 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators.headings import body_size
+from folioscope.scratch import stored
 
 #: lines: doc_id, line_no, text, page (from 0), x, y, size, bold.
+KEYS = ("k_title", "k_match", "k_bare", "k_merge")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _lines(spark: SparkSession, sf_dir: str, name: str, source: str, make, *keys: str) -> DataFrame:
+    """A line table, made once and bucketed by document, with word counts, the body's size and the keys named."""
+
+    def build() -> DataFrame:
+        # texts are dealt by document before they are cut into lines, so that one large file is no single task
+        rows = T.with_keys(make(read(spark, sf_dir, source)), "text", "n_words", *keys)
+        return rows.join(body_size(rows), "doc_id", "left")
+
+    return stored(spark, name, [f"{sf_dir}/{source}.parquet"], build, "doc_id", "line_no")
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of `documents`, twenty to a page."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    words = T.n_words(F.col("text"))
-    return d.select(
-        "doc_id",
-        "line_no",
-        "text",
-        F.expr("cast(line_no div 20 as int)").alias("page"),
-        (F.lit(72.0) + 9 * (F.col("line_no") % 3)).alias("x"),
-        (F.lit(72.0) + 18 * (F.col("line_no") % 20)).alias("y"),
-        F.when(words <= 3, 16.0).when(words <= 12, 13.0).otherwise(10.0).alias("size"),
-        (words <= 5).alias("bold"),
-    )
+    """Lines of `documents`, twenty to a page, with n_words, body and all keys."""
+
+    def make(documents: DataFrame) -> DataFrame:
+        d = documents.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+        d = T.with_keys(d, "text", "n_words")
+        words = F.col("n_words")
+        return d.select(
+            "doc_id",
+            "line_no",
+            "text",
+            F.expr("cast(line_no div 20 as int)").alias("page"),
+            (F.lit(72.0) + 9 * (F.col("line_no") % 3)).alias("x"),
+            (F.lit(72.0) + 18 * (F.col("line_no") % 20)).alias("y"),
+            F.when(words <= 3, 16.0).when(words <= 12, 13.0).otherwise(10.0).alias("size"),
+            (words <= 5).alias("bold"),
+            "n_words",
+        )
+
+    return _lines(spark, sf_dir, "doc_lines", "documents", make, "k_title", "k_match", "k_bare", "k_merge")
 
 
 DOC_LINES = """dl AS (SELECT doc_id, i AS line_no, text, (i // 20)::INT AS page, 72.0::DOUBLE + 9 * (i % 3) AS x, 72.0::DOUBLE + 18 * (i % 20) AS y,
@@ -40,25 +60,29 @@ TAG_SIZE = {"h1": 24.0, "title": 14.0, "p": 10.0, "li": 9.0}
 
 
 def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of `pages`: titles, headings, paragraphs and list items in order; ten to a page."""
-    p = read(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("doc_id"),
-        F.posexplode(F.regexp_extract_all("html", F.lit(r"<(?:h1|p|li|title)>[^<]*(?:<b>)?[^<]*"), F.lit(0))).alias("line_no", "raw"),
-    )
-    tag = F.regexp_extract("raw", r"^<(h1|p|li|title)>", 1)
-    size = F.lit(None).cast("double")
-    for name, s in TAG_SIZE.items():
-        size = F.when(tag == name, s).otherwise(size)
-    return p.select(
-        "doc_id",
-        "line_no",
-        F.trim(F.regexp_replace("raw", "<[^>]*>", "")).alias("text"),
-        F.expr("cast(line_no div 10 as int)").alias("page"),
-        F.lit(72.0).alias("x"),
-        (F.lit(72.0) + 18 * (F.col("line_no") % 10)).alias("y"),
-        size.alias("size"),
-        (F.instr("raw", "<b>") > 0).alias("bold"),
-    )
+    """Lines of `pages`: titles, headings, paragraphs and list items in order; ten to a page; with n_words and body."""
+
+    def make(pages: DataFrame) -> DataFrame:
+        p = pages.select(F.col("page_id").alias("doc_id"), "html").repartition("doc_id").select(
+            "doc_id",
+            F.posexplode(F.regexp_extract_all("html", F.lit(r"<(?:h1|p|li|title)>[^<]*(?:<b>)?[^<]*"), F.lit(0))).alias("line_no", "raw"),
+        )
+        tag = F.regexp_extract("raw", r"^<(h1|p|li|title)>", 1)
+        size = F.lit(None).cast("double")
+        for name, s in TAG_SIZE.items():
+            size = F.when(tag == name, s).otherwise(size)
+        return p.select(
+            "doc_id",
+            "line_no",
+            F.trim(F.regexp_replace("raw", "<[^>]*>", "")).alias("text"),
+            F.expr("cast(line_no div 10 as int)").alias("page"),
+            F.lit(72.0).alias("x"),
+            (F.lit(72.0) + 18 * (F.col("line_no") % 10)).alias("y"),
+            size.alias("size"),
+            (F.instr("raw", "<b>") > 0).alias("bold"),
+        )
+
+    return _lines(spark, sf_dir, "html_lines", "pages", make)
 
 
 HTML_LINES = """hl AS (SELECT doc_id, i AS line_no, trim(regexp_replace(raw, '<[^>]*>', '', 'g')) AS text, (i // 10)::INT AS page, 72.0::DOUBLE AS x, 72.0::DOUBLE + 18 * (i % 10) AS y,
@@ -69,21 +93,27 @@ HTML_LINES = """hl AS (SELECT doc_id, i AS line_no, trim(regexp_replace(raw, '<[
 
 def toc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents pages made of order lines: a heading for every third group of forty orders, then rows with leaders."""
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_extendedprice")
-    doc = F.expr("l_orderkey div 40")
-    by = Window.partitionBy(doc).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q", "l_extendedprice")
-    rows = li.select(doc.alias("doc_id"), F.row_number().over(by).cast("int").alias("line_no"), "l_orderkey", "l_linenumber", "l_partkey", "q")
-    deep = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("."), (F.col("l_partkey") % 9 + 1).cast("string"))).otherwise("")
-    text = F.when(
-        (F.col("l_partkey") % 5 == 0) & (F.col("doc_id") % 4 != 0), F.concat(F.lit("Body text of part "), F.col("l_partkey").cast("string"), F.lit(" goes on"))
-    ).otherwise(F.concat(F.col("l_linenumber").cast("string"), deep, F.lit(" Part "), F.col("l_partkey").cast("string"), F.lit(" ........ "), F.col("q").cast("string")))
-    rows = rows.select("doc_id", "line_no", text.alias("text"), (F.lit(72.0) + 7 * (F.col("l_partkey") % 4)).alias("x"))
-    heads = rows.select("doc_id").distinct().where("doc_id % 3 <> 1").select("doc_id", F.lit(0).alias("line_no"), F.lit("Table of Contents").alias("text"), F.lit(72.0).alias("x"))
-    rows = rows.unionByName(heads)
-    return rows.select(
-        "doc_id", "line_no", "text", F.expr("cast(line_no div 12 as int)").alias("page"), "x",
-        (F.lit(72.0) + 18 * (F.col("line_no") % 12)).alias("y"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"),
-    )
+
+    def make(lineitem: DataFrame) -> DataFrame:
+        li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_extendedprice")
+        li = li.withColumn("doc_id", F.expr("l_orderkey div 40"))
+        by = Window.partitionBy("doc_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q", "l_extendedprice")
+        rows = li.select("doc_id", F.row_number().over(by).cast("int").alias("line_no"), "l_linenumber", "l_partkey", "q")
+        deep = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("."), (F.col("l_partkey") % 9 + 1).cast("string"))).otherwise("")
+        text = F.when(
+            (F.col("l_partkey") % 5 == 0) & (F.col("doc_id") % 4 != 0), F.concat(F.lit("Body text of part "), F.col("l_partkey").cast("string"), F.lit(" goes on"))
+        ).otherwise(F.concat(F.col("l_linenumber").cast("string"), deep, F.lit(" Part "), F.col("l_partkey").cast("string"), F.lit(" ........ "), F.col("q").cast("string")))
+        # the first row of a document brings the heading with it, so the lines are read once
+        line = F.struct(F.col("line_no").alias("line_no"), text.alias("text"), (F.lit(72.0) + 7 * (F.col("l_partkey") % 4)).alias("x"))
+        head = F.struct(F.lit(0).alias("line_no"), F.lit("Table of Contents").alias("text"), F.lit(72.0).alias("x"))
+        first = (F.col("line_no") == 1) & (F.col("doc_id") % 3 != 1)
+        rows = rows.select("doc_id", F.explode(F.when(first, F.array(head, line)).otherwise(F.array(line))).alias("r")).select("doc_id", "r.*")
+        return rows.select(
+            "doc_id", "line_no", "text", F.expr("cast(line_no div 12 as int)").alias("page"), "x",
+            (F.lit(72.0) + 18 * (F.col("line_no") % 12)).alias("y"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"),
+        )
+
+    return _lines(spark, sf_dir, "toc_lines", "lineitem", make, "k_match", "k_bare", "k_merge")
 
 
 TOC_LINES = """tr AS (SELECT l_orderkey // 40 AS doc_id, row_number() OVER (PARTITION BY l_orderkey // 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT, l_extendedprice)::INT AS line_no,
@@ -95,11 +125,10 @@ tl AS (SELECT *, (line_no // 12)::INT AS page, 72.0::DOUBLE + 18 * (line_no % 12
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outlines of `documents`: the lines of at most twelve words (doc_id, pos, title, level, page, y, printed_page)."""
-    d = doc_lines(spark, sf_dir).where((T.n_words(F.col("text")) <= 12) & (T.strip(F.col("text")) != ""))
-    return d.select(
+    """Outlines of `documents`: the lines of one to twelve words (doc_id, pos, title, level, page, y, printed_page, keys)."""
+    return doc_lines(spark, sf_dir).where(F.col("n_words").between(1, 12)).select(
         "doc_id", F.col("line_no").alias("pos"), F.col("text").alias("title"), (F.char_length("text") % 4 + 1).alias("level"), "page", "y",
-        F.when(F.col("line_no") % 2 == 0, F.col("page") + 3).alias("printed_page"),
+        F.when(F.col("line_no") % 2 == 0, F.col("page") + 3).alias("printed_page"), *KEYS,
     )
 
 
@@ -114,7 +143,7 @@ def predicted(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
     return g.select(
         "doc_id", "pos", "title",
         F.when(F.col("pos") % shift == 0, F.col("level") + 1).otherwise(F.col("level")).cast("int").alias("level"),
-        F.when(F.col("pos") % 6 == 2, F.col("page") + 1).otherwise(F.col("page")).alias("page"), "y", "printed_page",
+        F.when(F.col("pos") % 6 == 2, F.col("page") + 1).otherwise(F.col("page")).alias("page"), "y", "printed_page", *KEYS,
     )
 
 

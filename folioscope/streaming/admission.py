@@ -13,14 +13,22 @@ LIMIT, WINDOW = 10, 3600.0
 TTL = 3600.0
 
 
-def admit(times: deque, now: float, limit: int, window: float) -> bool:
-    """Forget hits older than the window; take the new one if there is room.  A refused hit is not remembered."""
-    while times and now - times[0] > window:
-        times.popleft()
-    if len(times) >= limit:
-        return False
-    times.append(now)
-    return True
+class Gate:
+    """The times of the last `limit` accepted hits of a key, in a ring.
+
+    A hit is accepted if fewer have been, or if the oldest of the ring lies more than `window` before it; refused hits
+    leave no trace.
+    """
+
+    def __init__(self, limit: int, window: float, times=()):
+        self.limit, self.window = limit, window
+        self.ring = deque(times, maxlen=max(limit, 1))
+
+    def accepts(self, now: float) -> bool:
+        ok = self.limit > 0 and (len(self.ring) < self.limit or now - self.ring[0] > self.window)
+        if ok:
+            self.ring.append(now)
+        return ok
 
 
 def rate_limit(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW, key: str = "key") -> DataFrame:
@@ -29,13 +37,13 @@ def rate_limit(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW, key:
     rows = hits.select(key, "ts").repartition(key).sortWithinPartitions(key, "ts")
 
     def run(batches):
-        last, times = None, deque()
+        last, gate = None, Gate(limit, window)
         for pdf in batches:
             out = []
             for k, ts in zip(pdf[key], pdf["ts"], strict=True):
                 if k != last:
-                    last, times = k, deque()
-                out.append(admit(times, ts, limit, window))
+                    last, gate = k, Gate(limit, window)
+                out.append(gate.accepts(ts))
             yield pdf.assign(allowed=out)
 
     return rows.mapInPandas(run, schema)
@@ -48,11 +56,11 @@ def rate_limit_stream(hits: DataFrame, limit: int = LIMIT, window: float = WINDO
         if state.hasTimedOut:
             state.remove()
             return
-        times = deque(state.get[0]) if state.exists else deque()
+        gate = Gate(limit, window, state.get[0] if state.exists else ())
         for pdf in pdfs:
             pdf = pdf.sort_values("ts")
-            yield pd.DataFrame({"key": key[0], "ts": pdf["ts"], "allowed": [admit(times, t, limit, window) for t in pdf["ts"]]})
-        state.update((list(times),))
+            yield pd.DataFrame({"key": key[0], "ts": pdf["ts"], "allowed": [gate.accepts(t) for t in pdf["ts"]]})
+        state.update((list(gate.ring),))
         state.setTimeoutDuration(int(window * 1000))
 
     return hits.groupBy("key").applyInPandasWithState(
@@ -66,6 +74,12 @@ def expired(status: Column, created_at: Column, now: Column, ttl: float = TTL) -
     return (status.isin("done", "failed") & (age > ttl)) | (age > 2 * ttl)
 
 
-def latest_status(events: DataFrame) -> DataFrame:
-    """(id, status, updated) from a log of (id, status, ts)."""
-    return events.groupBy("id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("updated"))
+def latest_status(events: DataFrame, order: str = "ts") -> DataFrame:
+    """(id, status, updated) from a log of (id, status, ts).  Of equal times the greatest `order` is the latest."""
+    return events.groupBy("id").agg(F.max_by("status", F.struct("ts", order)).alias("status"), F.max("ts").alias("updated"))
+
+
+def live_keys(admitted: DataFrame, now: float | Column, window: float = WINDOW) -> DataFrame:
+    """(key, last) of the keys that an admission log (key, ts, allowed) must still remember at `now`; others are forgotten."""
+    last = admitted.where("allowed").groupBy("key").agg(F.max("ts").alias("last"))
+    return last.where((now if isinstance(now, Column) else F.lit(now)) - F.col("last") <= window)

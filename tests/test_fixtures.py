@@ -111,7 +111,9 @@ def test_contents(spark):
     out = outline.build_outline(ln).orderBy("pos").collect()
     assert [(r["page"], r["failed"]) for r in out] == [(2, False), (2, False), (3, False), (4, False)]
     written = levels.outline_rows(outline.build_outline(ln)).orderBy("pos").collect()
-    assert [r["page"] for r in written] == [3, 3, 4, 5] and written[1]["printed"] == "  1.1 Background  (page 3)"
+    assert [r["page"] for r in written] == [3, 3, 4, 5]
+    shown = levels.printed_outline(entries(spark, [("A", 1, 0), ("B", 2)])).orderBy("pos").collect()
+    assert [r["printed"] for r in shown] == ["A  (page 1)", "  B  (page ?)"]
     assert outline.build_outline(contents(spark, ghost=True)).where("failed").count() == 1
 
 
@@ -207,7 +209,22 @@ def test_compare_and_bootstrap(spark):
 
 def test_threshold(spark):
     df = spark.createDataFrame([(0.2, 0), (0.4, 0), (0.62, 1), (0.9, 2)], "score double, label int")
-    assert tuple(scoring.tune_threshold(df).first()) == (0.45, 1.0)
+    assert scoring.tune_threshold(df).first()["threshold"] == pytest.approx(0.45) and scoring.tune_threshold(df).first()["f1"] == 1.0
+    # no cut lies beyond 0.995, and without a true positive there is no best one
+    high = spark.createDataFrame([(0.997, 0), (0.9995, 1)], "score double, label int")
+    assert scoring.tune_threshold(high).first()["f1"] == pytest.approx(2 / 3)
+    assert tuple(scoring.tune_threshold(df.where("label = 0")).first()) == (0.5, -1.0)
+    assert tuple(scoring.tune_threshold(df.where("false")).first()) == (0.5, -1.0)
+    rng = random.Random(6)
+    for _ in range(4):
+        rows = [(rng.random(), rng.randrange(2)) for _ in range(30)]
+        best = (0.5, -1.0)
+        for cut in scoring.CUTS:
+            tp, n = sum(y for s, y in rows if s >= cut), sum(s >= cut for s, _ in rows)
+            f1 = 2 * tp / (n + sum(y for _, y in rows)) if tp else -1.0
+            if f1 > best[1] + 1e-12:
+                best = (cut, f1)
+        assert tuple(scoring.tune_threshold(spark.createDataFrame(rows, "score double, label int")).first()) == pytest.approx(best)
 
 
 def test_dataset(spark):
@@ -261,8 +278,10 @@ def test_features(spark):
     f = features.line_features(ln).orderBy("line_no").collect()
     assert [r["gap_above"] for r in f] == [0.0, 60.0, 18.0, 0.0] and f[0]["size_ratio"] == 2.0
     c = features.feature_columns(features.line_features(ln)).orderBy("line_no").collect()
-    assert c[0]["size_vs_next"] == 2.0 and c[2]["size_vs_next"] == 1.0 and c[0]["gap_below"] == 3.0
-    assert c[0]["window_bold_frac"] == 0.25 and list(c[0].asDict())[2:] == features.FEATURES
+    assert c[0]["size_to_next"] == 2.0 and c[2]["size_to_next"] == 1.0 and c[0]["below_ems"] == 3.0
+    padded = features.feature_columns(features.line_features(lines(spark, [("  a1  ", 0, 72)]))).first()
+    assert (padded["digit_share"], padded["n_chars"]) == (0.5, 2.0)
+    assert c[0]["bold_share"] == 0.25 and list(c[0].asDict())[2:] == features.FEATURES
 
 
 def test_align(spark):
@@ -312,7 +331,7 @@ def test_files(spark, tmp_path):
     def decoder(raw):
         raise ValueError("no decoder here")
 
-    assert files.decode(f, decoder).first()["status"] == "ValueError"
+    assert files.decode(f, decoder).first()["status"] == "InvalidPdf"
     feed = tmp_path / "feed.xml"
     feed.write_text(
         '<feed><entry><id>http://h.org/abs/1.2v1</id><title>A\n b</title><published>2024</published><link href="u.pdf" title="pdf"/></entry>'
@@ -320,8 +339,8 @@ def test_files(spark, tmp_path):
     )
     got = files.read_feed(spark, str(feed)).orderBy("id").collect()
     assert [(r["id"], r["title"], r["pdf_url"]) for r in got] == [("1.2v1", "A b", "u.pdf"), ("3.4", "C", "http://h.org/pdf/3.4")]
-    urls = spark.range(1).select(files.revision_urls(F.lit("b/"), F.lit("n"))).first()[0]
-    assert urls == ["b/nr5.pdf", "b/nr4.pdf", "b/nr3.pdf", "b/nr2.pdf", "b/nr1.pdf", "b/n.pdf"]
+    urls = spark.range(1).select(files.candidate_urls(F.lit("n"), "b/", "old/x")).first()[0]
+    assert urls == ["b/nr5.pdf", "b/nr4.pdf", "b/nr3.pdf", "b/nr2.pdf", "b/nr1.pdf", "b/n.pdf", "old/xn.pdf"]
     rows = spark.createDataFrame([("s1", "train"), ("s2", "val")], "sha256 string, split string")
     files.write_splits(rows, f"{tmp_path}/splits")
     assert spark.read.json(f"{tmp_path}/splits/split=val").count() == 1

@@ -1,86 +1,17 @@
-"""Scratch tables, size-checked broadcasts and connected components for the operators of this subpackage."""
+"""Columns and connected components that the operators of this subpackage share; scratch tables come from the library."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.scratch import checked, drop, table  # noqa: F401  also for the operators
+
 #: The id that stands for a null one inside the operators: it sorts after all others.
 NO_ID = (1 << 63) - 1
 #: What separates words: ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where that is unset (single machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def _fs(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the scratch folder and read it back: later steps start from files, not from df's lineage.
-
-    The shuffle files that df needed are let go at once.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
-    out._folioscope_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a frame that ``table`` returned; nothing may read it any more."""
-    fs, where = _fs(df.sparkSession, df._folioscope_path)
-    fs.delete(where, True)
-
-
-def checked(df: DataFrame) -> DataFrame:
-    """df, a frame that ``table`` returned, with a broadcast hint if its files are within Spark's own broadcast limit.
-
-    Beyond ``spark.sql.autoBroadcastJoinThreshold`` a join with it shuffles.
-    """
-    spark = df.sparkSession
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    fs, where = _fs(spark, df._folioscope_path)
-    return F.broadcast(df) if fs.getContentSummary(where).getLength() <= limit else df
-
-
-@atexit.register
-def clear() -> None:
-    """Delete the scratch tables of this process; also runs when it ends."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            fs, where = _fs(spark, path)
-            fs.delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended
-            pass
-
 
 def beside(df: DataFrame) -> DataFrame:
     """df as a side of a join that grows with the corpus: it is shuffled and merged at every size, never broadcast."""

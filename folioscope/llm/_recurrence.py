@@ -1,16 +1,17 @@
-"""Windows of W units (words or bytes) that occur again: the part that substring and suffix-array dedup share.
+"""Windows of W units (words or bytes) that occur again: what substring and suffix-array dedup share.
 
 1. *Survey*: every window is anchored at its gram (g units) with the least hash, which equal windows share.  About
-   2 / (W - g + 2) of all grams are anchors of some window; only their hashes are shuffled and counted.
+   2 / (W - g + 2) of all grams are anchors of some window; only their hashes are shuffled and counted.  A window whose
+   anchor does not recur cannot recur, so this leaves out what the costlier steps need not see.
 2. *Contexts*: around each anchor that recurs, the run of windows anchored at it is cut out.  Equal contexts meet in
-   one row that keeps their first occurrence.  All windows of a later one recur; those of a first one may only recur
-   in other contexts of the same anchor.
-3. *Shards*: contexts that share an anchor are compared with one another, by the method of each operator.
+   one row that keeps their first occurrence; all windows of a later one recur.
+3. *Shards*: contexts that share an anchor meet, and the method of each operator finds what recurs among them.
 4. The spans found go back to their documents, which are read again and cut.
 
-An anchor with more than HOT distinct contexts is not a fair unit of work: its contexts are taken apart into windows,
-which meet by their own hash, so no shard gathers them.  Texts with an earlier exact copy take no part after step 1;
-they are wholly made of windows of the first copy.
+An anchor with more than CROWD distinct contexts is no fair unit of work.  Its contexts are dealt further: each of their
+windows goes to the shard of its own hash, as a context of one window, and the same method decides there.  Texts with an
+earlier exact copy take no part after step 1; they are wholly made of windows of the first copy.  Long texts are worked
+on in overlapping pieces, and equal contexts that follow one another at equal steps, as in periodic text, are one row.
 """
 
 from __future__ import annotations
@@ -26,12 +27,17 @@ from pyspark.sql import functions as F
 from folioscope.llm import _bytes as B
 from folioscope.llm._common import NO_ID, beside, drop, table, text_hash
 
-#: Distinct contexts of an anchor beyond which its windows go their own ways.
-HOT = 20_000
+#: Distinct contexts of an anchor beyond which its windows are dealt one by one.
+CROWD = 20_000
 #: Distinct contexts that a shard holds at a time, about.
 SHARD = 20_000
+#: Contexts that make up this share of all are sent to every task when spans go back: at most 1 / COMMON of them.
+COMMON = 1e-5
+#: Bytes of a long text that are worked on at once, and rows that a task gathers before it lets them go.
+PIECE, ROWS = 2 << 20, 20_000
 
-_CONTEXT = "a long, c1 long, c2 long, d long, t1 long, pos long, len int, ctx binary"
+_CONTEXT = "a long, c1 long, c2 long, d long, t1 long, pos long, len long, step long, times long, ctx binary"
+_PARTS = "array<struct<s:long,e:long>>"
 
 
 def _units(kind: str, gram: int, data: np.ndarray, at: np.ndarray):
@@ -42,13 +48,41 @@ def _units(kind: str, gram: int, data: np.ndarray, at: np.ndarray):
     return B.gram_hashes(B.word_hashes(data, begin, end), gram), first, begin, end
 
 
+def _pieces(kind: str, gram: int, window: int, column: pa.Array) -> Iterator[tuple]:
+    """Runs of rows (first, end, bytes, their `_units`, 0); a long text in pieces that share window - 1 units, with the unit that each begins at."""
+    for lo, hi, data, at in B.blocks(column, PIECE):
+        if len(data) <= 2 * PIECE:
+            yield lo, hi, data, _units(kind, gram, data, at), 0
+            continue
+        start, base = 0, 0
+        while start < len(data):
+            end = min(start + PIECE, len(data))
+            while kind == "word" and end < len(data) and not B.SPACE[data[end]]:
+                end += 1
+            part = data[start:end]
+            units = _units(kind, gram, part, np.array([0, len(part)]))
+            yield lo, hi, part, units, base
+            n = int(units[1][-1])
+            if end == len(data):
+                return
+            if n < window:  # too few to hold a window: take more at once
+                step = max(n - window + 1, 0)
+            else:
+                step = n - window + 1
+            if step == 0:
+                part = data[start:]
+                yield lo, hi, part, _units(kind, gram, part, np.array([0, len(part)])), base
+                return
+            start += step if kind == "byte" else int(units[2][step])
+            base += step
+
+
 def _survey(kind: str, window: int, gram: int, most: int):
-    """A row for each text: its length in units and its anchors, an anchor that occurs again at most `most` times."""
+    """The anchors of each text, or piece of one; an anchor that occurs again at most `most` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in B.blocks(batch.column("text")):
-                g, bounds, _, _ = _units(kind, gram, data, at)
+            for lo, hi, _, (g, bounds, _, _), _ in _pieces(kind, gram, window, batch.column("text")):
                 row, anchor, _, _ = B.runs(g, bounds, window, gram)
                 h = g[anchor].view(np.int64)
                 order = np.lexsort((h, row))
@@ -58,73 +92,97 @@ def _survey(kind: str, window: int, gram: int, most: int):
                 row, h = row[keep], h[keep]
                 cut = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(lo, hi - lo) for c in ("d", "t1", "t2")]
-                    + [pa.array(np.diff(bounds)), pa.ListArray.from_arrays(cut, pa.array(h))],
-                    ["d", "t1", "t2", "n", "anchors"],
+                    [batch.column(c).slice(lo, hi - lo) for c in ("d", "t1", "t2")] + [pa.ListArray.from_arrays(cut, pa.array(h))],
+                    ["d", "t1", "t2", "anchors"],
                 )
 
     return run
 
 
 def _contexts(kind: str, window: int, gram: int, once: bool):
-    """A row for each context of a document's candidate anchors.
+    """A row for each context of a document's candidate anchors: pos, len, and `times` that it occurs, `step` apart.
 
-    once: of equal contexts in a document only the first is cut out; a later one has no hash and no text.
+    once: of equal contexts in a document only the first is cut out; later ones are rows without a hash and a text.
     """
-    kinds = (*(pa.int64(),) * 6, pa.int32(), pa.binary())
-    names = ["a", "c1", "c2", "d", "t1", "pos", "len", "ctx"]
+    names = [f.split()[0] for f in _CONTEXT.split(", ")]
+    kinds = (*(pa.int64(),) * 9, pa.binary())
+
+    def flush(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def add(out: list[list], row: list) -> None:
+        """Append a row, or let the last one take it in: the same context a step further, or a later one that adjoins."""
+        last = out[-1] if out else None
+        if last and last[1:5] == row[1:5]:
+            if row[1] is None:
+                if last[5] <= row[5] <= last[5] + last[6]:
+                    last[6] = max(last[6], row[5] + row[6] - last[5])
+                    return
+            elif last[6] == row[6] and (last[8] == 1 or row[5] == last[5] + last[7] * last[8]) and row[5] > last[5]:
+                last[7] = row[5] - last[5] if last[8] == 1 else last[7]
+                last[8] += 1
+                return
+        out.append(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t1 = batch.column("d").to_pylist(), batch.column("t1").to_pylist()
             cand = batch.column("cand")
-            for lo, hi, data, at in B.blocks(batch.column("text")):
-                g, bounds, begin, end = _units(kind, gram, data, at)
+            seen: set = set()
+            own_row = -1
+            for lo, hi, data, (g, bounds, begin, end), base in _pieces(kind, gram, window, batch.column("text")):
                 row, anchor, first, last = B.runs(g, bounds, window, gram)
                 h = g[anchor].view(np.int64)
-                out: list[list] = [[] for _ in kinds]
                 edges = np.searchsorted(row, np.arange(hi - lo + 1))
+                out: list[list] = []
                 for r in range(hi - lo):
+                    if lo + r != own_row:
+                        seen, own_row = set(), lo + r
                     own = np.flatnonzero(np.isin(h[edges[r] : edges[r + 1]], np.asarray(cand[lo + r].values))) + edges[r]
-                    seen: set = set()
-                    base = int(bounds[r])
-                    for a, f, e in zip(h[own].tolist(), first[own].tolist(), last[own].tolist(), strict=True):
-                        if begin is None:
-                            ctx = data[f : e + window].tobytes()
-                        else:
-                            ctx = b" ".join(data[begin[f] : end[e + window - 1]].tobytes().split())
-                        k = xxhash.xxh3_128_intdigest(ctx)
-                        values = (a, _signed(k >> 64), _signed(k & _LOW), d[lo + r], t1[lo + r], f - base, e + window - f, ctx)
-                        if once and k in seen:
-                            values = (a, None, None, *values[3:7], None)
-                        seen.add(k)
-                        for to, v in zip(out, values, strict=True):
-                            to.append(v)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out, kinds, strict=True)], names)
+                    moved = base - int(bounds[r])
+                    for part in range(0, len(own), ROWS):
+                        some = own[part : part + ROWS]
+                        for a, f, e in zip(h[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True):
+                            if begin is None:
+                                ctx = data[f : e + window].tobytes()
+                            else:
+                                ctx = b" ".join(data[begin[f] : end[e + window - 1]].tobytes().split())
+                            k = xxhash.xxh3_128_intdigest(ctx)
+                            at = [d[lo + r], t1[lo + r], f + moved, e + window - f, 0, 1]
+                            if once and k in seen:
+                                add(out, [None, None, None, *at, None])
+                            else:
+                                if once:
+                                    seen.add(k)
+                                add(out, [a, _signed(k >> 64), _signed(k & _LOW), *at, ctx])
+                        if len(out) >= ROWS:
+                            yield flush(out)
+                            out = []
+                if out:
+                    yield flush(out)
 
     return run
 
 
 def _windows(kind: str, window: int):
-    """A row for each window of a context, with 128 bits of it."""
+    """The windows of a context as contexts of their own: a shard key, the context's hash, the first place, the offset, the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c1, c2, fd, fp, ctx in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "fd", "fp", "ctx")), strict=True):
                 units = ctx if kind == "byte" else ctx.split(b" ")
                 n = len(units) - window + 1
-                own = (units[i : i + window] if kind == "byte" else b" ".join(units[i : i + window]) for i in range(n))
-                k = [xxhash.xxh3_128_intdigest(w) for w in own]
+                own = [units[i : i + window] if kind == "byte" else b" ".join(units[i : i + window]) for i in range(n)]
+                same = lambda v: pa.array([v] * n, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([_signed(x >> 64) for x in k], pa.int64()),
-                        pa.array([_signed(x & _LOW) for x in k], pa.int64()),
-                        *(pa.array([v] * n, pa.int64()) for v in (c1, c2, fd)),
+                        pa.array([_signed(xxhash.xxh3_64_intdigest(w)) for w in own], pa.int64()),
+                        *(same(v) for v in (c1, c2, fd)),
                         pa.array(range(fp, fp + n), pa.int64()),
                         pa.array(range(n), pa.int64()),
+                        pa.array(own, pa.binary()),
                     ],
-                    ["w1", "w2", "c1", "c2", "fd", "p", "off"],
+                    ["a", "c1", "c2", "fd", "fp", "off", "ctx"],
                 )
 
     return run
@@ -157,7 +215,7 @@ def shards(compare: Callable[[list[bytes], np.ndarray, np.ndarray], list[list[tu
             [
                 pa.array([r[1] for r, _ in found], pa.int64()),
                 pa.array([r[2] for r, _ in found], pa.int64()),
-                pa.array([[{"s": a, "e": b} for a, b in s] for _, s in found], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
+                pa.array([[{"s": a + r[6], "e": b + r[6]} for a, b in s] for r, s in found], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
             ],
             ["c1", "c2", "parts"],
         )
@@ -165,7 +223,7 @@ def shards(compare: Callable[[list[bytes], np.ndarray, np.ndarray], list[list[tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("a", "c1", "c2", "fd", "fp", "ctx")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("a", "c1", "c2", "fd", "fp", "ctx", "off")), strict=True):
                 if len(rows) >= SHARD and row[0] != rows[-1][0]:
                     yield flush(rows)
                     rows = []
@@ -225,7 +283,7 @@ def remove_recurring(
     keyed = keyed.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), *text_hash(F.col("text")), "text")
     survey = table(
         keyed.select("d", "t1", "t2", "text").mapInArrow(
-            _survey(kind, window, gram, 2 if same_document else 1), "d long, t1 long, t2 long, n long, anchors array<long>"
+            _survey(kind, window, gram, 2 if same_document else 1), "d long, t1 long, t2 long, anchors array<long>"
         ),
         "survey",
     )
@@ -246,31 +304,32 @@ def remove_recurring(
     )
     met = table(met.select("a", "c1", "c2", F.col("f.d").alias("fd"), F.col("f.pos").alias("fp"), "ctx", "times"), "distinct")
     crowd = table(met.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
-    shared = met.join(beside(crowd), "a").select("a", "c1", "c2", "fd", "fp", "ctx", "n")
-    part = "array<struct<s:long,e:long>>"
-    sharded = shared.where(F.col("n") <= HOT).drop("n").repartition("a").sortWithinPartitions("a", "c1", "c2")
-    hits = sharded.mapInArrow(shards(compare), f"c1 long, c2 long, parts {part}")
-    if not crowd.where(F.col("n") > HOT).isEmpty():
-        alone = shared.where(F.col("n") > HOT).select("c1", "c2", "fd", "fp", "ctx")
-        alone = table(alone.mapInArrow(_windows(kind, window), "w1 long, w2 long, c1 long, c2 long, fd long, p long, off long"), "windows")
-        owner = alone.groupBy("w1", "w2").agg(F.min(F.struct("fd", "p")).alias("o"), F.count("*").alias("n")).where("n > 1")
-        mine = F.struct("fd", "p") > F.col("o") if same_document else F.col("fd") > F.col("o.fd")
-        more = alone.join(owner, ["w1", "w2"]).where(mine).groupBy("c1", "c2")
-        more = more.agg(F.collect_list(F.struct(F.col("off").alias("s"), (F.col("off") + window).alias("e"))).alias("parts"))
-        hits = hits.unionByName(more)
-    hits = table(hits, "hits")
+    shared = met.join(beside(crowd), "a").select("a", "c1", "c2", "fd", "fp", F.lit(0).cast("long").alias("off"), "ctx", "n")
+    alone = shared.where(F.col("n") > CROWD).select("c1", "c2", "fd", "fp", "ctx")
+    alone = alone.mapInArrow(_windows(kind, window), "a long, c1 long, c2 long, fd long, fp long, off long, ctx binary")
+    dealt = shared.where(F.col("n") <= CROWD).drop("n").unionByName(alone).repartition("a").sortWithinPartitions("a", "c1", "c2", "off")
+    hits = dealt.mapInArrow(shards(compare), f"c1 long, c2 long, parts {_PARTS}")
+    hits = table(hits.groupBy("c1", "c2").agg(F.flatten(F.collect_list("parts")).alias("parts")), "hits")
     # of a context only its later occurrences, and a first one with parts, are cut
-    told = met.select("c1", "c2", "fd", "fp", "times").join(hits, ["c1", "c2"], "left").where("times > 1 or parts is not null")
+    told = met.select("c1", "c2", "fd", "fp", "times").join(beside(hits), ["c1", "c2"], "left").where("times > 1 or parts is not null")
+    told = table(told, "told")
+    total = told.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    often = F.col("times") >= max(2.0, COMMON * total)
     first = (F.col("d") == F.col("fd")) & ((F.col("pos") == F.col("fp")) if same_document else F.lit(True))
-    whole = F.array(F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("len")).alias("e")))
-    moved = F.transform("parts", lambda p: F.struct((p["s"] + F.col("pos")).alias("s"), (p["e"] + F.col("pos")).alias("e")))
-    spans = found.where("c1 is not null").select("c1", "c2", "d", "t1", "pos", "len").join(told, ["c1", "c2"])
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.col("pos") + k * F.col("step"))
+    whole = F.when(F.col("step") <= F.col("len"), F.array(F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("step") * (F.col("n") - 1) + F.col("len")).alias("e"))))
+    whole = whole.otherwise(F.transform(places, lambda x: F.struct(x.alias("s"), (x + F.col("len")).alias("e"))))
+    moved = F.flatten(F.transform(places, lambda x: F.transform("parts", lambda p: F.struct((p["s"] + x).alias("s"), (p["e"] + x).alias("e")))))
+    placed = found.withColumnRenamed("times", "n").drop("a", "ctx")
+    keyed_rows = placed.where("c1 is not null")
+    # spans of very common contexts meet them without a shuffle; there are at most 1 / COMMON of those
+    hot = F.broadcast(told.where(often))
+    spans = keyed_rows.join(hot, ["c1", "c2"]).unionByName(keyed_rows.join(hot.select("c1", "c2"), ["c1", "c2"], "left_anti").join(beside(told.where(~often)), ["c1", "c2"]))
     spans = spans.select("d", "t1", F.explode(F.when(first, moved).otherwise(whole)).alias("p"))
-    spans = spans.unionByName(found.where("c1 is null").select("d", "t1", whole[0].alias("p")))
+    spans = spans.unionByName(placed.where("c1 is null").select("d", "t1", whole[0].alias("p")))
     cuts = spans.groupBy("d", "t1").agg(F.collect_list("p").alias("parts"), F.lit(False).alias("whole"))
-    gone = later.select("d", "t1", F.lit(None).cast(part).alias("parts"), F.lit(True).alias("whole"))
+    gone = later.select("d", "t1", F.lit(None).cast(_PARTS).alias("parts"), F.lit(True).alias("whole"))
     cuts = table(cuts.unionByName(gone), "cuts")
-    for done in (found, met, hits):
-        drop(done)
+    drop(found, met, crowd, hits, told, copies, later, again)
     joined = keyed.join(beside(cuts), ["d", "t1"], "left").select("doc_id", "text", "parts", "whole")
-    return joined.mapInArrow(_cut(kind, window), f"doc_id {dict(docs.dtypes)[id_col]}, kept binary, n long, n_removed long, spans {part}")
+    return joined.mapInArrow(_cut(kind, window), f"doc_id {dict(docs.dtypes)[id_col]}, kept binary, n long, n_removed long, spans {_PARTS}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,11 @@ TABLES, PARTS, PROBES = 8, 2, 3
 #: Vectors of a bucket that meet in one task, from each of two blocks.
 BLOCK = 1024
 
-_SIGNS = np.random.Generator(np.random.PCG64(5)).integers(0, 2, (TABLES, PARTS, 3, 1 << 14), dtype=np.int8) * 2 - 1
+
+@lru_cache(maxsize=4)
+def signs(dim: int) -> np.ndarray:
+    """Random signs of the rotations of vectors of `dim` components: (table, part, round, component)."""
+    return np.random.Generator(np.random.PCG64(dim)).integers(0, 2, (TABLES, PARTS, 3, dim), dtype=np.int8) * 2 - 1
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -41,8 +46,6 @@ def cells(x: np.ndarray) -> np.ndarray:
     """
     n, d = x.shape
     dim = 1 << max(1, (d - 1).bit_length())
-    if dim > _SIGNS.shape[-1]:
-        raise ValueError(f"vectors of more than {_SIGNS.shape[-1]} components")
     x = np.pad(x, ((0, 0), (0, dim - d)))
     out = np.zeros((n, TABLES, PROBES), dtype=np.int64)
     for t in range(TABLES):
@@ -50,7 +53,7 @@ def cells(x: np.ndarray) -> np.ndarray:
         for p in range(PARTS):
             y = x
             for k in range(3):
-                y = hadamard(y * _SIGNS[t, p, k, :dim]) / np.sqrt(dim)
+                y = hadamard(y * signs(dim)[t, p, k]) / np.sqrt(dim)
             size = np.abs(y)
             two = np.argpartition(-size, 1, axis=1)[:, :2]
             got = np.take_along_axis(size, two, axis=1)

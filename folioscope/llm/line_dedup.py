@@ -12,10 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import NO_ID, beside, table, text_hash
+from folioscope.llm._common import NO_ID, beside, checked, table, text_hash
 
 #: Up to this many different documents with a shared line, all are aligned with one another.
 RARE = 10
+#: A partner of this share of all pairs is treated apart, so that they need not meet in one task; there are at most 1 / HOT.
+HOT = 1e-3
 #: Words that an aligned block has at least; a shorter one is no copy.
 MIN_WORDS = 5
 
@@ -212,7 +214,11 @@ def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     # equal sequences: the first one's own lines
     pairs = table(pairs.union(seqs.where("f < m").select("q", F.col("q").alias("p"))), "pairs")
     mine, theirs = seqs.select("q", F.col("lines").alias("mine")), seqs.select(F.col("q").alias("p"), F.col("lines").alias("theirs"))
-    found = pairs.join(beside(mine), "q").join(beside(theirs), "p")
+    # a partner of very many documents is sent to every task, if all such fit, and else shuffled like any other
+    many = pairs.groupBy("p").agg(F.count("*").alias("n"))
+    hot = table(many.where(F.col("n") >= F.lit(HOT * max(pairs.count(), 1))).select("p").join(theirs, "p"), "partners")
+    found = pairs.join(beside(mine), "q")
+    found = found.join(checked(hot), "p").unionByName(found.join(checked(hot).select("p"), "p", "left_anti").join(beside(theirs), "p"))
     found = found.select((F.col("p") == F.col("q")).alias("copy"), "q", "mine", "theirs")
     hits = [found.where(c).select("q", "mine", "theirs").mapInArrow(_align(min_words), "q long, gone array<int>") for c in ("copy", "not copy")]
     hits = hits[0].withColumn("copy", F.lit(True)).union(hits[1].withColumn("copy", F.lit(False))).where(F.size("gone") > 0)

@@ -1,341 +1,414 @@
-"""Language-model scoring with a probabilistic suffix tree over words."""
+"""Language-model scoring with a probabilistic suffix tree over words, kept in tables that grow with the corpus."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import table
+from folioscope.llm import _bytes as B
+from folioscope.llm import _packs as P
+from folioscope.llm._common import beside, drop, table
 
-#: A text's last token; white space, so no word.
-END = b"\n"
-#: Shares of all training tokens.  They bound what is broadcast whatever the corpus' size: 1 / COMMON words, and for
-#: each length of context 1 / CONTEXT states and 1 / ENTRY next-symbol probabilities.  All further words are scored too, by
-#: a join with the counts.
-COMMON, CONTEXT, ENTRY = 1e-6, 1e-4, 1e-5
+#: Words of the longest contexts.
 DEPTH = 3
+#: Occurrences that a context needs to be considered, and that a symbol needs after it to have a probability of its own.
+CONTEXT, ENTRY = 8, 2
+#: What is taken off each count and left to the shorter context.
+DISCOUNT = 0.6
+#: What makes up this share of all training tokens is sent to every task: at most 1 / HEAVY words, and as many states and
+#: entries of each length.  All else, which grows with the corpus, meets the tokens by a join.
+HEAVY = 4e-6
+#: Bits of the filter that spares the join tokens of which nothing is known: 2 ** 16 to 2 ** MOST_BITS.
+MOST_BITS = 26
+#: Tokens that a task works on at once.
+TOKENS = 1_000_000
 
+_U = np.uint64
+_END = _U(0xE19D5C1C3B5A0D27)
+_ROOT, _NEXT = _U(0x243F6A8885A308D3), _U(0x9E3779B97F4A7C15)
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words (runs without ASCII white space) with A-Z in lower case, then END."""
-    words = (text or b"").lower().split()
-    words.append(END)
-    return words
+
+def longer(state: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of the state whose words are those of `state` and, before them, `word`."""
+    return B.mix(state * _U(0xD6E8FEB86659FD93) + word)
+
+
+def entry(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The key of a symbol after a state."""
+    return B.mix((state ^ _NEXT) * _U(0xA0761D6478BD642F) + symbol)
+
+
+def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens of rows of text, each one's place in its row, and each row's number of tokens.
+
+    Tokens are words (runs without ASCII white space, A-Z in lower case), then one end of text.
+    """
+    data = B.LOWER[data]
+    begin, end, first = B.words(data, at)
+    h = np.insert(B.word_hashes(data, begin, end), first[1:], _END)
+    size = np.diff(first) + 1
+    return h, np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size), size
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows of about TOKENS tokens: the rows, token hashes, places, sizes.  A longer text comes alone."""
+    for batch in batches:
+        for lo, hi, data, at in B.blocks(batch.column("text"), TOKENS * 6):
+            yield batch.slice(lo, hi - lo), *tokens(data, at)
+
+
+def contexts(h: np.ndarray, place: np.ndarray, depth: int) -> Iterator[np.ndarray]:
+    """For k = 1, 2, ... depth: the key of the k words before each token; 0 where the text has fewer before it."""
+    state = np.full(len(h), _ROOT)
+    for k in range(1, depth + 1):
+        older = np.zeros(len(h), dtype=np.uint64)
+        older[k:] = h[:-k]
+        state = np.where(place >= k, longer(state, older), _U(0))
+        yield state
+
+
+class Filter:
+    """A set of keys in which every member is found, and few others."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        out = np.ones(len(key), dtype=bool)
+        for place in (key >> _U(64 - self.bits), key & _U((1 << self.bits) - 1)):
+            out &= (self.words[(place >> _U(6)).astype(np.int64)] >> (place & _U(63)) & _U(1)).astype(bool)
+        return out
+
+
+def _filter(keys: DataFrame, rows: int) -> Filter:
+    """A filter of the column `key`: bits are set by an aggregate, at most 2 ** (MOST_BITS - 6) rows reach the driver."""
+    bits = min(max(16, int(12 * max(rows, 1)).bit_length()), MOST_BITS)
+    two = F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))
+    place = keys.select(F.explode(two).alias("p"))
+    word = place.groupBy(F.shiftrightunsigned("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    got = word.toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
+    return Filter(out, bits)
 
 
 @dataclass
-class Level:
-    """The states of one context length: sorted codes, and per state its back-off weight and next symbols."""
+class Heavy:
+    """Keys, ascending, with a value each."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are here, and the values of those."""
+        if not len(self.keys):
+            return np.zeros(len(key), dtype=bool), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        ok = self.keys[at] == key
+        return ok, self.values[at[ok]]
+
 
-    codes: np.ndarray
-    back: np.ndarray
-    entries: np.ndarray
-    shares: np.ndarray
+def _heavy(rows: DataFrame, value: str) -> Heavy:
+    got = rows.select("key", value).toArrow()
+    keys = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return Heavy(keys[order], got[value].to_numpy().astype(np.float64)[order])
 
 
 @dataclass
 class Tree:
-    """words: the common ones, most frequent first, and their base probabilities; n, v: training tokens and kinds;
-    width: how many of the words may stand in a context; levels: the states by length (codes: see `states`)."""
+    """n, v: training tokens and kinds.  words: (key, c) of all.  states, entries: the kept tree by length, as tables.
+
+    states: key, parent, c, beta; entries: state, symbol, n, p, lower.  values: (key, side, v) of all that scoring adds up
+    (see `score`), less what is heavy.
+    """
 
-    words: list[bytes]
-    base: np.ndarray
     n: int
     v: int
-    width: int
-    levels: list[Level] = field(default_factory=list)
+    words: DataFrame
+    states: list[DataFrame]
+    entries: list[DataFrame]
+    values: DataFrame
+    heavy_words: Heavy
+    heavy: Heavy
+    known: Filter
+    buckets: int
 
-    def numbered(self) -> dict[bytes, int]:
-        return {w: k for k, w in enumerate(self.words)}
 
+def _counted(texts: DataFrame, keys, kinds: tuple, many: int, least: int, schema: str) -> DataFrame:
+    """Sums of counts by key of what `keys` finds in a block of tokens: columns of keys with n, of at least `least`.
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    for batch in batches:
-        for text in batch.column("text").cast(pa.binary()).to_pylist():
-            seen.update(tokens(text))
-            if len(seen) > 300_000:
-                yield _word_batch(seen)
-                seen = Counter()
-    yield _word_batch(seen)
-
-
-def _word_batch(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-
-
-def _ids(batch: pa.RecordBatch, number: dict[bytes, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of all tokens (-1: not common) of about a million at a time, and each one's place in its text."""
-    out, place, total = [], [], 0
-    for text in batch.column("text").cast(pa.binary()).to_pylist():
-        words = tokens(text)
-        out.append(np.fromiter(map(number.get, words, repeat(-1)), dtype=np.int64, count=len(words)))
-        place.append(np.arange(len(words)))
-        total += len(words)
-        if total > 1_000_000:
-            yield np.concatenate(out), np.concatenate(place)
-            out, place, total = [], [], 0
-    if out:
-        yield np.concatenate(out), np.concatenate(place)
-
-
-def find(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where each key stands in the sorted codes; -1 if nowhere."""
-    if not len(codes):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(codes, keys), len(codes) - 1)
-    return np.where(codes[at] == keys, at, -1)
-
-
-def states(contexts: list[np.ndarray], ids: np.ndarray, place: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each context length, the state before each token (-1: none).
-
-    contexts[k] has the sorted codes of the states of length k + 1: the number of a length-k state (0 for none) times
-    `width`, plus the word before it.
+    keys(h, place) gives a hash to add up by and the columns that go with it.
     """
-    out = []
-    parent = np.zeros(len(ids), dtype=np.int64)
-    for k, codes in enumerate(contexts):
-        older = np.full(len(ids), -1, dtype=np.int64)
-        older[k + 1 :] = ids[: len(ids) - k - 1]
-        ok = (place > k) & (older >= 0) & (older < width) & (parent >= 0)
-        at = np.full(len(ids), -1, dtype=np.int64)
-        at[ok] = find(codes, parent[ok] * width + older[ok])
-        out.append(at)
-        parent = at
-    return out
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, place, _ in _blocks(batches):
+            key, cols = keys(h, place)
+            if len(key):
+                at, n = P.summed(key, np.ones(len(key), dtype=np.int64))
+                yield P.dealt(key[at], [key[at], *(c[at] for c in cols), n], many)
+
+    def meet(packs: dict[int, list[bytes]]) -> pa.RecordBatch:
+        key, *cols, n = P.columns(packs[0], (np.uint64, *kinds, np.int64))
+        at, n = P.summed(key, n)
+        at, n = at[n >= least], n[n >= least]
+        return pa.RecordBatch.from_arrays([pa.array(c[at].view(np.int64)) for c in (key, *cols)] + [pa.array(n)], [f.split()[0] for f in schema.split(", ")])
+
+    return P.gathered(texts.mapInArrow(count, P.SCHEMA), meet, schema)
 
-def _successors(number: dict[bytes, int], contexts: list[np.ndarray], width: int, symbols: int):
-    """Counts of (state of the greatest length, next symbol); symbol `symbols` stands for all others."""
 
+def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Tree:
+    """The suffix tree of the training texts.
+
+    A context of k words is considered if it occurs CONTEXT times; the symbols seen ENTRY times after it have
+    probabilities of their own: p = (n - DISCOUNT) / c + beta * lower, where lower is that after the context without its
+    oldest word, and beta the mass that is left, which all other symbols share as they do there.  At the root a token
+    has (c + 1) / (N + V + 1).  A context is kept if its distribution diverges from the shorter one's (their
+    Kullback-Leibler divergence times its count exceeds what stating its probabilities would cost, half the logarithm of
+    N each), or if a longer one that ends in it is kept.  These are absolute counts: the tree grows with the corpus.
+    """
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # the number of tokens decides how many buckets there are
+    size = texts.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1), F.lit(0))).first()[0]
+    many = P.buckets(size)
+    words = table(_counted(texts, lambda h, place: (h, []), (), many, 1, "key long, c long"), "words")
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    lower = words.select(F.col("key").alias("symbol"), ((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("lower"))
+    made = words.where(F.col("c") >= CONTEXT).where(F.col("key") != int(_END.view(np.int64)))
+    made = table(made.select("key", "c").mapInArrow(_first_states, _STATES), "states")
+    states, entries = [], []
+    seen = None
+    for k in range(1, depth + 1):
+        pairs = table(_counted(texts, _pairs(k, seen), (np.uint64, np.uint64), many, ENTRY, "key long, state long, symbol long, n long").drop("key"), "pairs")
+        c = made.select(F.col("key").alias("state"), "c", "parent")
+        rows = pairs.join(beside(c), "state")
+        if k > 1:
+            # what is seen after a context is seen after each shorter one, too
+            up = entries[-1].select(F.col("state").alias("parent"), "symbol", F.col("p").alias("lower"))
+            rows = rows.join(beside(up), ["parent", "symbol"])
+        else:
+            rows = rows.join(beside(lower), "symbol")
+        rows = table(rows.select("state", "symbol", "n", "c", "lower"), "rows")
+        left = rows.groupBy("state").agg((1 - F.sum(F.col("n") - DISCOUNT) / F.first("c")).alias("beta"))
+        p = (F.col("n") - DISCOUNT) / F.col("c") + F.col("beta") * F.col("lower")
+        full = table(rows.join(beside(table(left, "left")), "state").select("state", "symbol", "n", "c", "beta", p.alias("p"), "lower"), "entries")
+        cost = F.lit(0.5 * float(np.log(max(n, 2)))) * (1 + F.count("*"))
+        rest, below = F.greatest(1 - F.sum("p"), F.lit(1e-12)), F.greatest(1 - F.sum("lower"), F.lit(1e-12))
+        gain = F.first("c") * (F.sum(F.col("p") * F.log(F.col("p") / F.col("lower"))) + rest * F.log(rest / below))
+        told = full.groupBy("state").agg(F.first("beta").alias("beta"), (gain > cost).alias("diverges"))
+        drop(pairs, rows)
+        states.append(table(made.join(beside(told), made["key"] == told["state"]).drop("state"), "states"))
+        entries.append(full)
+        if k < depth:
+            # a context and a symbol, seen often enough, are a context one word longer
+            seen = (_filter(full.select("state", "symbol").mapInArrow(_entry_keys, "key long"), full.count()), None)
+            words_of = made.select(F.col("key").alias("state"), *(f"w{i}" for i in range(1, k + 1)))
+            grown = full.where((F.col("n") >= CONTEXT) & (F.col("symbol") != int(_END.view(np.int64)))).select("state", "symbol", F.col("n").alias("c"))
+            grown = grown.join(beside(words_of), "state").mapInArrow(_grown(k), _STATES)
+            made = table(grown.join(beside(states[-1].select(F.col("key").alias("parent"))), "parent", "left_semi").select(made.columns), "states")
+            seen = (seen[0], _filter(made.select("key"), made.count()))
+    return _kept(n, v, words, states, entries, many)
+
+
+_STATES = "key long, parent long, c long, " + ", ".join(f"w{i} long" for i in range(1, DEPTH + 1))
+
+
+def _state_batch(key, parent, c, words) -> pa.RecordBatch:
+    signed = lambda x: pa.array(x.view(np.int64))
+    cols = [signed(w) for w in words] + [pa.nulls(len(key), pa.int64())] * (DEPTH - len(words))
+    return pa.RecordBatch.from_arrays([signed(key), signed(parent), c, *cols], ["key", "parent", "c", *(f"w{i}" for i in range(1, DEPTH + 1))])
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _first_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """States of one word, from (key, c)."""
+    for batch in batches:
+        w = _column(batch, "key")
+        root = np.full(len(w), _ROOT)
+        yield _state_batch(longer(root, w), root, batch.column("c"), [w])
+
+
+def _grown(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A state's words w1 (the youngest) to wk and a symbol, seen c times, make the state symbol, w1, ... wk."""
         for batch in batches:
-            for ids, place in _ids(batch, number):
-                at = states(contexts, ids, place, width)[-1]
-                ok = at >= 0
-                nxt = np.where((ids[ok] >= 0) & (ids[ok] < symbols), ids[ok], symbols)
-                code, n = np.unique(at[ok] * (symbols + 1) + nxt, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+            words = [_column(batch, "symbol"), *(_column(batch, f"w{i}") for i in range(1, k + 1))]
+            key = parent = np.full(batch.num_rows, _ROOT)
+            for w in words:
+                key, parent = longer(key, w), key
+            yield _state_batch(key, parent, batch.column("c"), words)
 
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The suffix tree of the training texts, and the table (word, c) of all their tokens' counts.
+def _entry_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(entry(_column(batch, "state"), _column(batch, "symbol")).view(np.int64))], ["key"])
+
+
+def _pairs(k: int, seen: tuple[Filter, Filter] | None):
+    """Occurrences of a symbol after the k words before it, where the filters of the shorter contexts allow it."""
+
+    def keys(h: np.ndarray, place: np.ndarray):
+        shorter = state = None
+        for here in contexts(h, place, k):
+            shorter, state = state, here
+        at = np.flatnonzero(place >= k)
+        if seen is not None:
+            at = at[seen[0].has(entry(shorter[at], h[at]))]
+            at = at[seen[1].has(state[at])]
+        return entry(state[at], h[at]), [state[at], h[at]]
+
+    return keys
+
+
+def _kept(n: int, v: int, words: DataFrame, states: list[DataFrame], entries: list[DataFrame], many: int) -> Tree:
+    """Prune the tree, and lay out what scoring adds up."""
+    need = None
+    for k in range(len(states) - 1, -1, -1):
+        s = states[k]
+        ok = s.where("diverges")
+        if need is not None:
+            ok = ok.unionByName(s.join(beside(need), s["key"] == need["parent"], "left_semi")).dropDuplicates(["key"])
+        states[k] = table(ok.drop("diverges"), "kept")
+        entries[k] = table(entries[k].join(beside(states[k].select(F.col("key").alias("state"))), "state", "left_semi"), "kept")
+        need = states[k].select(F.col("parent")).distinct()
+    values = words.select("key", F.lit(0).alias("side"), F.log10(F.col("c") + 1.0).alias("v"), "c")
+    for s, e in zip(states, entries, strict=True):
+        values = values.unionByName(s.select("key", F.lit(1).alias("side"), F.log10("beta").alias("v"), "c"))
+        more = e.select("state", "symbol", F.log10(F.col("p") / F.col("lower") / F.col("beta")).alias("v"), "n").mapInArrow(_entry_values, "key long, side int, v double, c long")
+        values = values.unionByName(more)
+    values = table(values, "values")
+    big = F.col("c") >= max(1.0, HEAVY * n)
+    rest = table(values.where(~big).select("key", "side", "v"), "rest")
+    known = _filter(values.select("key"), values.count())
+    return Tree(n, v, words, states, entries, rest, _heavy(values.where(big & (F.col("side") == 0)), "v"), _heavy(values.where(big & (F.col("side") == 1)), "v"), known, many)
+
+
+def _entry_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = entry(_column(batch, "state"), _column(batch, "symbol"))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.ones(len(key), np.int32)), batch.column("v"), batch.column("n")], ["key", "side", "v", "c"])
 
-    Contexts grow backwards by one word as long as they make up a share of at least CONTEXT of all tokens; a context's
-    counts are taken in one pass for each length.  A context is kept if its next symbols diverge from those of the
-    context without its oldest word (their Kullback-Leibler divergence times its count exceeds what stating its
-    probabilities would cost), or if a longer one that ends in it is kept.  Its distribution is smoothed with that of the shorter
-    context by Witten-Bell weights, at the root with (c + 1) / (N + V + 1).
-    """
-    texts = docs.select(F.col(text_col).alias("text"))
-    counts = texts.mapInArrow(_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    counts = table(counts, "words")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # at most 1 / COMMON words
-    rows = counts.where(F.col("c") >= max(1, COMMON * n)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
-    words, c = rows["word"].to_pylist(), rows["c"].to_numpy().astype(np.float64)
-    width, symbols = int((c >= CONTEXT * n).sum()), int((c >= ENTRY * n).sum())
-    tree = Tree(words, (c + 1) / (n + v + 1), n, v, width)
-    number = tree.numbered()
-    contexts: list[np.ndarray] = []
-    found: list[dict] = []
-    grown = np.arange(width, dtype=np.int64)
-    for _ in range(depth):
-        if not len(grown):
-            break
-        contexts.append(grown)
-        pairs = texts.mapInArrow(_successors(number, contexts, width, symbols), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        pairs = table(pairs, "successors")
-        state = F.expr(f"code div {symbols + 1}")
-        # at most 1 / CONTEXT states and 1 / ENTRY symbols
-        totals = pairs.groupBy(state.alias("s")).agg(F.sum("n").alias("c"), F.count("*").alias("t")).toArrow()
-        entries = pairs.where((F.col("n") >= max(1, ENTRY * n)) & (F.col("code") % (symbols + 1) != symbols)).toArrow().sort_by("code")
-        size, kinds = np.zeros(len(grown)), np.ones(len(grown))
-        size[totals["s"].to_numpy()], kinds[totals["s"].to_numpy()] = totals["c"].to_numpy(), totals["t"].to_numpy()
-        code, times = entries["code"].to_numpy(), entries["n"].to_numpy()
-        s, sym = code // (symbols + 1), code % (symbols + 1)
-        found.append({"size": size, "kinds": kinds, "s": s, "sym": sym, "n": times.astype(float)})
-        grown = _grow(contexts, s, sym, times, CONTEXT * n, width)
-    tree.levels = _prune(tree, contexts, found)
-    return tree, counts
-
-
-def _grow(contexts: list[np.ndarray], s: np.ndarray, sym: np.ndarray, n: np.ndarray, least: float, width: int) -> np.ndarray:
-    """Codes of the contexts one word longer: an older word, then a state's words less none.
-
-    A state of length k followed by a word w, seen often enough, is the context (state, w).  It is a child of the
-    state that holds its k youngest words.
-    """
-    ok = (n >= least) & (sym < width)
-    words = _words(contexts, s[ok], width)
-    chain = np.column_stack([sym[ok][:, None], words]) if len(words) else np.zeros((0, len(contexts) + 1), np.int64)
-    parent = np.zeros(len(chain), dtype=np.int64)
-    for k, codes in enumerate(contexts):
-        parent = np.where(parent >= 0, find(codes, parent * width + chain[:, k]), -1)
-    code = parent * width + chain[:, -1]
-    return np.unique(code[parent >= 0])
-
-
-def _words(contexts: list[np.ndarray], s: np.ndarray, width: int) -> np.ndarray:
-    """The words of states of the greatest length, youngest first."""
-    out = []
-    for codes in contexts[::-1]:
-        code = codes[s]
-        out.append(code % width)
-        s = code // width
-    return np.column_stack(out[::-1]) if out else np.zeros((len(s), 0), np.int64)
-
-
-def _prune(tree: Tree, contexts: list[np.ndarray], found: list[dict]) -> list[Level]:
-    levels, probs, keep = [], [], []
-    for k, (codes, f) in enumerate(zip(contexts, found, strict=True)):
-        size, kinds, s, sym, n = (f[x] for x in ("size", "kinds", "s", "sym", "n"))
-        inside = np.bincount(s, n, minlength=len(codes))
-        # what explicit symbols do not take goes back to the shorter context
-        back = (size - inside + kinds) / np.maximum(size + kinds, 1)
-        share = n / (size + kinds)[s]
-        up = codes // tree.width
-        lower = tree.base[sym].copy()
-        for j in range(k):
-            # the ancestor of length j + 1
-            a = up[s]
-            for above in range(k - 1, j, -1):
-                a = contexts[above][a] // tree.width
-            code = a * len(tree.words) + sym
-            at = find(probs[j][0], code)
-            lower = np.where(at >= 0, probs[j][1][at], 0.0) + levels[j].back[a] * lower
-        p = share + back[s] * lower
-        entry = s * len(tree.words) + sym
-        gain = np.bincount(s, size[s] * p * np.log(p / lower), minlength=len(codes))
-        mass, lmass = np.bincount(s, p, minlength=len(codes)), np.bincount(s, lower, minlength=len(codes))
-        rest, lrest = np.maximum(1 - mass, 1e-12), np.maximum(1 - lmass, 1e-12)
-        gain += size * rest * np.log(rest / lrest)
-        cost = 0.5 * np.log(max(tree.n, 2)) * (1 + np.bincount(s, minlength=len(codes)))
-        keep.append(gain > cost)
-        probs.append((entry, share))
-        levels.append(Level(codes, back, entry, share))
-    for k in range(len(levels) - 1, 0, -1):
-        up = levels[k].codes[keep[k]] // tree.width
-        keep[k - 1][up] = True
-    out = []
-    renumber = None
-    for k, level in enumerate(levels):
-        codes = level.codes
-        if k:
-            codes = renumber[codes // tree.width] * tree.width + codes % tree.width
-        kept = np.flatnonzero(keep[k])
-        order = np.argsort(codes[kept], kind="stable")
-        kept = kept[order]
-        renumber = np.full(len(level.codes), -1, dtype=np.int64)
-        renumber[kept] = np.arange(len(kept))
-        s = level.entries // len(tree.words)
-        ok = renumber[s] >= 0
-        entry = renumber[s[ok]] * len(tree.words) + level.entries[ok] % len(tree.words)
-        order = np.argsort(entry)
-        out.append(Level(codes[kept], level.back[kept], entry[order], level.shares[ok][order]))
-    return out
-
-
-def log_terms(tree: Tree, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """log10 probability of each common token; of any other, what its log10 base probability is to be added to."""
-    common = ids >= 0
-    p = np.where(common, tree.base[np.where(common, ids, 0)] if len(tree.words) else 1.0, 1.0)
-    at = states([x.codes for x in tree.levels], ids, place, tree.width)
-    for level, s in zip(tree.levels, at, strict=True):
-        on = s >= 0
-        q = level.back[s[on]] * p[on]
-        e = find(level.entries, s[on] * len(tree.words) + np.where(common[on], ids[on], -1))
-        if len(level.shares):
-            q = q + np.where((e >= 0) & common[on], level.shares[e], 0.0)
-        p[on] = q
-    return np.log10(p)
-
-
-def _score(tree: Tree):
-    logs = np.log10(tree.base) if len(tree.base) else np.zeros(1)
-
-    def chunk(lists: list[list[bytes]], number: dict[bytes, int]) -> list[list]:
-        size = np.array([len(w) for w in lists])
-        start = np.cumsum(size) - size
-        flat = [w for words in lists for w in words]
-        ids = np.fromiter(map(number.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-        place = np.arange(len(flat)) - np.repeat(start, size)
-        common = ids >= 0
-        out = np.flatnonzero(~common)
-        cut = np.searchsorted(out, np.append(start, len(flat))).tolist()
-        out = out.tolist()
-        rare = [Counter(flat[i] for i in out[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-        return [
-            size.tolist(),
-            np.add.reduceat(common.astype(np.int64), start).tolist(),
-            np.add.reduceat(np.where(common, logs[ids], 0.0), start).tolist(),
-            np.add.reduceat(log_terms(tree, ids, place), start).tolist(),
-            [list(r) for r in rare],
-            [list(r.values()) for r in rare],
-        ]
+
+def _found(tree: Tree):
+    """Per row what the heavy part adds, and the keys that are left for the join, as packs in the rows of side 1."""
+    known, words, heavy, many, depth = tree.known, tree.heavy_words, tree.heavy, tree.buckets, len(tree.states)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = tree.numbered()
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-        for batch in batches:
-            cols: list[list] = [[] for _ in kinds]
-            lists: list[list[bytes]] = []
-            total = 0
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for i, text in enumerate(texts):
-                lists.append(tokens(text))
-                total += len(lists[-1])
-                if total > 300_000 or i + 1 == len(texts):
-                    for to, x in zip(cols, chunk(lists, number), strict=True):
-                        to += x
-                    lists, total = [], 0
+        for rows, h, place, size in _blocks(batches):
+            rid = rows.column("rid").to_numpy()
+            row = np.repeat(np.arange(len(rid)), size)
+            base, model, seen = np.zeros(len(rid)), np.zeros(len(rid)), np.zeros(len(rid), dtype=np.int64)
+            open_keys, open_rows = [], []
+
+            def look(key, of, table, out):
+                ok = known.has(key)
+                key, of = key[ok], of[ok]
+                hit, v = table.find(key)
+                np.add.at(out, of[hit], v)
+                open_keys.append(key[~hit])
+                open_rows.append(of[~hit])
+                return of[hit]
+
+            np.add.at(seen, look(h, row, words, base), 1)
+            model += base
+            for k, state in enumerate(contexts(h, place, depth), 1):
+                at = np.flatnonzero(place >= k)
+                look(state[at], row[at], heavy, model)
+                look(entry(state[at], h[at]), row[at], heavy, model)
+            n = len(rid)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-                ["rid", "doc_id", "n_tokens", "known", "base", "model", "rare", "times"],
+                [rows.column("rid"), rows.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(seen), pa.array(base), pa.array(model), *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary()))],
+                _FOUND,
             )
+            key, of = np.concatenate(open_keys), np.concatenate(open_rows)
+            order = np.lexsort((of, key))
+            key, of = key[order], of[order]
+            if len(key):
+                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])))
+                times = np.diff(np.append(first, len(key)))
+                packs = P.dealt(key[first], [key[first], rid[of[first]], times], many, 1)
+                m = packs.num_rows
+                none = [pa.nulls(m, t) for t in (pa.int64(), rows.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*none, *packs.columns], _FOUND)
 
     return run
 
 
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs: doc_id, n_tokens, n_known, base_score, score, for its whole text.
+_FOUND = ["rid", "doc_id", "n_tokens", "n_known", "base", "model", "bucket", "side", "pack"]
+
+
+def _packed_values(many: int):
+    """The values of the join, in packs of side 0; a word's key carries 1 in its last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _column(batch, "key")
+            order = np.argsort(key)
+            yield P.dealt(key[order], [key[order], batch.column("v").to_numpy()[order], (1 - batch.column("side").to_numpy().astype(np.int64))[order]], many)
+
+    return run
+
+
+def _joined(packs: dict[int, list[bytes]]) -> pa.RecordBatch | None:
+    """What a bucket's values add to the rows that have their keys: (rid, known, base, model)."""
+    if 0 not in packs or 1 not in packs:
+        return None
+    key, v, word = P.columns(packs[0], (np.uint64, np.float64, np.int64))
+    order = np.argsort(key)
+    key, v, word = key[order], v[order], word[order]
+    out = []
+    for raw in packs[1]:
+        k, rid, times = P.unpack(raw, (np.uint64, np.int64, np.int64))
+        at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+        ok = key[at] == k
+        at, rid, times = at[ok], rid[ok], times[ok]
+        if not len(rid):
+            continue
+        ids, of = np.unique(rid, return_inverse=True)
+        add = lambda x: np.bincount(of, x, len(ids))
+        out.append((ids, add(times * word[at]).astype(np.int64), add(times * v[at] * word[at]), add(times * v[at])))
+    if not out:
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rid", "known", "base", "model"])
+
+
+def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, for its whole text.
 
     score sums log10 P(token | longest kept context before it within the text); base_score is that of single words.
-    Words that are not common enough to be in the broadcast tree get their counts by a join.  A null text is empty
-    and consists of its end; with no training text at all every token has probability 1.  Rows are scored one by one.
+    Both are sums over a text's tokens of values by key: log10 (c + 1) of the token; for each kept context before it log10
+    beta; and for each entry log10 (p / (beta * lower)).  So the walk down the tree is a join of keys with values.  Heavy
+    ones are looked up where the text is read; of the others a filter passes those that may have a value.
+
+    A null text is empty and consists of its end; with no training text at all every token has probability 1.  Rows are
+    scored one by one; a null id stays null.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(docs.dtypes)[id_col]
-    part = table(
-        rows.mapInArrow(_score(tree), f"rid long, doc_id {kind}, n_tokens long, known long, base double, model double, rare array<binary>, times array<int>"),
-        "scored",
-    )
-    word = part.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    word = word.join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    tail = word.groupBy("rid").agg(
-        F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(tree.n + tree.v + 1)))).alias("tail"),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"),
-    )
-    out = part.drop("rare", "times").join(tail, "rid", "left")
-    tail0 = F.coalesce("tail", F.lit(0.0))
+    found = table(rows.mapInArrow(_found(tree), f"rid long, doc_id {kind}, n_tokens long, n_known long, base double, model double, bucket int, side int, pack binary"), "found")
+    keys = found.where("pack is not null").select("bucket", "side", "pack")
+    values = tree.values.mapInArrow(_packed_values(tree.buckets), P.SCHEMA)
+    more = P.gathered(values.unionByName(keys), _joined, "rid long, known long, base double, model double")
+    more = more.groupBy("rid").agg(F.sum("known").alias("known"), F.sum("base").alias("more_base"), F.sum("model").alias("more_model"))
+    out = found.where("pack is null").join(beside(more), "rid", "left")
+    none = F.lit(float(np.log10(tree.n + tree.v + 1))) * F.col("n_tokens")
     return out.select(
         "doc_id",
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(tree.n).cast("long").alias("train_tokens"),
-        (F.col("base") + tail0).alias("base_score"),
-        (F.col("model") + tail0).alias("score"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - none).alias("base_score"),
+        (F.col("model") + F.coalesce("more_model", F.lit(0.0)) - none).alias("score"),
     )
 
 
@@ -347,6 +420,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 def op4_lm(spark, sf_dir):
     """All documents, learnt from those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tree, counts = train(docs.where(~held_out()))
-    out = score(docs, tree, counts)
+    out = score(docs, train(docs.where(~held_out())))
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -6,53 +6,128 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm import _bytes as B
 from folioscope.llm._recurrence import remove_recurring
 
 WINDOW = 100
-#: Bytes of a trigger string.
+#: Bytes of an anchor: strings of WINDOW bytes are looked for around byte strings of this length that recur.
 GRAM = 40
+#: Bytes of a trigger, and one in how many byte strings is one.
+TRIGGER, MODULUS = 8, 24
+
+
+def triggers(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where phrases begin: at each text's first byte and wherever the rolling hash of TRIGGER bytes is 0 modulo MODULUS."""
+    h = B.byte_grams(data, TRIGGER)
+    hit = np.zeros(len(data), dtype=bool)
+    hit[: len(h)] = h % np.uint64(MODULUS) == 0
+    room = np.zeros(len(data) + 1, dtype=np.int64)
+    # a trigger lies within one text and leaves more than itself
+    np.add.at(room, begin, 1)
+    np.add.at(room, np.maximum(end - TRIGGER, begin), -1)
+    hit &= np.cumsum(room)[:-1] > 0
+    hit[begin] = True
+    return np.flatnonzero(hit)
+
+
+def ranks(keys: list[np.ndarray]) -> np.ndarray:
+    """Dense ranks of rows by several columns, the first the most significant."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=np.int64)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _doubled(rank: np.ndarray, left: np.ndarray, have: int) -> np.ndarray:
+    """Ranks of suffixes by twice as many symbols; left: how many symbols each suffix has.  A suffix that ends sorts first."""
+    top = int(left.max(initial=0))
+    while have < top:
+        right = np.zeros(len(rank), dtype=np.int64)
+        ok = np.flatnonzero(left > have)
+        right[ok] = rank[ok + have] + 1
+        both = rank * (len(rank) + 1) + right
+        rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
+        have *= 2
+    return rank
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """For each position, the rank of the `depth` bytes from it on among all positions' (equal bytes, equal rank).
-
-    Prefix doubling from eight bytes; depth is 8 times a power of two.  Positions with fewer bytes left are as if
-    zeros followed.
-    """
-    padded = np.concatenate([data, np.zeros(depth, np.uint8)])
+def dictionary_suffixes(data: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Ranks of all suffixes of the dictionary's phrases, each of which ends with its phrase (left: bytes to there)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     n = len(data)
     key = np.zeros(n, dtype=np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n].astype(np.uint64)
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    have = 8
-    while have < depth:
-        right = np.zeros(n, dtype=np.int64)
-        right[: max(0, n - have)] = rank[have:] + 1
-        rank = np.unique((rank << 32) | right, return_inverse=True)[1].astype(np.int64)
-        have *= 2
-    return rank
+    for j in range(7):
+        byte = np.where(left > j, padded[j : j + n].astype(np.uint64) + np.uint64(1), np.uint64(0))
+        key = key * np.uint64(257) + byte
+    return _doubled(np.unique(key, return_inverse=True)[1].astype(np.int64), left, 7)
 
 
-def _suffixes(window: int):
-    half = 8
-    while half * 2 <= window:
-        half *= 2
+def parse_suffixes(parse: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Ranks of all suffixes of the parse, in which each text ends on its own (left: phrases to there)."""
+    return _doubled(parse.astype(np.int64), left, 1)
 
+
+def corpus_order(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts, and the ranks of all their suffixes, from a prefix-free parse.
+
+    Triggers cut the texts into phrases that overlap by the trigger that ends one and begins the next.  The dictionary is
+    the sorted set of distinct phrases, the parse the sequence of their numbers.  Since no phrase holds a trigger but at
+    its ends, the rest of a phrase from a position on, if it is longer than a trigger, begins no other such rest; so the
+    order of two suffixes is that of their phrases' rests in the suffix array of the dictionary and, where these are
+    equal, that of what follows in the suffix array of the parse.
+    """
+    size = np.array([len(c) for c in contexts])
+    end = np.cumsum(size)
+    begin = end - size
+    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    at = triggers(data, begin, end)
+    of = np.searchsorted(begin, at, side="right") - 1
+    final = np.append(of[1:] != of[:-1], True)
+    stop = np.where(final, end[of], np.append(at[1:], 0) + TRIGGER)
+    raw = data.tobytes()
+    phrases = [raw[s:e] for s, e in zip(at.tolist(), stop.tolist(), strict=True)]
+    # the last phrase of a text ends with it: a mark keeps it apart from a phrase that goes on
+    phrases = [p + b"\0" if f else p + b"\1" for p, f in zip(phrases, final.tolist(), strict=True)]
+    words = sorted(set(phrases))
+    number = {p: k for k, p in enumerate(words)}
+    parse = np.array([number[p] for p in phrases])
+    length = np.array([len(p) for p in words])
+    base = np.cumsum(length) - length
+    left = np.repeat(length, length) - (np.arange(length.sum()) - np.repeat(base, length))
+    rest = dictionary_suffixes(np.frombuffer(b"".join(words), dtype=np.uint8), left)
+    last = np.searchsorted(of, of, side="right")
+    after = parse_suffixes(parse, last - np.arange(len(parse)))
+    # of each byte: the phrase it lies in before that phrase's closing trigger, and its place there
+    owner = np.searchsorted(at, np.arange(len(data)), side="right") - 1
+    alpha = rest[base[parse[owner]] + np.arange(len(data)) - at[owner]]
+    following = np.where(final, 0, np.append(after[1:], 0) + 1)[owner]
+    return data, ranks([alpha, following])
+
+
+def _suffixes(window: int):
     def compare(contexts: list[bytes], doc: np.ndarray, pos: np.ndarray) -> list[list[tuple[int, int]]]:
-        """Sort the dictionary's suffixes to `window` bytes; equal neighbours are one string, its first start is kept."""
+        """In corpus order the strings of `window` bytes that are equal are neighbours; the first start is kept."""
+        data, rank = corpus_order(contexts)
         size = np.array([len(c) for c in contexts])
         base = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-        rank = suffix_ranks(data, half)
         count = size - window + 1
         of = np.repeat(np.arange(len(contexts)), count)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         start = base[of] + offset
-        order = np.lexsort((pos[of] + offset, doc[of], rank[start + window - half], rank[start]))
-        a, b = rank[start[order]], rank[start[order] + window - half]
+        order = np.argsort(rank[start], kind="stable")
+        # neighbours with `window` bytes in common, by two rolling hashes
+        s = start[order]
+        same = np.zeros(len(s), dtype=bool)
+        both = [B.byte_grams(data, window, k) for k in (0, 1)]
+        same[1:] = (both[0][s[1:]] == both[0][s[:-1]]) & (both[1][s[1:]] == both[1][s[:-1]])
+        group = np.empty(len(s), dtype=np.int64)
+        group[order] = np.cumsum(~same)
+        order = np.lexsort((pos[of] + offset, doc[of], group))
         later = np.zeros(len(of), dtype=bool)
-        later[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        later[order[1:]] = group[order[1:]] == group[order[:-1]]
         out: list[list[tuple[int, int]]] = [[] for _ in contexts]
         hit = np.flatnonzero(later)
         if len(hit):
@@ -69,13 +144,11 @@ def _suffixes(window: int):
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every byte covered by a string of `window` bytes that also starts earlier (smaller id, or same id before).
 
-    Prefix-free parsing, bounded at the depth that matters here.  Triggers are strings of `gram` bytes whose rolling
-    hash is the least among all in some window; they cut the corpus into overlapping phrases, each of which holds
-    the strings that its trigger anchors.  The *dictionary* is the set of distinct phrases, the *parse* the sequence
-    of phrases of each text.  The parse, ordered by document and place, gives each phrase its first occurrence; all
-    others repeat it wholly.  For first occurrences the dictionary's suffixes, sorted per trigger to `window` bytes
-    by prefix doubling, show which strings also start earlier in another phrase.  Highly repetitive text costs what
-    its distinct phrases cost.
+    Strings that may recur are found around recurring anchors and dealt to shards by them (see ``_recurrence``), so that
+    equal strings meet.  A shard's texts are parsed prefix-free; the suffix arrays of its dictionary and of its parse
+    together give the order of all its suffixes (see `corpus_order`), in which equal strings are neighbours.  Of each the
+    first start in the corpus is kept.  A piece of text that occurs several times is parsed once: all its later
+    occurrences go.  Highly repetitive text costs what its distinct pieces cost.
 
     Returns doc_id, kept (binary), n, n_removed, spans (maximal, of bytes removed).  Strings never cross texts and
     are judged on the input.  A null text is empty; one shorter than the window keeps all; a null id sorts last;

@@ -3,8 +3,9 @@
 import pytest
 
 import corpus_pipeline
+from folioscope.llm import line_dedup
 from tests.llm.helpers import corpus
-from tests.llm.test_operators import brute_hits, brute_lines, exact_classes
+from tests.llm.test_operators import all_earlier, brute_hits, exact_classes
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,9 @@ def small(spark, tmp_path_factory):
     rows = corpus(11, 50)
     good = [(i + 1000, "\n".join(" ".join(t.split()[k : k + 9]) for k in range(0, 30, 9)), "en", "s1", 0) for i, (_, t, *_) in enumerate(rows) if t]
     bad = [(i + 2000, "$$$ %%% &&& *** " * (10 + i), "en", "s2", 0) for i in range(40)]
-    items = [(1, " ".join(rows[20][1].split()[:14])), (2, "never seen words"), (3, None)]
+    leak = " ".join(f"leak{i}" for i in range(14))
+    good.append((1900, "a line of its own that nobody else has\nand here " + leak + " goes on", "en", "s1", 0))
+    items = [(1, leak), (2, "never seen words"), (3, None)]
     docs = spark.createDataFrame(rows + good + bad, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
@@ -23,7 +26,9 @@ def small(spark, tmp_path_factory):
     return str(top), items
 
 
-def test_stages(spark, small):
+def test_stages(spark, small, monkeypatch):
+    # with every document that shares a line as a partner, line dedup is an alignment with all earlier ones
+    monkeypatch.setattr(line_dedup, "RARE", 999)
     sf_dir, items = small
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
@@ -35,17 +40,26 @@ def test_stages(spark, small):
         if name == "quality classifier":
             assert not any(2000 <= d for d in got) and sum(d < 1000 for d in got) > 0.9 * sum(d < 1000 for d, _ in rows)
         elif name == "line dedup":
-            want = brute_lines(rows)
+            want = all_earlier(rows)
             assert got == {d: w if w != (t or "") else t for (d, t), w in ((r, want[r[0]]) for r in rows) if w == (t or "") or w.split()}
         elif name == "minhash near-dedup":
             assert got == {d: t for d, t in rows if exact_classes(rows)[d] == d}
         else:
             hits = brute_hits(rows, items, 10)
-            assert got == {d: t for d, t in rows if not hits[d][1]} and len(got) < len(rows)
+            assert hits[1900][1] and got == {d: t for d, t in rows if not hits[d][1]} and len(got) < len(rows)
         docs = out
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert [r["position"] for r in mixed] == sorted(r["position"] for r in mixed)
-    assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in docs.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {r["doc_id"] for r in mixed} <= set(texts)
+    by_source, target = {}, {}
+    for r in mixed:
+        # a reading has the whole text, or its first words
+        assert r["taken"] == len(r["text"].split()) and texts[r["doc_id"]].startswith(r["text"]) and r["taken"] <= r["size"]
+        assert r["taken"] == r["size"] or r["text"] != texts[r["doc_id"]]
+        by_source[r["source"]] = by_source.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(by_source[s] - target[s]) <= 1 for s in target) and max(r["reading"] for r in mixed) > 0
 
 
 def test_run(spark, small):
@@ -77,4 +91,26 @@ def test_rows_that_share_an_id(spark, tmp_path):
     assert clean.columns == docs.columns and pairs(clean) == sorted(want, key=str)
     mixed = corpus_pipeline.mixed(spark, clean, str(tmp_path))
     assert mixed.columns[-3:] == ["doc_id", "text", "lang"]
+    # one source: every document is read once, as a whole
     assert sorted(pairs(mixed.where("size > 0")), key=str) == sorted((x for x in want if x[1]), key=str)
+
+
+def test_stages_of_nothing_and_of_odd_columns(spark, tmp_path):
+    """Each stage passes an empty table, and a table of nulls with further columns, on."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_no int, taken string"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    nulls = spark.createDataFrame([(None,) * 7] * 2 + [(1, "some words", None, None, None, 3, "x"), (2, "", "en", "s", 0, None, None)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        for docs, n in ((nulls.where("false"), 0), (nulls, 4)):
+            out = stage(spark, docs, str(tmp_path))
+            if name == "mixing":
+                assert out.count() == n // 4
+            elif name == "quality classifier":
+                # without labels the prior is even, and an even score is accepted
+                assert out.columns == docs.columns and out.count() == n
+            elif name == "minhash near-dedup":
+                # of rows that repeat both id and text, one stays
+                assert out.columns == docs.columns and out.count() == max(n - 1, 0)
+            else:
+                assert out.columns == docs.columns and out.count() == n

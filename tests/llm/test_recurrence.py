@@ -5,6 +5,7 @@ import pytest
 
 from folioscope.llm import _bytes as B
 from folioscope.llm import _recurrence, substring_dedup, suffix_dedup
+from tests.conftest import ROOT
 from tests.llm.helpers import DOC, corpus, frame
 
 
@@ -46,9 +47,10 @@ def check(spark, rows, window5=13, window8=100):
         assert len(got[d]["spans"]) == sum(c and (not i or not want[d][i - 1]) for i, c in enumerate(want[d]))
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(_recurrence, "HOT", hot)
+@pytest.mark.parametrize("crowd,piece", [(20_000, 2 << 20), (1, 1 << 10)])
+def test_against_brute_force(spark, monkeypatch, crowd, piece):
+    monkeypatch.setattr(_recurrence, "CROWD", crowd)
+    monkeypatch.setattr(_recurrence, "PIECE", piece)
     check(spark, corpus(3))
 
 
@@ -83,11 +85,38 @@ def test_words_and_grams_do_not_depend_on_blocks():
         assert seen == base
 
 
-def test_suffix_ranks():
-    rng = np.random.default_rng(1)
-    data = rng.integers(97, 99, 300).astype(np.uint8)
-    rank = suffix_dedup.suffix_ranks(data, 64)
-    raw = data.tobytes() + bytes(64)
-    keys = [raw[i : i + 64] for i in range(300)]
-    order = {k: i for i, k in enumerate(sorted(set(keys)))}
-    assert [order[k] for k in keys] == np.unique(rank, return_inverse=True)[1].tolist()
+@pytest.mark.parametrize("letters", [1, 2, 26])
+def test_corpus_order(letters):
+    """Ranks of suffixes from the parse are those of the suffixes themselves."""
+    rng = np.random.default_rng(letters)
+    common = rng.integers(97, 97 + letters, 300).astype(np.uint8).tobytes()
+    texts = [rng.integers(97, 97 + letters, int(rng.integers(1, 90))).astype(np.uint8).tobytes() + common[: int(rng.integers(0, 300))] for _ in range(30)]
+    data, rank = suffix_dedup.corpus_order(texts)
+    assert data.tobytes() == b"".join(texts)
+    suffixes = [t[i:] for t in texts for i in range(len(t))]
+    place = {s: k for k, s in enumerate(sorted(set(suffixes)))}
+    assert rank.tolist() == [place[s] for s in suffixes]
+
+
+def test_periodic_text_stays_small(tmp_path):
+    """20 MB of one letter, and of one short word, pass both first steps within 1 GB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from folioscope.llm import _recurrence as R
+kind, text, window, gram = sys.argv[1], sys.argv[2] * int(sys.argv[3]), int(sys.argv[4]), int(sys.argv[5])
+b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([3]), pa.array([text])], ["d", "t1", "t2", "text"])
+a = set()
+for x in R._survey(kind, window, gram, 2)(iter([b])):
+    a |= set(x.column("anchors").flatten().to_pylist())
+b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text]), pa.array([list(a)])], ["d", "t1", "text", "cand"])
+rows = sum(x.num_rows for x in R._contexts(kind, window, gram, kind == "byte")(iter([b])))
+print(rows, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    for args in (["byte", "a", "20000000", "100", "40"], ["word", "a ", "10000000", "13", "6"], ["word", "buy now ", "2000000", "13", "6"]):
+        got = subprocess.run([sys.executable, "-c", code, *args], capture_output=True, text=True, check=True, cwd=str(ROOT))
+        rows, mb = map(int, got.stdout.split())
+        assert rows < 1000 and mb < 1000

@@ -28,14 +28,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labels, does not reject."""
+    """Documents that the classifier, learnt from the labels, does not reject.
+
+    Rows are judged one by one, by their text alone: repeated rows alike, a null or empty text by the prior.  Without
+    labels of both kinds every row gets the same score.  All columns pass through, whatever they are called.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.accepted(docs, quality.fit(docs, labels))
 
 
 def cut_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that are aligned with an earlier document's; those left without any word go."""
+    """Texts without the lines that are aligned with an earlier document's; those left without any word go.
+
+    A text that loses nothing, null and empty ones too, stays as it is; n_chars follows a text that is cut.  Rows that
+    repeat an id are cut each by itself and are no partners of one another; a null id sorts last.  Other columns pass.
+    """
     ship(spark)
     out = line_dedup.remove_common_lines(docs)
     left = (F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]")
@@ -62,7 +70,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no window of a benchmark item."""
+    """Rows that hold no window of a benchmark item.
+
+    Each row is judged by its own text, whatever its id; a null or empty text, or an empty benchmark, drops nothing.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = _keyed(docs)
     hit = decontamination.decontaminate(keyed, items, id_col="row_no").where("n_hit > 0").select(F.col("doc_id").alias("row_no"))
@@ -70,14 +81,23 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix: what is taken of each document and where its readings stand, range-sorted by the first."""
+    """The training mix as it is read: a row for each reading of a document, range-sorted by position.
+
+    text is what that reading takes, the whole text or, in the last one of a source, its first words; taken counts its
+    words, so that sums over rows are the mix's.  Documents of which nothing is taken, and those without words, have no
+    row.  Rows count one by one, also where they repeat an id; a null source is a source of its own.
+    """
     keyed = _keyed(docs)
-    plan = mixing.mix(keyed, row_col=KEY)
+    plan = mixing.mix(keyed, row_col=KEY).where("taken > 0")
+    plan = plan.select("*", F.posexplode("passes").alias("reading", "at")).drop("passes", "position").withColumnRenamed("at", "position")
+    plan = plan.withColumn("taken", F.least("size", F.col("taken") - F.col("reading") * F.col("size"))).withColumn("no", F.col("row.no"))
     texts = keyed.select(F.col("row_no").alias("no"), "text", "lang")
-    out = plan.where("taken > 0").withColumn("no", F.col("row.no")).join(texts, "no")
-    own = [c for c in plan.columns if c not in ("doc_id", "row")]
-    out = out.select(*own, "doc_id", "text", "lang")
-    return out.orderBy("position", F.asc_nulls_last("doc_id"))
+    out = plan.join(beside(texts), "no")
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    part = F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), "")
+    text = F.when(F.col("taken") < F.col("size"), part).otherwise(F.col("text"))
+    out = out.select("source", "size", "source_size", "target", "taken", "reading", "position", "doc_id", text.alias("text"), "lang")
+    return out.orderBy("position", F.asc_nulls_last("doc_id"), "reading")
 
 
 STAGES = [
@@ -93,8 +113,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir; what a stage keeps is stored until the next one has read it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "_").replace("-", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)

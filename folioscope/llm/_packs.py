@@ -43,9 +43,16 @@ def bucket_of(key: np.ndarray, many: int) -> np.ndarray:
 
 
 def dealt(key: np.ndarray, columns: list[np.ndarray], many: int, side: int = 0) -> pa.RecordBatch:
-    """A row for each bucket that ascending `key` falls into, with its part of the columns."""
-    b = bucket_of(key, many)
+    """A row for each bucket that the hashes `key` fall into, with its part of the columns, by their first one in order.
+
+    Numbers that stand in order pack well, so the first column should be the one that repeats most.
+    """
+    order = np.argsort(columns[0])
+    b = bucket_of(key[order], many)
+    by = np.argsort(b.astype(np.uint16) if many <= 1 << 16 else b, kind="stable")
+    order, b = order[by], b[by]
     cut = np.flatnonzero(np.diff(b, prepend=-1)).tolist() + [len(b)]
+    columns = [c[order] for c in columns]
     parts = [pack([c[lo:hi] for c in columns]) for lo, hi in zip(cut, cut[1:], strict=False)]
     which = b[cut[:-1]].astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.full(len(which), side, np.int32)), pa.array(parts, pa.binary())], ["bucket", "side", "pack"])
@@ -82,8 +89,8 @@ def columns(packs: list[bytes], kinds: tuple) -> list[np.ndarray]:
 
 
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct key first stands, in ascending order of keys, and the sum of n over it."""
-    order = np.argsort(key, kind="stable")
+    """A place of each distinct key, in ascending order of keys, and the sum of n over it."""
+    order = np.argsort(key)
     s = key[order]
     at = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
     return order[at], (np.add.reduceat(n[order], at) if len(at) else n[:0])

@@ -12,21 +12,23 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import _bytes as B
 from folioscope.llm import _packs as P
-from folioscope.llm._common import beside, drop, table
+from folioscope.llm._common import beside, checked, drop, table
 
 #: Words of the longest contexts.
 DEPTH = 3
 #: Occurrences that a context needs to be considered, and that a symbol needs after it to have a probability of its own.
-CONTEXT, ENTRY = 8, 2
+CONTEXT, ENTRY = 8, 3
 #: What is taken off each count and left to the shorter context.
 DISCOUNT = 0.6
 #: What makes up this share of all training tokens is sent to every task: at most 1 / HEAVY words, and as many states and
 #: entries of each length.  All else, which grows with the corpus, meets the tokens by a join.
 HEAVY = 4e-6
-#: Bits of the filter that spares the join tokens of which nothing is known: 2 ** 16 to 2 ** MOST_BITS.
-MOST_BITS = 26
-#: Tokens that a task works on at once.
-TOKENS = 1_000_000
+#: Shares in which rows are scored, one after the other.
+ROUNDS = 3
+#: Bits of a filter that spares a join what it knows nothing of: 2 ** 16 to 2 ** MOST_BITS.
+MOST_BITS = 27
+#: Tokens that a task works on at once when it counts, and when it scores.
+TOKENS, SCORED = 1_000_000, 300_000
 
 _U = np.uint64
 _END = _U(0xE19D5C1C3B5A0D27)
@@ -43,23 +45,43 @@ def entry(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return B.mix((state ^ _NEXT) * _U(0xA0761D6478BD642F) + symbol)
 
 
-def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens of rows of text, each one's place in its row, and each row's number of tokens.
-
-    Tokens are words (runs without ASCII white space, A-Z in lower case), then one end of text.
-    """
+def _token_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of rows of text, and how many each row has."""
     data = B.LOWER[data]
     begin, end, first = B.words(data, at)
-    h = np.insert(B.word_hashes(data, begin, end), first[1:], _END)
-    size = np.diff(first) + 1
-    return h, np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size), size
+    return np.insert(B.word_hashes(data, begin, end), first[1:], _END), np.diff(first) + 1
+
+
+def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs as rows (rid, doc_id, tokens), stored: all later passes read hashes of tokens instead of text.
+
+    Tokens are words (runs without ASCII white space, A-Z in lower case), then one end of text; tokens is the sequence of
+    their 64-bit hashes, eight bytes each.  A null text is empty; a null id stays null; rid numbers the rows.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in B.blocks(batch.column("text")):
+                h, size = _token_hashes(data, at)
+                cut = np.append(0, np.cumsum(size)) * 8
+                packed = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cut.astype(np.int64).tobytes()), pa.py_buffer(h.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), packed.cast(pa.binary())], ["rid", "doc_id", "tokens"])
+
+    return table(rows.mapInArrow(run, f"rid long, doc_id {kind}, tokens binary"), "tokens")
+
 
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows of about `most` tokens: the rows, token hashes, each one's place in its row, each row's size.
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of rows of about TOKENS tokens: the rows, token hashes, places, sizes.  A longer text comes alone."""
+    A longer row comes alone.
+    """
     for batch in batches:
-        for lo, hi, data, at in B.blocks(batch.column("text"), TOKENS * 6):
-            yield batch.slice(lo, hi - lo), *tokens(data, at)
+        for lo, hi, data, at in B.blocks(batch.column("tokens"), most * 8):
+            size = np.diff(at) // 8
+            h = np.frombuffer(data.tobytes(), dtype=np.uint64)
+            yield batch.slice(lo, hi - lo), h, np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size), size
 
 
 def contexts(h: np.ndarray, place: np.ndarray, depth: int) -> Iterator[np.ndarray]:
@@ -79,17 +101,14 @@ class Filter:
         self.words, self.bits = words, bits
 
     def has(self, key: np.ndarray) -> np.ndarray:
-        out = np.ones(len(key), dtype=bool)
-        for place in (key >> _U(64 - self.bits), key & _U((1 << self.bits) - 1)):
-            out &= (self.words[(place >> _U(6)).astype(np.int64)] >> (place & _U(63)) & _U(1)).astype(bool)
-        return out
+        place = key >> _U(64 - self.bits)
+        return (self.words[(place >> _U(6)).astype(np.int64)] >> (place & _U(63)) & _U(1)).astype(bool)
 
 
 def _filter(keys: DataFrame, rows: int) -> Filter:
     """A filter of the column `key`: bits are set by an aggregate, at most 2 ** (MOST_BITS - 6) rows reach the driver."""
-    bits = min(max(16, int(12 * max(rows, 1)).bit_length()), MOST_BITS)
-    two = F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))
-    place = keys.select(F.explode(two).alias("p"))
+    bits = min(max(16, int(16 * max(rows, 1)).bit_length()), MOST_BITS)
+    place = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("p"))
     word = place.groupBy(F.shiftrightunsigned("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
     got = word.toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
@@ -97,40 +116,45 @@ def _filter(keys: DataFrame, rows: int) -> Filter:
     return Filter(out, bits)
 
 
-@dataclass
 class Heavy:
-    """Keys, ascending, with a value each."""
+    """Keys with a value each; a table of where the keys with the same first bits begin makes looking up fast."""
 
-    keys: np.ndarray
-    values: np.ndarray
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = _U(64 - max(4, len(keys).bit_length() + 2))
+        slot = (self.keys >> self.shift).astype(np.int64)
+        self.begin = np.searchsorted(slot, np.arange((1 << int(64 - self.shift)) + 1)).astype(np.int32)
+        self.deepest = int(np.diff(self.begin).max(initial=0))
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the keys are here, and the values of those."""
         if not len(self.keys):
             return np.zeros(len(key), dtype=bool), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        ok = self.keys[at] == key
-        return ok, self.values[at[ok]]
+        at = self.begin[(key >> self.shift).astype(np.int64)].astype(np.int64)
+        found = np.full(len(key), -1)
+        for j in range(self.deepest):
+            here = np.minimum(at + j, len(self.keys) - 1)
+            found = np.where(self.keys[here] == key, here, found)
+        ok = found >= 0
+        return ok, self.values[found[ok]]
 
 
 def _heavy(rows: DataFrame, value: str) -> Heavy:
     got = rows.select("key", value).toArrow()
-    keys = got["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return Heavy(keys[order], got[value].to_numpy().astype(np.float64)[order])
+    return Heavy(got["key"].to_numpy().view(np.uint64), got[value].to_numpy().astype(np.float64))
 
 
 @dataclass
 class Tree:
-    """n, v: training tokens and kinds.  words: (key, c) of all.  states, entries: the kept tree by length, as tables.
+    """n, v: training tokens and kinds.  states, entries: the kept tree by length, as tables.
 
-    states: key, parent, c, beta; entries: state, symbol, n, p, lower.  values: (key, side, v) of all that scoring adds up
-    (see `score`), less what is heavy.
+    states: key, parent, c, beta; entries: state, symbol, n, v.  values: keys and values of all that scoring adds up (see
+    `score`), less what is heavy, in packs.
     """
 
     n: int
     v: int
-    words: DataFrame
     states: list[DataFrame]
     entries: list[DataFrame]
     values: DataFrame
@@ -140,30 +164,31 @@ class Tree:
     buckets: int
 
 
-def _counted(texts: DataFrame, keys, kinds: tuple, many: int, least: int, schema: str) -> DataFrame:
-    """Sums of counts by key of what `keys` finds in a block of tokens: columns of keys with n, of at least `least`.
+def _counted(tokens: DataFrame, keys, hashed, kinds: int, many: int, least: int, schema: str) -> DataFrame:
+    """Counts of what `keys` finds in a block of tokens: `kinds` columns of hashes, and n of at least `least`.
 
-    keys(h, place) gives a hash to add up by and the columns that go with it.
+    keys(h, place) gives the columns; hashed(*columns) is what they are counted and dealt by.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, place, _ in _blocks(batches):
-            key, cols = keys(h, place)
+        for _, h, place, _ in _blocks(batches, TOKENS):
+            cols = keys(h, place)
+            key = hashed(*cols)
             if len(key):
                 at, n = P.summed(key, np.ones(len(key), dtype=np.int64))
-                yield P.dealt(key[at], [key[at], *(c[at] for c in cols), n], many)
+                yield P.dealt(key[at], [*(c[at] for c in cols), n], many)
 
     def meet(packs: dict[int, list[bytes]]) -> pa.RecordBatch:
-        key, *cols, n = P.columns(packs[0], (np.uint64, *kinds, np.int64))
-        at, n = P.summed(key, n)
+        *cols, n = P.columns(packs[0], (*(np.uint64,) * kinds, np.int64))
+        at, n = P.summed(hashed(*cols), n)
         at, n = at[n >= least], n[n >= least]
-        return pa.RecordBatch.from_arrays([pa.array(c[at].view(np.int64)) for c in (key, *cols)] + [pa.array(n)], [f.split()[0] for f in schema.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(c[at].view(np.int64)) for c in cols] + [pa.array(n)], [f.split()[0] for f in schema.split(", ")])
 
-    return P.gathered(texts.mapInArrow(count, P.SCHEMA), meet, schema)
+    return P.gathered(tokens.mapInArrow(count, P.SCHEMA), meet, schema)
 
 
-def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Tree:
-    """The suffix tree of the training texts.
+def train(tokens: DataFrame, depth: int = DEPTH) -> Tree:
+    """The suffix tree of the training texts, given as `tokenize` returns them.
 
     A context of k words is considered if it occurs CONTEXT times; the symbols seen ENTRY times after it have
     probabilities of their own: p = (n - DISCOUNT) / c + beta * lower, where lower is that after the context without its
@@ -172,56 +197,62 @@ def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Tree:
     Kullback-Leibler divergence times its count exceeds what stating its probabilities would cost, half the logarithm of
     N each), or if a longer one that ends in it is kept.  These are absolute counts: the tree grows with the corpus.
     """
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    tokens = tokens.select("tokens")
     # the number of tokens decides how many buckets there are
-    size = texts.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1), F.lit(0))).first()[0]
-    many = P.buckets(size)
-    words = table(_counted(texts, lambda h, place: (h, []), (), many, 1, "key long, c long"), "words")
+    many = P.buckets(tokens.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // 8)
+    words = table(_counted(tokens, lambda h, place: [h], lambda h: h, 1, many, 1, "key long, c long"), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    lower = words.select(F.col("key").alias("symbol"), ((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("lower"))
-    made = words.where(F.col("c") >= CONTEXT).where(F.col("key") != int(_END.view(np.int64)))
+    end = int(_END.view(np.int64))
+    lower = words.where(F.col("c") >= ENTRY).select(F.col("key").alias("symbol"), ((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("lower"))
+    made = words.where((F.col("c") >= CONTEXT) & (F.col("key") != end))
     made = table(made.select("key", "c").mapInArrow(_first_states, _STATES), "states")
     states, entries = [], []
     seen = None
     for k in range(1, depth + 1):
-        pairs = table(_counted(texts, _pairs(k, seen), (np.uint64, np.uint64), many, ENTRY, "key long, state long, symbol long, n long").drop("key"), "pairs")
-        c = made.select(F.col("key").alias("state"), "c", "parent")
-        rows = pairs.join(beside(c), "state")
+        pairs = table(_counted(tokens, _pairs(k, seen), entry, 2, many, ENTRY, "state long, symbol long, n long"), "pairs")
+        taken = pairs.groupBy("state").agg(F.sum(F.col("n") - DISCOUNT).alias("taken"))
+        told = made.join(beside(taken), made["key"] == taken["state"]).drop("state")
+        told = table(told.withColumn("beta", 1 - F.col("taken") / F.col("c")), "states")
+        drop(made)
+        rows = pairs.join(checked(told).select(F.col("key").alias("state"), "parent", "c", "beta"), "state")
         if k > 1:
             # what is seen after a context is seen after each shorter one, too
             up = entries[-1].select(F.col("state").alias("parent"), "symbol", F.col("p").alias("lower"))
             rows = rows.join(beside(up), ["parent", "symbol"])
         else:
             rows = rows.join(beside(lower), "symbol")
-        rows = table(rows.select("state", "symbol", "n", "c", "lower"), "rows")
-        left = rows.groupBy("state").agg((1 - F.sum(F.col("n") - DISCOUNT) / F.first("c")).alias("beta"))
         p = (F.col("n") - DISCOUNT) / F.col("c") + F.col("beta") * F.col("lower")
-        full = table(rows.join(beside(table(left, "left")), "state").select("state", "symbol", "n", "c", "beta", p.alias("p"), "lower"), "entries")
-        cost = F.lit(0.5 * float(np.log(max(n, 2)))) * (1 + F.count("*"))
-        rest, below = F.greatest(1 - F.sum("p"), F.lit(1e-12)), F.greatest(1 - F.sum("lower"), F.lit(1e-12))
-        gain = F.first("c") * (F.sum(F.col("p") * F.log(F.col("p") / F.col("lower"))) + rest * F.log(rest / below))
-        told = full.groupBy("state").agg(F.first("beta").alias("beta"), (gain > cost).alias("diverges"))
-        drop(pairs, rows)
-        states.append(table(made.join(beside(told), made["key"] == told["state"]).drop("state"), "states"))
+        # v: what an entry adds to log10 of the probability, beside log10 beta and that after the shorter context
+        full = table(rows.select("state", "symbol", "n", p.alias("p"), F.log10(p / F.col("lower") / F.col("beta")).alias("v")), "entries")
+        sums = full.groupBy("state").agg(F.sum("p").alias("sp"), F.sum(F.col("p") * F.col("v")).alias("spv"), F.count("*").alias("m"))
+        drop(pairs)
+        met = told.join(beside(sums), told["key"] == sums["state"])
+        rest = F.greatest(1 - F.col("sp"), F.lit(1e-12))
+        below = F.greatest(1 - (F.col("sp") - F.col("taken") / F.col("c")) / F.col("beta"), F.lit(1e-12))
+        gain = F.col("c") * (F.col("spv") * F.lit(float(np.log(10))) + F.col("sp") * F.log("beta") + rest * F.log(rest / below))
+        cost = F.lit(0.5 * float(np.log(max(n, 2)))) * (1 + F.col("m"))
+        states.append(table(met.select(*_STATE, "beta", (gain > cost).alias("diverges")), "states"))
+        drop(told)
         entries.append(full)
         if k < depth:
             # a context and a symbol, seen often enough, are a context one word longer
-            seen = (_filter(full.select("state", "symbol").mapInArrow(_entry_keys, "key long"), full.count()), None)
-            words_of = made.select(F.col("key").alias("state"), *(f"w{i}" for i in range(1, k + 1)))
-            grown = full.where((F.col("n") >= CONTEXT) & (F.col("symbol") != int(_END.view(np.int64)))).select("state", "symbol", F.col("n").alias("c"))
-            grown = grown.join(beside(words_of), "state").mapInArrow(_grown(k), _STATES)
-            made = table(grown.join(beside(states[-1].select(F.col("key").alias("parent"))), "parent", "left_semi").select(made.columns), "states")
-            seen = (seen[0], _filter(made.select("key"), made.count()))
+            often = full.where((F.col("n") >= CONTEXT) & (F.col("symbol") != end)).select("state", "symbol", F.col("n").alias("c"))
+            words_of = states[-1].select(F.col("key").alias("state"), *(f"w{i}" for i in range(1, k + 1)))
+            grown = often.join(beside(words_of), "state").mapInArrow(_grown(k), _STATES)
+            made = table(grown.join(beside(states[-1].select(F.col("key").alias("parent"))), "parent", "left_semi").select(_STATE), "states")
+            after = full.select("state", "symbol").mapInArrow(_entry_keys, "key long")
+            seen = (_filter(after, full.count()), _filter(made.select("key"), made.count()))
     return _kept(n, v, words, states, entries, many)
 
 
-_STATES = "key long, parent long, c long, " + ", ".join(f"w{i} long" for i in range(1, DEPTH + 1))
+_STATE = ["key", "parent", "c", *(f"w{i}" for i in range(1, DEPTH + 1))]
+_STATES = ", ".join(f"{c} long" for c in _STATE)
 
 
 def _state_batch(key, parent, c, words) -> pa.RecordBatch:
     signed = lambda x: pa.array(x.view(np.int64))
     cols = [signed(w) for w in words] + [pa.nulls(len(key), pa.int64())] * (DEPTH - len(words))
-    return pa.RecordBatch.from_arrays([signed(key), signed(parent), c, *cols], ["key", "parent", "c", *(f"w{i}" for i in range(1, DEPTH + 1))])
+    return pa.RecordBatch.from_arrays([signed(key), signed(parent), c, *cols], _STATE)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -265,7 +296,7 @@ def _pairs(k: int, seen: tuple[Filter, Filter] | None):
         if seen is not None:
             at = at[seen[0].has(entry(shorter[at], h[at]))]
             at = at[seen[1].has(state[at])]
-        return entry(state[at], h[at]), [state[at], h[at]]
+        return [state[at], h[at]]
 
     return keys
 
@@ -279,18 +310,21 @@ def _kept(n: int, v: int, words: DataFrame, states: list[DataFrame], entries: li
         if need is not None:
             ok = ok.unionByName(s.join(beside(need), s["key"] == need["parent"], "left_semi")).dropDuplicates(["key"])
         states[k] = table(ok.drop("diverges"), "kept")
-        entries[k] = table(entries[k].join(beside(states[k].select(F.col("key").alias("state"))), "state", "left_semi"), "kept")
+        old, entries[k] = entries[k], table(entries[k].join(checked(table(states[k].select(F.col("key").alias("state")), "keys")), "state", "left_semi").select("state", "symbol", "n", "v"), "kept")
+        drop(old)
         need = states[k].select(F.col("parent")).distinct()
     values = words.select("key", F.lit(0).alias("side"), F.log10(F.col("c") + 1.0).alias("v"), "c")
     for s, e in zip(states, entries, strict=True):
         values = values.unionByName(s.select("key", F.lit(1).alias("side"), F.log10("beta").alias("v"), "c"))
-        more = e.select("state", "symbol", F.log10(F.col("p") / F.col("lower") / F.col("beta")).alias("v"), "n").mapInArrow(_entry_values, "key long, side int, v double, c long")
+        more = e.select("state", "symbol", "v", "n").mapInArrow(_entry_values, "key long, side int, v double, c long")
         values = values.unionByName(more)
-    values = table(values, "values")
-    big = F.col("c") >= max(1.0, HEAVY * n)
-    rest = table(values.where(~big).select("key", "side", "v"), "rest")
+    values = table(values.select("key", "side", "v", (F.col("c") >= max(1.0, HEAVY * n)).alias("big")), "values")
+    big = F.col("big")
     known = _filter(values.select("key"), values.count())
-    return Tree(n, v, words, states, entries, rest, _heavy(values.where(big & (F.col("side") == 0)), "v"), _heavy(values.where(big & (F.col("side") == 1)), "v"), known, many)
+    heavy = [_heavy(values.where(big & (F.col("side") == side)), "v") for side in (0, 1)]
+    packed = table(values.where(~big).select("key", "side", "v").mapInArrow(_packed_values(many), P.SCHEMA), "packed")
+    drop(words, values)
+    return Tree(n, v, states, entries, packed, *heavy, known, many)
 
 
 def _entry_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,115 +334,117 @@ def _entry_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _found(tree: Tree):
-    """Per row what the heavy part adds, and the keys that are left for the join, as packs in the rows of side 1."""
+    """Packs: of side 1 the keys that are left for the join, of side 2 what the heavy part adds to each row."""
     known, words, heavy, many, depth = tree.known, tree.heavy_words, tree.heavy, tree.buckets, len(tree.states)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, h, place, size in _blocks(batches):
+        for rows, h, place, size in _blocks(batches, SCORED):
             rid = rows.column("rid").to_numpy()
             row = np.repeat(np.arange(len(rid)), size)
-            base, model, seen = np.zeros(len(rid)), np.zeros(len(rid)), np.zeros(len(rid), dtype=np.int64)
-            open_keys, open_rows = [], []
 
-            def look(key, of, table, out):
-                ok = known.has(key)
-                key, of = key[ok], of[ok]
+            def look(key, at, table, rid=rid, row=row):
+                """Sums and numbers of values per row of tokens `at`; keys that may be elsewhere go on.  None of those is common."""
                 hit, v = table.find(key)
-                np.add.at(out, of[hit], v)
-                open_keys.append(key[~hit])
-                open_rows.append(of[~hit])
-                return of[hit]
-
-            np.add.at(seen, look(h, row, words, base), 1)
-            model += base
+                here, key, of = row[at[hit]], key[~hit], row[at[~hit]]
+                if len(key):
+                    packs.append(P.dealt(key, [rid[of], key], many, 1))
+                return np.bincount(here, v, len(rid)), np.bincount(here, minlength=len(rid))
+
+            packs: list[pa.RecordBatch] = []
+            at = np.flatnonzero(known.has(h))
+            base, seen = look(h[at], at, words)
+            model = base.copy()
+            # a longer state is kept only with the shorter one, and has entries only of symbols that the shorter one has
+            kept, follows = np.ones(len(h), dtype=bool), np.ones(len(h), dtype=bool)
             for k, state in enumerate(contexts(h, place, depth), 1):
-                at = np.flatnonzero(place >= k)
-                look(state[at], row[at], heavy, model)
-                look(entry(state[at], h[at]), row[at], heavy, model)
-            n = len(rid)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("rid"), rows.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(seen), pa.array(base), pa.array(model), *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary()))],
-                _FOUND,
-            )
-            key, of = np.concatenate(open_keys), np.concatenate(open_rows)
-            order = np.lexsort((of, key))
-            key, of = key[order], of[order]
-            if len(key):
-                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])))
-                times = np.diff(np.append(first, len(key)))
-                packs = P.dealt(key[first], [key[first], rid[of[first]], times], many, 1)
-                m = packs.num_rows
-                none = [pa.nulls(m, t) for t in (pa.int64(), rows.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*none, *packs.columns], _FOUND)
+                at = np.flatnonzero((place >= k) & kept)
+                at = at[known.has(state[at])]
+                kept[:] = False
+                kept[at] = True
+                model += look(state[at], at, heavy)[0]
+                at = at[follows[at]]
+                key = entry(state[at], h[at])
+                ok = known.has(key)
+                at, key = at[ok], key[ok]
+                follows[:] = False
+                follows[at] = True
+                model += look(key, at, heavy)[0]
+            yield from packs
+            yield P.dealt(B.mix(rid.view(np.uint64)), [rid, size.astype(np.int64), seen.astype(np.int64), base, model], many, 2)
 
     return run
 
 
-_FOUND = ["rid", "doc_id", "n_tokens", "n_known", "base", "model", "bucket", "side", "pack"]
-
-
 def _packed_values(many: int):
     """The values of the join, in packs of side 0; a word's key carries 1 in its last column."""
 
+    def deal(held: list[tuple]) -> pa.RecordBatch:
+        key, v, side = (np.concatenate(c) for c in zip(*held, strict=True))
+        return P.dealt(key, [key, v, 1 - side.astype(np.int64)], many)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
-            key = _column(batch, "key")
-            order = np.argsort(key)
-            yield P.dealt(key[order], [key[order], batch.column("v").to_numpy()[order], (1 - batch.column("side").to_numpy().astype(np.int64))[order]], many)
+            held.append((_column(batch, "key"), batch.column("v").to_numpy(), batch.column("side").to_numpy()))
+            rows += batch.num_rows
+            if rows >= TOKENS:
+                yield deal(held)
+                held, rows = [], 0
+        if rows:
+            yield deal(held)
 
     return run
 
 
 def _joined(packs: dict[int, list[bytes]]) -> pa.RecordBatch | None:
-    """What a bucket's values add to the rows that have their keys: (rid, known, base, model)."""
-    if 0 not in packs or 1 not in packs:
-        return None
-    key, v, word = P.columns(packs[0], (np.uint64, np.float64, np.int64))
-    order = np.argsort(key)
-    key, v, word = key[order], v[order], word[order]
+    """What a bucket adds to rows: (rid, size, known, base, model); a row's size comes with its heavy part only."""
     out = []
-    for raw in packs[1]:
-        k, rid, times = P.unpack(raw, (np.uint64, np.int64, np.int64))
-        at = np.minimum(np.searchsorted(key, k), len(key) - 1)
-        ok = key[at] == k
-        at, rid, times = at[ok], rid[ok], times[ok]
-        if not len(rid):
-            continue
-        ids, of = np.unique(rid, return_inverse=True)
-        add = lambda x: np.bincount(of, x, len(ids))
-        out.append((ids, add(times * word[at]).astype(np.int64), add(times * v[at] * word[at]), add(times * v[at])))
+    for raw in packs.get(2, ()):
+        out.append(P.unpack(raw, (np.int64, np.int64, np.int64, np.float64, np.float64)))
+    if 0 in packs and 1 in packs:
+        key, v, word = P.columns(packs[0], (np.uint64, np.float64, np.int64))
+        order = np.argsort(key)
+        key, v, word = key[order], v[order], word[order]
+        for raw in packs[1]:
+            rid, k = P.unpack(raw, (np.int64, np.uint64))
+            at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+            ok = key[at] == k
+            at = at[ok]
+            ids, of = np.unique(rid[ok], return_inverse=True)
+            add = lambda x: np.bincount(of, x, len(ids))
+            out.append([ids, np.zeros(len(ids), np.int64), add(word[at]).astype(np.int64), add(v[at] * word[at]), add(v[at])])
     if not out:
         return None
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rid", "known", "base", "model"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rid", "size", "known", "base", "model"])
 
 
-def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, for its whole text.
+def score(tokens: DataFrame, tree: Tree) -> DataFrame:
+    """Every row of `tokenize`: doc_id, n_tokens, n_known, train_tokens, base_score, score, for its whole text.
 
     score sums log10 P(token | longest kept context before it within the text); base_score is that of single words.
     Both are sums over a text's tokens of values by key: log10 (c + 1) of the token; for each kept context before it log10
     beta; and for each entry log10 (p / (beta * lower)).  So the walk down the tree is a join of keys with values.  Heavy
-    ones are looked up where the text is read; of the others a filter passes those that may have a value.
+    ones are looked up where the tokens are read; of the others a filter passes those that may have a value.  The rows are
+    scored in ROUNDS shares, one after the other, so that the keys of one share only are on disk at a time.
 
-    A null text is empty and consists of its end; with no training text at all every token has probability 1.  Rows are
-    scored one by one; a null id stays null.
+    An empty text consists of its end; with no training text at all every token has probability 1.  Rows are scored one
+    by one, repeated or not.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = dict(docs.dtypes)[id_col]
-    found = table(rows.mapInArrow(_found(tree), f"rid long, doc_id {kind}, n_tokens long, n_known long, base double, model double, bucket int, side int, pack binary"), "found")
-    keys = found.where("pack is not null").select("bucket", "side", "pack")
-    values = tree.values.mapInArrow(_packed_values(tree.buckets), P.SCHEMA)
-    more = P.gathered(values.unionByName(keys), _joined, "rid long, known long, base double, model double")
-    more = more.groupBy("rid").agg(F.sum("known").alias("known"), F.sum("base").alias("more_base"), F.sum("model").alias("more_model"))
-    out = found.where("pack is null").join(beside(more), "rid", "left")
+    sums = None
+    for k in range(ROUNDS):
+        some = tokens.where(F.pmod(F.xxhash64("rid"), F.lit(ROUNDS)) == k).select("rid", "tokens")
+        part = P.gathered(tree.values.unionByName(some.mapInArrow(_found(tree), P.SCHEMA)), _joined, "rid long, size long, known long, base double, model double")
+        part = table(part.groupBy("rid").agg(F.sum("size").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("known", "base", "model"))), "scores")
+        sums = part if sums is None else sums.unionByName(part)
+    out = tokens.select("rid", "doc_id").join(beside(sums), "rid")
     none = F.lit(float(np.log10(tree.n + tree.v + 1))) * F.col("n_tokens")
     return out.select(
         "doc_id",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(tree.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - none).alias("base_score"),
-        (F.col("model") + F.coalesce("more_model", F.lit(0.0)) - none).alias("score"),
+        (F.col("base") - none).alias("base_score"),
+        (F.col("model") - none).alias("score"),
     )
 
 
@@ -420,5 +456,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 def op4_lm(spark, sf_dir):
     """All documents, learnt from those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = score(docs, train(docs.where(~held_out())))
+    tokens = tokenize(docs)
+    out = score(tokens, train(tokens.where(~held_out())))
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

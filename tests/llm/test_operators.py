@@ -244,6 +244,7 @@ def lm_probability(model, before, x):
 def test_lm_against_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(lm_scoring, "HEAVY", heavy)
     monkeypatch.setattr(lm_scoring, "TOKENS", 200)
+    monkeypatch.setattr(lm_scoring, "SCORED", 100)
     rng = random.Random(4)
     after = {w: [f"v{rng.randrange(30)}" for _ in range(2)] for w in [f"v{i}" for i in range(30)]}
     rows = [(0, None), (1, ""), (2, "Odd ODD odd2 \u00c9"), (3, " ".join(["v1 v2"] * 3000))]
@@ -256,14 +257,15 @@ def test_lm_against_brute_force(spark, monkeypatch, heavy):
     data = [(i, t, 5, "x") for i, t in rows] + [(4, "v0 v1", 6, "y"), (None, "v0 v1", 7, None)]
     docs = spark.createDataFrame(data, "doc_id long, text string, rid int, key string").repartition(3)
     train = [t for i, t, *_ in data if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
-    tree = lm_scoring.train(docs.where(~lm_scoring.held_out()))
+    tokens = lm_scoring.tokenize(docs)
+    tree = lm_scoring.train(tokens.where(~lm_scoring.held_out()))
     model = lm_tree(train, lm_scoring.DEPTH, lm_scoring.CONTEXT, lm_scoring.ENTRY, lm_scoring.DISCOUNT)
     c, n, v, kept = model
     assert (tree.n, tree.v) == (n, v)
     assert [s.count() for s in tree.states] == [sum(len(s) == k for s in kept) for k in range(1, lm_scoring.DEPTH + 1)]
     assert [e.count() for e in tree.entries] == [sum(len(b[1]) for s, b in kept.items() if len(s) == k) for k in range(1, lm_scoring.DEPTH + 1)]
     assert any(len(s) == 2 for s in kept) and (tree.values.count() > 0) == (heavy == 0.02)
-    got = sorted(lm_scoring.score(docs, tree).collect(), key=lambda r: (str(r["doc_id"]), r["n_tokens"]))
+    got = sorted(lm_scoring.score(tokens, tree).collect(), key=lambda r: (str(r["doc_id"]), r["n_tokens"]))
     held = base = 0.0
     for r, (i, t, *_) in zip(got, sorted(data, key=lambda x: (str(x[0]), len(lm_words(x[1])))), strict=True):
         w = lm_words(t)
@@ -281,10 +283,11 @@ def test_lm_against_brute_force(spark, monkeypatch, heavy):
 
 def test_lm_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    tree = lm_scoring.train(docs.where("false"))
-    r = {r["doc_id"]: r for r in lm_scoring.score(docs, tree).collect()}
+    tokens = lm_scoring.tokenize(docs)
+    tree = lm_scoring.train(tokens.where("false"))
+    r = {r["doc_id"]: r for r in lm_scoring.score(tokens, tree).collect()}
     assert r[1]["n_known"] == 0 and r[1]["score"] == r[1]["base_score"] == 0.0 and r[2]["n_tokens"] == 1
-    assert lm_scoring.score(docs.where("false"), lm_scoring.train(docs)).count() == 0
+    assert lm_scoring.score(tokens.where("false"), lm_scoring.train(tokens)).count() == 0
 
 
 # decontamination

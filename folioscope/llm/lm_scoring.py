@@ -396,26 +396,45 @@ def _packed_values(many: int):
     return run
 
 
-def _joined(packs: dict[int, list[bytes]]) -> pa.RecordBatch | None:
-    """What a bucket adds to rows: (rid, size, known, base, model); a row's size comes with its heavy part only."""
-    out = []
-    for raw in packs.get(2, ()):
-        out.append(P.unpack(raw, (np.int64, np.int64, np.int64, np.float64, np.float64)))
-    if 0 in packs and 1 in packs:
-        key, v, word = P.columns(packs[0], (np.uint64, np.float64, np.int64))
-        order = np.argsort(key)
-        key, v, word = key[order], v[order], word[order]
-        for raw in packs[1]:
-            rid, k = P.unpack(raw, (np.int64, np.uint64))
-            at = np.minimum(np.searchsorted(key, k), len(key) - 1)
-            ok = key[at] == k
-            at = at[ok]
-            ids, of = np.unique(rid[ok], return_inverse=True)
-            add = lambda x: np.bincount(of, x, len(ids))
-            out.append([ids, np.zeros(len(ids), np.int64), add(word[at]).astype(np.int64), add(v[at] * word[at]), add(v[at])])
-    if not out:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rid", "size", "known", "base", "model"])
+_SUMS = (np.int64, np.int64, np.int64, np.float64, np.float64)
+
+
+def _joined(many: int):
+    def meet(packs: dict[int, list[bytes]]) -> pa.RecordBatch | None:
+        """What a bucket adds to rows, in packs dealt by row: rid, size, known, base, model.
+
+        A row's size comes with its heavy part only.
+        """
+        out = [P.unpack(raw, _SUMS) for raw in packs.get(2, ())]
+        if 0 in packs and 1 in packs:
+            key, v, word = P.columns(packs[0], (np.uint64, np.float64, np.int64))
+            order = np.argsort(key)
+            key, v, word = key[order], v[order], word[order]
+            for raw in packs[1]:
+                rid, k = P.unpack(raw, (np.int64, np.uint64))
+                at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+                ok = key[at] == k
+                at, rid = at[ok], rid[ok]
+                if not len(rid):
+                    continue
+                # a pack's rows are in order
+                first = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
+                add = lambda x: np.add.reduceat(x, first)
+                out.append([rid[first], np.zeros(len(first), np.int64), add(word[at]), add(v[at] * word[at]), add(v[at])])
+        if not out:
+            return None
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return P.dealt(B.mix(cols[0].view(np.uint64)), cols, many)
+
+    return meet
+
+
+def _summed_rows(packs: dict[int, list[bytes]]) -> pa.RecordBatch:
+    """(rid, n_tokens, known, base, model) of the rows of a bucket."""
+    rid, *cols = P.columns(packs[0], _SUMS)
+    ids, of = np.unique(rid, return_inverse=True)
+    size, known, base, model = (np.bincount(of, c, len(ids)) for c in cols)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, size.astype(np.int64), known.astype(np.int64), base, model)], ["rid", "n_tokens", "known", "base", "model"])
 
 
 def score(tokens: DataFrame, tree: Tree) -> DataFrame:
@@ -433,8 +452,8 @@ def score(tokens: DataFrame, tree: Tree) -> DataFrame:
     sums = None
     for k in range(ROUNDS):
         some = tokens.where(F.pmod(F.xxhash64("rid"), F.lit(ROUNDS)) == k).select("rid", "tokens")
-        part = P.gathered(tree.values.unionByName(some.mapInArrow(_found(tree), P.SCHEMA)), _joined, "rid long, size long, known long, base double, model double")
-        part = table(part.groupBy("rid").agg(F.sum("size").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("known", "base", "model"))), "scores")
+        part = P.gathered(tree.values.unionByName(some.mapInArrow(_found(tree), P.SCHEMA)), _joined(tree.buckets), P.SCHEMA)
+        part = table(P.gathered(part, _summed_rows, "rid long, n_tokens long, known long, base double, model double"), "scores")
         sums = part if sums is None else sums.unionByName(part)
     out = tokens.select("rid", "doc_id").join(beside(sums), "rid")
     none = F.lit(float(np.log10(tree.n + tree.v + 1))) * F.col("n_tokens")

@@ -30,20 +30,9 @@ def triggers(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return np.flatnonzero(hit)
 
 
-def ranks(keys: list[np.ndarray]) -> np.ndarray:
-    """Dense ranks of rows by several columns, the first the most significant."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=np.int64)
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.cumsum(new)
-    return out
-
-
-def _doubled(rank: np.ndarray, left: np.ndarray, have: int) -> np.ndarray:
-    """Ranks of suffixes by twice as many symbols; left: how many symbols each suffix has.  A suffix that ends sorts first."""
-    top = int(left.max(initial=0))
+def _doubled(rank: np.ndarray, left: np.ndarray, have: int, depth: int) -> np.ndarray:
+    """Ranks of suffixes by `depth` symbols at least; left: how many symbols each suffix has.  A suffix that ends sorts first."""
+    top = min(int(left.max(initial=0)), depth)
     while have < top:
         right = np.zeros(len(rank), dtype=np.int64)
         ok = np.flatnonzero(left > have)
@@ -54,24 +43,24 @@ def _doubled(rank: np.ndarray, left: np.ndarray, have: int) -> np.ndarray:
     return rank
 
 
-def dictionary_suffixes(data: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Ranks of all suffixes of the dictionary's phrases, each of which ends with its phrase (left: bytes to there)."""
+def dictionary_suffixes(data: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of all suffixes of the dictionary's phrases by `depth` bytes, each of which ends with its phrase (left: bytes to there)."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     n = len(data)
     key = np.zeros(n, dtype=np.uint64)
     for j in range(7):
         byte = np.where(left > j, padded[j : j + n].astype(np.uint64) + np.uint64(1), np.uint64(0))
         key = key * np.uint64(257) + byte
-    return _doubled(np.unique(key, return_inverse=True)[1].astype(np.int64), left, 7)
+    return _doubled(np.unique(key, return_inverse=True)[1].astype(np.int64), left, 7, depth)
 
 
 def parse_suffixes(parse: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Ranks of all suffixes of the parse, in which each text ends on its own (left: phrases to there)."""
-    return _doubled(parse.astype(np.int64), left, 1)
+    return _doubled(parse.astype(np.int64), left, 1, len(parse))
 
 
-def corpus_order(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of the texts, and the ranks of all their suffixes, from a prefix-free parse.
+def corpus_order(contexts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts, and numbers that order all their suffixes by `depth` bytes at least, from a prefix-free parse.
 
     Triggers cut the texts into phrases that overlap by the trigger that ends one and begins the next.  The dictionary is
     the sorted set of distinct phrases, the parse the sequence of their numbers.  Since no phrase holds a trigger but at
@@ -97,37 +86,37 @@ def corpus_order(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     length = np.array([len(p) for p in words])
     base = np.cumsum(length) - length
     left = np.repeat(length, length) - (np.arange(length.sum()) - np.repeat(base, length))
-    rest = dictionary_suffixes(np.frombuffer(b"".join(words), dtype=np.uint8), left)
+    rest = dictionary_suffixes(np.frombuffer(b"".join(words), dtype=np.uint8), left, depth)
     last = np.searchsorted(of, of, side="right")
     after = parse_suffixes(parse, last - np.arange(len(parse)))
     # of each byte: the phrase it lies in before that phrase's closing trigger, and its place there
     owner = np.searchsorted(at, np.arange(len(data)), side="right") - 1
     alpha = rest[base[parse[owner]] + np.arange(len(data)) - at[owner]]
     following = np.where(final, 0, np.append(after[1:], 0) + 1)[owner]
-    return data, ranks([alpha, following])
+    return data, alpha * (len(parse) + 2) + following
 
 
 def _suffixes(window: int):
     def compare(contexts: list[bytes], doc: np.ndarray, pos: np.ndarray) -> list[list[tuple[int, int]]]:
         """In corpus order the strings of `window` bytes that are equal are neighbours; the first start is kept."""
-        data, rank = corpus_order(contexts)
+        data, number = corpus_order(contexts, window)
         size = np.array([len(c) for c in contexts])
         base = np.cumsum(size) - size
         count = size - window + 1
         of = np.repeat(np.arange(len(contexts)), count)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         start = base[of] + offset
-        order = np.argsort(rank[start], kind="stable")
+        order = np.argsort(number[start])
         # neighbours with `window` bytes in common, by two rolling hashes
         s = start[order]
-        same = np.zeros(len(s), dtype=bool)
+        same = np.zeros(len(s) + 1, dtype=bool)
         both = [B.byte_grams(data, window, k) for k in (0, 1)]
-        same[1:] = (both[0][s[1:]] == both[0][s[:-1]]) & (both[1][s[1:]] == both[1][s[:-1]])
-        group = np.empty(len(s), dtype=np.int64)
-        group[order] = np.cumsum(~same)
-        order = np.lexsort((pos[of] + offset, doc[of], group))
+        same[1:-1] = (both[0][s[1:]] == both[0][s[:-1]]) & (both[1][s[1:]] == both[1][s[:-1]])
+        several = same[:-1] | same[1:]
+        group, at = np.cumsum(~same[:-1])[several], order[several]
+        by = np.lexsort((pos[of[at]] + offset[at], doc[of[at]], group))
         later = np.zeros(len(of), dtype=bool)
-        later[order[1:]] = group[order[1:]] == group[order[:-1]]
+        later[at[by[1:]]] = group[by[1:]] == group[by[:-1]]
         out: list[list[tuple[int, int]]] = [[] for _ in contexts]
         hit = np.flatnonzero(later)
         if len(hit):

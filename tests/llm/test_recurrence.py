@@ -91,11 +91,15 @@ def test_corpus_order(letters):
     rng = np.random.default_rng(letters)
     common = rng.integers(97, 97 + letters, 300).astype(np.uint8).tobytes()
     texts = [rng.integers(97, 97 + letters, int(rng.integers(1, 90))).astype(np.uint8).tobytes() + common[: int(rng.integers(0, 300))] for _ in range(30)]
-    data, rank = suffix_dedup.corpus_order(texts)
+    data, number = suffix_dedup.corpus_order(texts, 10_000)
     assert data.tobytes() == b"".join(texts)
     suffixes = [t[i:] for t in texts for i in range(len(t))]
     place = {s: k for k, s in enumerate(sorted(set(suffixes)))}
-    assert rank.tolist() == [place[s] for s in suffixes]
+    assert np.unique(number, return_inverse=True)[1].tolist() == [place[s] for s in suffixes]
+    # to a lesser depth, strings of that depth still stand together and in order
+    number = suffix_dedup.corpus_order(texts, 50)[1]
+    heads = [s[:50] for _, s in sorted(zip(number.tolist(), suffixes, strict=True))]
+    assert heads == sorted(heads)
 
 
 def test_periodic_text_stays_small(tmp_path):

@@ -92,9 +92,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(float(a), 0.0), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_pieces: int = PIECES) -> Model:
     """Fit on at most `sample` labelled documents of each class, the first by a hash of their id.
 
+    Half of them make that class's dictionary, from at most `most_pieces` pieces of PIECE bytes, the first by a hash of
+    document and place; the other half, whole, make the calibration.
+
     `labels` holds the rows to learn from and no others.  Their class shares, over all of them, are the calibration's
     prior.  Null ids or labels, labels other than 0 and 1, and labels without a document teach nothing; without any
     document of a class the score is that class share's.
@@ -114,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     half = half.withColumn("o", F.xxhash64("h", "k"))
     made = {}
     for y in (0, 1):
-        made[y] = _train([bytes(r["piece"]) for r in half.where(F.col("y") == y).orderBy("o", "piece").limit(PIECES).select("piece").collect()])
+        made[y] = _train([bytes(r["piece"]) for r in half.where(F.col("y") == y).orderBy("o", "piece").limit(most_pieces).select("piece").collect()])
     first = Model(made[1], made[0], 1.0, 0.0)
     rest = rows.where("h % 2 <> 0").select("y", "text").mapInArrow(_differences(first, ["y"]), "y int, difference double")
     seen = sorted((r["difference"], r["y"]) for r in rest.collect())  # two numbers for each calibration document

@@ -30,16 +30,42 @@ def triggers(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return np.flatnonzero(hit)
 
 
-def _doubled(rank: np.ndarray, left: np.ndarray, have: int, depth: int) -> np.ndarray:
-    """Ranks of suffixes by `depth` symbols at least; left: how many symbols each suffix has.  A suffix that ends sorts first."""
-    top = min(int(left.max(initial=0)), depth)
-    while have < top:
-        right = np.zeros(len(rank), dtype=np.int64)
-        ok = np.flatnonzero(left > have)
-        right[ok] = rank[ok + have] + 1
-        both = rank * (len(rank) + 1) + right
-        rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
+def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys; in that order, where each one's run of equal keys begins; and whether it is alone in it."""
+    order = np.argsort(key)
+    s = key[order]
+    new = np.ones(len(s) + 1, dtype=bool)
+    new[1:-1] = s[1:] != s[:-1]
+    at = np.flatnonzero(new)
+    size = np.diff(at)
+    return order, np.repeat(at[:-1], size), np.repeat(size == 1, size)
+
+
+def _doubled(key: np.ndarray, left: np.ndarray, have: int, depth: int) -> np.ndarray:
+    """Ranks of suffixes by `depth` symbols at least, from keys that order them by `have`; left: how many symbols each has.
+
+    A suffix that ends sorts first.  A rank is the number of smaller suffixes, so that a run of equal ones is refined
+    within its own ranks: each round sorts only those that are not alone and go on, by what stands `have` symbols further.
+    """
+    n = len(key)
+    order, begin, alone = _places(key)
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = begin
+    # where one of a run has ended before `have`, all have, and are equal
+    open_ = order[~alone]
+    open_ = open_[left[open_] >= have]
+    while have < depth and len(open_):
+        goes = left[open_] > have
+        right = np.zeros(len(open_), dtype=np.int64)
+        right[goes] = rank[open_[goes] + have] + 1
+        old = rank[open_]
+        order, begin, alone = _places(old * (n + 1) + right)
+        old, at = old[order], open_[order]
+        whole = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
+        rank[at] = old + begin - np.repeat(whole, np.diff(np.append(whole, len(old))))
         have *= 2
+        at = at[~alone]
+        open_ = at[left[at] >= have]
     return rank
 
 
@@ -51,12 +77,12 @@ def dictionary_suffixes(data: np.ndarray, left: np.ndarray, depth: int) -> np.nd
     for j in range(7):
         byte = np.where(left > j, padded[j : j + n].astype(np.uint64) + np.uint64(1), np.uint64(0))
         key = key * np.uint64(257) + byte
-    return _doubled(np.unique(key, return_inverse=True)[1].astype(np.int64), left, 7, depth)
+    return _doubled(key, left, 7, depth)
 
 
 def parse_suffixes(parse: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Ranks of all suffixes of the parse, in which each text ends on its own (left: phrases to there)."""
-    return _doubled(parse.astype(np.int64), left, 1, len(parse))
+    return _doubled(parse, left, 1, len(parse))
 
 
 def corpus_order(contexts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:

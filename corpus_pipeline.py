@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontamination, line_dedup, mixing, near_dedup, quality
-from folioscope.llm._common import beside, table, text_hash
+from folioscope.llm._common import beside, drop, only, table, text_hash
 from folioscope.ship import ship
 
 
@@ -60,13 +60,16 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each group of near duplicates, that with the smallest id (null last), then the least key; of rows
     that repeat both id and text, one."""
     keyed = _keyed(docs)
-    found = near_dedup.near_duplicates(keyed, id_col="row_no").select(F.col("doc_id").alias("row_no"), "class_id")
-    rows = keyed.select("row_no", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY).alias("x")).join(beside(found), "row_no")
-    best = rows.groupBy("class_id").agg(F.min("x").alias("x"))
-    # texts without words are in no group
-    best = best.groupBy("x.doc_id", f"x.{KEY}.t1", f"x.{KEY}.t2").agg(F.min(f"x.{KEY}").alias(KEY))
-    kept = table(best.select(F.col(f"{KEY}.no").alias("row_no")), "kept")
-    return keyed.join(beside(kept), "row_no", "left_semi").select(docs.columns)
+
+    def best() -> DataFrame:
+        found = near_dedup.near_duplicates(keyed, id_col="row_no").select(F.col("doc_id").alias("row_no"), "class_id")
+        rows = keyed.select("row_no", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY).alias("x")).join(beside(found), "row_no")
+        best = rows.groupBy("class_id").agg(F.min("x").alias("x"))
+        # texts without words are in no group
+        best = best.groupBy("x.doc_id", f"x.{KEY}.t1", f"x.{KEY}.t2").agg(F.min(f"x.{KEY}").alias(KEY))
+        return best.select(F.col(f"{KEY}.no").alias("row_no"))
+
+    return keyed.join(beside(only(best, "kept")), "row_no", "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,9 +78,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Each row is judged by its own text, whatever its id; a null or empty text, or an empty benchmark, drops nothing.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = _keyed(docs)
-    hit = decontamination.decontaminate(keyed, items, id_col="row_no").where("n_hit > 0").select(F.col("doc_id").alias("row_no"))
-    return keyed.join(beside(table(hit, "hit")), "row_no", "left_anti").select(docs.columns)
+    # rows of equal texts are judged alike, so a text's 128 bits are key enough
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "text", F.struct(*text_hash(F.col("text"))).alias("key"))
+
+    def hit() -> DataFrame:
+        found = decontamination.decontaminate(keyed.select("key", "text"), items, id_col="key").where("n_hit > 0")
+        return found.select("doc_id.t1", "doc_id.t2").distinct()
+
+    return keyed.select("row", "key.t1", "key.t2").join(beside(only(hit, "hit")), ["t1", "t2"], "left_anti").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -115,6 +123,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; what a stage keeps is stored until the next one has read it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "_").replace("-", "_"))
+        docs = only(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "_").replace("-", "_"))
+        if last is not None:
+            drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

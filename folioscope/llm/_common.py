@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.scratch import checked, drop, table  # noqa: F401  also for the operators
+from folioscope.scratch import checked, drop, only, table  # noqa: F401  also for the operators
 
 #: The id that stands for a null one inside the operators: it sorts after all others.
 NO_ID = (1 << 63) - 1

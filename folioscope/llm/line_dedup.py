@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import NO_ID, beside, checked, table, text_hash
+from folioscope.llm._common import NO_ID, beside, checked, only, table, text_hash
 
 #: Up to this many different documents with a shared line, all are aligned with one another.
 RARE = 10
@@ -192,6 +192,21 @@ def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
     keyed = keyed.select("row", "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), text_hash(F.col("text"))[0], "text")
+    gone = only(lambda: _removed(keyed, min_words), "gone")
+    out = keyed.join(beside(gone), ["d", "t1"], "left")
+    cut = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return out.select(
+        "row",
+        "doc_id",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(cut).alias("kept"),
+        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),
+    )
+
+
+def _removed(keyed: DataFrame, min_words: int) -> DataFrame:
+    """(d, t1, gone) of the rows (d, t1, text) that lose lines: their numbers."""
     lines = table(
         keyed.select("d", "t1", "text").mapInArrow(_lines, "d long, t1 long, k int, no int, h1 long, h2 long, words int"), "lines"
     )
@@ -225,17 +240,7 @@ def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     hits = table(hits.groupBy("q", "copy").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("at")), "hits")
     gone = held.select("d", "t1", "nos", "q").join(beside(seqs.select("q", "f")), "q").withColumn("copy", F.col("d") > F.col("f"))
     gone = gone.join(beside(hits), ["q", "copy"])
-    gone = table(gone.select("d", "t1", F.array_sort(F.transform("at", lambda i: F.get("nos", i))).alias("gone")), "gone")
-    out = keyed.join(beside(gone), ["d", "t1"], "left")
-    cut = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return out.select(
-        "row",
-        "doc_id",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(cut).alias("kept"),
-        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),
-    )
+    return gone.select("d", "t1", F.array_sort(F.transform("at", lambda i: F.get("nos", i))).alias("gone"))
 
 
 def op10_lines(spark, sf_dir):

@@ -1,8 +1,11 @@
 """The pipeline's stages, each against its own operator's definition on a small fixture."""
 
+from pathlib import Path
+
 import pytest
 
 import corpus_pipeline
+from folioscope import scratch
 from folioscope.llm import line_dedup
 from tests.llm.helpers import corpus
 from tests.llm.test_operators import all_earlier, brute_hits, exact_classes
@@ -114,3 +117,33 @@ def test_stages_of_nothing_and_of_odd_columns(spark, tmp_path):
                 assert out.columns == docs.columns and out.count() == max(n - 1, 0)
             else:
                 assert out.columns == docs.columns and out.count() == n
+
+
+def test_what_stages_leave_on_disk(spark, small):
+    """A stage leaves the tables that its result is read from; the pipeline those of the mix and what the mix reads."""
+    sf_dir, _ = small
+    top = Path(scratch.scratch_dir(spark).removeprefix("file://")) / "folioscope"
+    tables = lambda: {p.name for p in top.glob("*")}
+    names = lambda new: sorted(p.rsplit("-", 1)[0] for p in new)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    left = [["gone"], ["kept", "keyed"], ["hit"]]
+    for (_, stage), want in zip(corpus_pipeline.STAGES[1:4], left, strict=True):
+        before = tables()
+        out = stage(spark, docs, sf_dir)
+        assert names(tables() - before) == sorted(want) and 0 < out.count() <= docs.count()
+    before = tables()
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert names(tables() - before) == ["benchmark_decontamination", "bins", "keyed", "sizes", "sources"] and out.count() > 20
+
+
+def test_only_deletes_what_was_made_inside(spark):
+    outside = scratch.table(spark.range(3), "outside")
+    inner = []
+
+    def make(deep):
+        inner.append(scratch.only(lambda: make(deep - 1), "deep") if deep else scratch.table(spark.range(5), "inner"))
+        return inner[-1].join(outside, "id")
+
+    out = scratch.only(lambda: make(1), "out")
+    there = lambda df: Path(df._folioscope_path.removeprefix("file://")).exists()
+    assert out.count() == 3 and there(out) and there(outside) and not any(map(there, inner))

@@ -6,12 +6,15 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from itertools import takewhile
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope import scratch
 from folioscope.llm import (
+    _packs,
     chat,
     decontamination,
     embedding_dedup,
@@ -290,6 +293,33 @@ def test_lm_of_nothing(spark):
     assert lm_scoring.score(tokens.where("false"), lm_scoring.train(tokens)).count() == 0
 
 
+def test_lm_leaves_what_scoring_reads(spark, sf_dir):
+    """Of the tables of the training only the packed values stay; with the tokens and the scores they make the result."""
+    top = Path(scratch.scratch_dir(spark).removeprefix("file://")) / "folioscope"
+    before = set(top.glob("*"))
+    out = lm_scoring.op4_lm(spark, sf_dir)
+    left = sorted(p.name.rsplit("-", 1)[0] for p in set(top.glob("*")) - before)
+    assert left == ["packed", *["scores"] * lm_scoring.ROUNDS, "tokens"]
+    assert out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_packs():
+    """Packs give back what went in, extremes included; ascending numbers take few bytes."""
+    rng = np.random.default_rng(3)
+    key = rng.integers(0, 1 << 64, 4000, dtype=np.uint64, endpoint=False)
+    rid = np.sort(rng.integers(0, 3000, 4000)) + (5 << 33)
+    raw = _packs.pack([rid, key])
+    got = _packs.unpack(raw, (np.int64, np.uint64))
+    assert (got[0] == rid).all() and (got[1] == key).all() and [g.dtype for g in got] == [np.int64, np.uint64]
+    # eight bytes of each key, which are random, and less than one of a row's number
+    assert len(raw) < 9 * len(key)
+    far = np.array([-(1 << 63), -1, 0, 1, (1 << 63) - 1])
+    some = np.array([0, 1, (1 << 64) - 1, (1 << 64) - 1, 5], dtype=np.uint64)
+    for first, kind in ((far, np.int64), (some, np.uint64)):
+        x, y = _packs.unpack(_packs.pack([first, np.arange(5) / 3]), (kind, np.float64))
+        assert (x == first).all() and (y == np.arange(5) / 3).all()
+
+
 # decontamination
 
 
@@ -612,3 +642,10 @@ def test_short_keys_meet():
         if near_dedup.aligned(a, b) > 0:
             assert set(near_dedup.short_keys(a)) & set(near_dedup.short_keys(b))
     assert not len(near_dedup.short_keys(np.arange(near_dedup.SHORT + 1, dtype=np.uint64)))
+
+
+def test_packs_come_together_in_order():
+    packs = [bytes([i]) * (i % 5) for i in range(40)]
+    runs = list(lm_scoring._together(packs, 7))
+    assert [p for run in runs for p in run] == packs and all(sum(map(len, run)) >= 7 for run in runs[:-1])
+    assert max(sum(map(len, run)) for run in runs) < 7 + 4 and list(lm_scoring._together([])) == []

@@ -30,6 +30,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """What `mix` made these values of."""
+    back = _U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+    h = (h ^ (h >> _U(32))) * back
+    h = (h ^ (h >> _U(32))) * back
+    return h ^ (h >> _U(32))
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and where each row begins (one more at the end); null is empty."""
     if col.null_count:

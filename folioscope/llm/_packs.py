@@ -29,19 +29,29 @@ def buckets(numbers: int) -> int:
 def pack(columns: list[np.ndarray]) -> bytes:
     """Columns of eight-byte numbers, of one length, as bytes.
 
-    The first one is kept as differences, by bytes of equal weight: in order, most of these are 0.
+    The first one is kept as differences, by bytes of equal weight: in order, most of these are 0.  So are later ones of
+    signed numbers, as they are: counts and numbers of rows, few of whose bytes differ.
     """
     first = np.ascontiguousarray(columns[0]).view(np.uint64)
-    steps = np.diff(first, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    return _PACK.compress(b"".join([steps.tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns[1:])]))
+    rest = (_weights(c) if c.dtype == np.int64 else np.ascontiguousarray(c).tobytes() for c in columns[1:])
+    return _PACK.compress(b"".join([_weights(np.diff(first, prepend=np.uint64(0))), *rest]))
+
+
+def _weights(numbers: np.ndarray) -> bytes:
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: bytes, n: int, kind: type, i: int) -> np.ndarray:
+    weights = np.frombuffer(data, dtype=np.uint8, count=8 * n, offset=8 * n * i).reshape(8, n).T
+    return np.ascontiguousarray(weights).view(kind)[:, 0]
 
 
 def unpack(raw: bytes, kinds: tuple) -> list[np.ndarray]:
     data = _UNPACK.decompress(raw)
     n = len(data) // (8 * len(kinds))
-    steps = np.frombuffer(data, dtype=np.uint8, count=8 * n).reshape(8, n).T
-    first = np.cumsum(np.ascontiguousarray(steps).view(np.uint64)[:, 0], dtype=np.uint64).view(kinds[0])
-    return [first, *(np.frombuffer(data, dtype=k, count=n, offset=8 * n * i) for i, k in enumerate(kinds[1:], 1))]
+    first = np.cumsum(_numbers(data, n, np.uint64, 0), dtype=np.uint64).view(kinds[0])
+    rest = (_numbers(data, n, k, i) if k is np.int64 else np.frombuffer(data, dtype=k, count=n, offset=8 * n * i) for i, k in enumerate(kinds[1:], 1))
+    return [first, *rest]
 
 
 def bucket_of(key: np.ndarray, many: int) -> np.ndarray:
@@ -58,8 +68,20 @@ def dealt(key: np.ndarray, columns: list[np.ndarray], many: int, side: int = 0)
     b = bucket_of(key[order], many)
     by = np.argsort(b.astype(np.uint16) if many <= 1 << 16 else b, kind="stable")
     order, b = order[by], b[by]
+    return _cut(b, [c[order] for c in columns], side)
+
+
+def in_order(key: np.ndarray, columns: list[np.ndarray], many: int, side: int = 0) -> pa.RecordBatch:
+    """`dealt` by ascending hashes, which are the first column, before `columns`.
+
+    A step between neighbours takes as many bytes in many buckets as in few, since a bucket is a range of hashes.
+    """
+    return _cut(bucket_of(key, many), [key, *columns], side)
+
+
+def _cut(b: np.ndarray, columns: list[np.ndarray], side: int) -> pa.RecordBatch:
+    """A row for each of the ascending buckets b."""
     cut = np.flatnonzero(np.diff(b, prepend=-1)).tolist() + [len(b)]
-    columns = [c[order] for c in columns]
     parts = [pack([c[lo:hi] for c in columns]) for lo, hi in zip(cut, cut[1:], strict=False)]
     which = b[cut[:-1]].astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.full(len(which), side, np.int32)), pa.array(parts, pa.binary())], ["bucket", "side", "pack"])

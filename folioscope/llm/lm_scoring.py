@@ -33,6 +33,8 @@ TOKENS, SCORED = 1_000_000, 300_000
 _U = np.uint64
 _END = _U(0xE19D5C1C3B5A0D27)
 _ROOT, _NEXT = _U(0x243F6A8885A308D3), _U(0x9E3779B97F4A7C15)
+_AFTER = 0xA0761D6478BD642F
+_BEFORE = _U(pow(_AFTER, -1, 1 << 64))
 
 
 def longer(state: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -42,7 +44,12 @@ def longer(state: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def entry(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """The key of a symbol after a state."""
-    return B.mix((state ^ _NEXT) * _U(0xA0761D6478BD642F) + symbol)
+    return B.mix((state ^ _NEXT) * _U(_AFTER) + symbol)
+
+
+def state_of(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The state whose `entry` with a symbol has this key."""
+    return (B.unmix(key) - symbol) * _BEFORE ^ _NEXT
 
 
 def _token_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,25 +171,26 @@ class Tree:
     buckets: int
 
 
-def _counted(tokens: DataFrame, keys, hashed, kinds: int, many: int, least: int, schema: str) -> DataFrame:
-    """Counts of what `keys` finds in a block of tokens: `kinds` columns of hashes, and n of at least `least`.
+def _counted(tokens: DataFrame, keys, told, kinds: int, many: int, least: int, schema: str) -> DataFrame:
+    """Counts of what `keys` finds in a block of tokens, of at least `least`: what `told` tells of it, and n.
 
-    keys(h, place) gives the columns; hashed(*columns) is what they are counted and dealt by.
+    keys(h, place) gives `kinds` columns: first the hashes that are counted, in whose order packs are laid out, then what
+    else told(*columns) needs.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, h, place, _ in _blocks(batches, TOKENS):
-            cols = keys(h, place)
-            key = hashed(*cols)
+            key, *more = keys(h, place)
             if len(key):
                 at, n = P.summed(key, np.ones(len(key), dtype=np.int64))
-                yield P.dealt(key[at], [*(c[at] for c in cols), n], many)
+                yield P.in_order(key[at], [*(c[at] for c in more), n], many)
 
     def meet(packs: dict[int, list[bytes]]) -> pa.RecordBatch:
         *cols, n = P.columns(packs[0], (*(np.uint64,) * kinds, np.int64))
-        at, n = P.summed(hashed(*cols), n)
+        at, n = P.summed(cols[0], n)
         at, n = at[n >= least], n[n >= least]
-        return pa.RecordBatch.from_arrays([pa.array(c[at].view(np.int64)) for c in cols] + [pa.array(n)], [f.split()[0] for f in schema.split(", ")])
+        cols = told(*(c[at] for c in cols))
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols] + [pa.array(n)], [f.split()[0] for f in schema.split(", ")])
 
     return P.gathered(tokens.mapInArrow(count, P.SCHEMA), meet, schema)
 
@@ -200,16 +208,17 @@ def train(tokens: DataFrame, depth: int = DEPTH) -> Tree:
     tokens = tokens.select("tokens")
     # the number of tokens decides how many buckets there are
     many = P.buckets(tokens.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // 8)
-    words = table(_counted(tokens, lambda h, place: [h], lambda h: h, 1, many, 1, "key long, c long"), "words")
+    words = table(_counted(tokens, lambda h, place: [h], lambda h: [h], 1, many, 1, "key long, c long"), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = int(_END.view(np.int64))
     lower = words.where(F.col("c") >= ENTRY).select(F.col("key").alias("symbol"), ((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("lower"))
     made = words.where((F.col("c") >= CONTEXT) & (F.col("key") != end))
     made = table(made.select("key", "c").mapInArrow(_first_states, _STATES), "states")
     states, entries = [], []
-    seen = None
+    # pairs are counted after words that may be contexts only
+    seen = (None, _filter(made.select("key"), made.count()))
     for k in range(1, depth + 1):
-        pairs = table(_counted(tokens, _pairs(k, seen), entry, 2, many, ENTRY, "state long, symbol long, n long"), "pairs")
+        pairs = table(_counted(tokens, _pairs(k, *seen), lambda key, symbol: [state_of(key, symbol), symbol], 2, many, ENTRY, "state long, symbol long, n long"), "pairs")
         taken = pairs.groupBy("state").agg(F.sum(F.col("n") - DISCOUNT).alias("taken"))
         told = made.join(beside(taken), made["key"] == taken["state"]).drop("state")
         told = table(told.withColumn("beta", 1 - F.col("taken") / F.col("c")), "states")
@@ -242,7 +251,7 @@ def train(tokens: DataFrame, depth: int = DEPTH) -> Tree:
             made = table(grown.join(beside(states[-1].select(F.col("key").alias("parent"))), "parent", "left_semi").select(_STATE), "states")
             after = full.select("state", "symbol").mapInArrow(_entry_keys, "key long")
             seen = (_filter(after, full.count()), _filter(made.select("key"), made.count()))
-    return _kept(n, v, words, states, entries, many)
+    return _kept(n, v, words, states, entries)
 
 
 _STATE = ["key", "parent", "c", *(f"w{i}" for i in range(1, DEPTH + 1))]
@@ -285,23 +294,26 @@ def _entry_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(entry(_column(batch, "state"), _column(batch, "symbol")).view(np.int64))], ["key"])
 
 
-def _pairs(k: int, seen: tuple[Filter, Filter] | None):
-    """Occurrences of a symbol after the k words before it, where the filters of the shorter contexts allow it."""
+def _pairs(k: int, follows: Filter | None, made: Filter):
+    """Occurrences of a symbol after the k words before it, where the filters allow it: entry key and symbol.
+
+    follows: entries of the contexts one word shorter; made: the contexts of k words.
+    """
 
     def keys(h: np.ndarray, place: np.ndarray):
         shorter = state = None
         for here in contexts(h, place, k):
             shorter, state = state, here
         at = np.flatnonzero(place >= k)
-        if seen is not None:
-            at = at[seen[0].has(entry(shorter[at], h[at]))]
-            at = at[seen[1].has(state[at])]
-        return [state[at], h[at]]
+        if follows is not None:
+            at = at[follows.has(entry(shorter[at], h[at]))]
+        at = at[made.has(state[at])]
+        return [entry(state[at], h[at]), h[at]]
 
     return keys
 
 
-def _kept(n: int, v: int, words: DataFrame, states: list[DataFrame], entries: list[DataFrame], many: int) -> Tree:
+def _kept(n: int, v: int, words: DataFrame, states: list[DataFrame], entries: list[DataFrame]) -> Tree:
     """Prune the tree, and lay out what scoring adds up."""
     need = None
     for k in range(len(states) - 1, -1, -1):
@@ -321,7 +333,10 @@ def _kept(n: int, v: int, words: DataFrame, states: list[DataFrame], entries: li
         values = values.unionByName(more)
     values = table(values.select("key", "side", "v", (F.col("c") >= max(1.0, HEAVY * n)).alias("big")), "values")
     big = F.col("big")
-    known = _filter(values.select("key"), values.count())
+    rows = values.count()
+    known = _filter(values.select("key"), rows)
+    # three numbers each; far fewer buckets than counting takes, so a text's keys meet in fewer and have fewer sums to bring back
+    many = P.buckets(3 * rows)
     heavy = [_heavy(values.where(big & (F.col("side") == side)), "v") for side in (0, 1)]
     packed = table(values.where(~big).select("key", "side", "v").mapInArrow(_packed_values(many), P.SCHEMA), "packed")
     drop(words, values)
@@ -335,7 +350,10 @@ def _entry_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _found(tree: Tree):
-    """Packs: of side 1 the keys that are left for the join, of side 2 what the heavy part adds to each row."""
+    """Packs: of side 1 the keys that are left for the join, of side 2 what the heavy part adds to each row.
+
+    A block has one pack for each bucket, with all its keys in order, and one for its rows.
+    """
     known, words, heavy, many, depth = tree.known, tree.heavy_words, tree.heavy, tree.buckets, len(tree.states)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,11 +365,10 @@ def _found(tree: Tree):
                 """Sums and numbers of values per row of tokens `at`; keys that may be elsewhere go on.  None of those is common."""
                 hit, v = table.find(key)
                 here, key, of = row[at[hit]], key[~hit], row[at[~hit]]
-                if len(key):
-                    packs.append(P.dealt(key, [rid[of], key], many, 1))
+                left.append((key, rid[of]))
                 return np.bincount(here, v, len(rid)), np.bincount(here, minlength=len(rid))
 
-            packs: list[pa.RecordBatch] = []
+            left: list[tuple[np.ndarray, np.ndarray]] = []
             at = np.flatnonzero(known.has(h))
             base, seen = look(h[at], at, words)
             model = base.copy()
@@ -370,8 +387,12 @@ def _found(tree: Tree):
                 follows[:] = False
                 follows[at] = True
                 model += look(key, at, heavy)[0]
-            yield from packs
-            yield P.dealt(B.mix(rid.view(np.uint64)), [rid, size.astype(np.int64), seen.astype(np.int64), base, model], many, 2)
+            key, of = (np.concatenate(c) for c in zip(*left, strict=True))
+            if len(key):
+                by = np.argsort(key)
+                yield P.in_order(key[by], [of[by]], many, 1)
+            together = np.repeat(B.mix(rid[:1].view(np.uint64)), len(rid))
+            yield P.dealt(together, [rid, size.astype(np.int64), seen.astype(np.int64), base, model], many, 2)
 
     return run
 
@@ -425,16 +446,14 @@ def _joined(many: int):
             order = np.argsort(key)
             key, v, word = key[order], v[order], word[order]
             for some in _together(packs[1]):
-                rid, k = P.columns(some, (np.int64, np.uint64))
-                # looked up in order, which spares most of the time that a search through a large table takes
-                by = np.argsort(k)
-                at = np.empty(len(k), dtype=np.int64)
-                at[by] = np.minimum(np.searchsorted(key, k[by]), len(key) - 1)
-                ok = key[at] == k
-                at, rid = at[ok], rid[ok]
-                if not len(rid):
+                # a pack's keys are in order, which spares most of the time that a search through a large table takes
+                k, rid = P.columns(some, (np.uint64, np.int64))
+                at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+                ok = np.flatnonzero(key[at] == k)
+                if not len(ok):
                     continue
-                # a pack's rows are in order
+                ok = ok[np.argsort(rid[ok])]
+                at, rid = at[ok], rid[ok]
                 first = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
                 add = lambda x: np.add.reduceat(x, first)
                 out.append([rid[first], np.zeros(len(first), np.int64), add(word[at]), add(v[at] * word[at]), add(v[at])])

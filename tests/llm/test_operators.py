@@ -284,6 +284,46 @@ def test_lm_against_brute_force(spark, monkeypatch, heavy):
         assert sum(lm_probability(model, history, x) for x in c) + unseen == pytest.approx(1)
 
 
+def test_lm_packs_of_a_block(spark, monkeypatch):
+    """A block's keys go to a bucket in one pack, however many lengths of context they are of, and its rows in one."""
+    monkeypatch.setattr(lm_scoring, "HEAVY", 0.5)
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        w = [0, 1]
+        while len(w) < 300:
+            w.append((w[-1] + w[-2]) % 9 if rng.random() < 0.8 else rng.randrange(9))
+        rows.append((i, " ".join(f"v{x}" for x in w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens = lm_scoring.tokenize(docs.coalesce(1))
+    tree = lm_scoring.train(tokens)
+    assert tree.entries[1].count()
+    # as many as the values need, not the tokens
+    monkeypatch.setattr(_packs, "BUCKET", 100)
+    values = tree.v + sum(t.count() for t in [*tree.states, *tree.entries])
+    tree = lm_scoring.train(tokens)
+    assert tree.buckets == _packs.buckets(3 * values) < _packs.buckets(tree.n)
+    packs = tokens.select("rid", "tokens").coalesce(1).mapInArrow(lm_scoring._found(tree), _packs.SCHEMA).groupBy("side", "bucket").count().collect()
+    assert sorted((r["side"], r["count"]) for r in packs) == [(1, 1)] * tree.buckets + [(2, 1)]
+
+
+def test_packs_in_order_do_not_grow_with_buckets():
+    """Counts by key, dealt in order, take as many bytes in five hundred buckets as in eight, but for a tenth."""
+    rng = np.random.default_rng(5)
+    state, symbol = (rng.integers(0, 1 << 64, 2000, dtype=np.uint64)[(2000 * rng.random(300_000) ** 3).astype(int)] for _ in range(2))
+    key = lm_scoring.entry(state, symbol)
+    assert (lm_scoring.state_of(key, symbol) == state).all()
+    at, n = _packs.summed(key, np.ones(len(key), dtype=np.int64))
+    size = {}
+    for many in (8, 500):
+        batch = _packs.in_order(key[at], [symbol[at], n], many)
+        got = _packs.columns(batch.column("pack").to_pylist(), (np.uint64, np.uint64, np.int64))
+        assert all((g == c).all() for g, c in zip(got, (key[at], symbol[at], n), strict=True))
+        assert batch.column("bucket").to_pylist() == sorted(set(_packs.bucket_of(key, many).tolist()))
+        size[many] = sum(map(len, _packs.in_order(key[at], [n], many).column("pack").to_pylist()))
+    assert size[500] < 1.1 * size[8]
+
+
 def test_lm_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     tokens = lm_scoring.tokenize(docs)

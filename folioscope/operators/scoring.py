@@ -25,21 +25,26 @@ def match_entries(gold: DataFrame, pred: DataFrame, ignore_numbers: bool = False
     return g.join(p, ["doc_id", "k", "rn"], "inner")
 
 
-def score_outlines(gold: DataFrame, pred: DataFrame, ignore_numbers: bool = False) -> DataFrame:
-    """One row per document of gold that has predictions: METRICS; null where a metric has nothing to measure."""
+def score_outlines(gold: DataFrame, pred: DataFrame, ignore_numbers: bool = False, missing_is_miss: bool = True) -> DataFrame:
+    """One row per document of gold that has predictions: METRICS; null where a metric has nothing to measure.
+
+    A gold page that the matched prediction has none for is a miss.  With missing_is_miss false page accuracy is null, not
+    0, in a document where all of them are so; SQL's sum over nulls is.
+    """
     m = match_entries(gold, pred, ignore_numbers).groupBy("doc_id").agg(
         F.count("*").alias("m"),
         F.count_if(F.col("level") == F.col("p_level")).alias("lv"),
         F.count("printed_page").alias("pg"),
         F.count_if(F.col("printed_page") == F.col("p_printed")).alias("pk"),
+        F.count_if(F.col("printed_page").isNotNull() & F.col("p_printed").isNotNull()).alias("pb"),
     )
     n = gold.groupBy("doc_id").agg(F.count("*").alias("ng")).join(pred.groupBy("doc_id").agg(F.count("*").alias("np")), "doc_id")
-    s = n.join(m, "doc_id", "left").fillna(0, ["m", "lv", "pg", "pk"])
+    s = n.join(m, "doc_id", "left").fillna(0, ["m", "lv", "pg", "pk", "pb"])
     p, r = F.col("m") / F.col("np"), F.col("m") / F.col("ng")
     return s.select(
         "doc_id", p.alias("precision"), r.alias("recall"),
         F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"),
-        F.try_divide("lv", "m").alias("level_accuracy"), F.try_divide("pk", "pg").alias("page_accuracy"),
+        F.try_divide("lv", "m").alias("level_accuracy"), F.when(F.lit(missing_is_miss) | (F.col("pb") > 0), F.try_divide("pk", "pg")).alias("page_accuracy"),
     )
 
 

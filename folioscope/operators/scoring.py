@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.scratch import table
 
 METRICS = ("precision", "recall", "f1", "level_accuracy", "page_accuracy")
 TIE = 1e-12
@@ -82,7 +83,9 @@ def bootstrap(pairs: DataFrame, resamples: int = 10_000, confidence: float = 0.9
     halving: a range of blocks passes a binomial share of its draws to its first half.  Within a block its documents
     are drawn one by one.  That is the multinomial at every size; its generators are seeded by the range or block, so
     the result depends on the documents and `most` only, not on partitions or batches.  Null for fewer than two documents.
+    The pairs are stored first, since they are read four times.
     """
+    pairs = table(pairs, "pairs")
     n = pairs.groupBy("metric").count().agg(F.max("count")).first()[0] or 0
     levels = max(0, math.ceil(math.log2(max(n, 1) / most)))
     blocks = 1 << levels

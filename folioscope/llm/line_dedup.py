@@ -165,7 +165,7 @@ def _align(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = [common_blocks(a, b, min_words) for a, b in zip(_rows(batch.column("mine")), _rows(batch.column("theirs")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("q"), pa.array(hit, pa.list_(pa.int32()))], ["q", "gone"])
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("copy"), pa.array(hit, pa.list_(pa.int32()))], ["q", "copy", "gone"])
 
     return run
 
@@ -234,9 +234,8 @@ def _removed(keyed: DataFrame, min_words: int) -> DataFrame:
     hot = table(many.where(F.col("n") >= F.lit(HOT * max(pairs.count(), 1))).select("p").join(theirs, "p"), "partners")
     found = pairs.join(beside(mine), "q")
     found = found.join(checked(hot), "p").unionByName(found.join(checked(hot).select("p"), "p", "left_anti").join(beside(theirs), "p"))
-    found = found.select((F.col("p") == F.col("q")).alias("copy"), "q", "mine", "theirs")
-    hits = [found.where(c).select("q", "mine", "theirs").mapInArrow(_align(min_words), "q long, gone array<int>") for c in ("copy", "not copy")]
-    hits = hits[0].withColumn("copy", F.lit(True)).union(hits[1].withColumn("copy", F.lit(False))).where(F.size("gone") > 0)
+    found = found.select("q", (F.col("p") == F.col("q")).alias("copy"), "mine", "theirs")
+    hits = found.mapInArrow(_align(min_words), "q long, copy boolean, gone array<int>").where(F.size("gone") > 0)
     hits = table(hits.groupBy("q", "copy").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("at")), "hits")
     gone = held.select("d", "t1", "nos", "q").join(beside(seqs.select("q", "f")), "q").withColumn("copy", F.col("d") > F.col("f"))
     gone = gone.join(beside(hits), ["q", "copy"])

@@ -245,15 +245,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = table(lead, "leaders")
     pairs = member.join(beside(lead), "key").where("node <> lead").select("lead", "ln", "lprofile", "node", "n", "profile").distinct()
     links = _links(pairs.mapInArrow(_leader_pairs, "a long, b long").distinct(), classes, keyed)
-    for rounds in range(NEAREST_ROUNDS + 1):
-        joined = table(components(links).withColumnsRenamed({"node": "x", "component": "c"}), "joined")
+    none = classes.sparkSession.createDataFrame([], "a long, b long")
+    joined = table(components(none if links is None else links).withColumnsRenamed({"node": "x", "component": "c"}), "joined")
+    left = [True] * NEAREST_ROUNDS + [False]
+    while left:
+        nearest = left.pop(0)
         rows = member.join(beside(joined), F.col("node") == F.col("x"), "left")
         rows = rows.select("key", "size", "node", "n", "profile", F.coalesce("c", "node").alias("comp"))
         mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         rows = dealt(rows.join(beside(mixed), "key", "left_semi"), ["key"], "node", BLOCK)
-        found = grouped(rows, ["key", "p1", "p2"], _block_pairs(rounds < NEAREST_ROUNDS), "a long, b long").distinct()
-        links = table(links.union(_links(found, classes, keyed)), "linked")
-    joined = components(links)
+        found = grouped(rows, ["key", "p1", "p2"], _block_pairs(nearest), "a long, b long").distinct()
+        links = _links(found, classes, keyed)
+        if links is None:
+            # nothing has changed, so another round of this kind would look at the same pairs
+            left = [r for r in left if r != nearest]
+            continue
+        # what is known of the components goes on as stars
+        links = joined.select(F.col("x").alias("a"), F.col("c").alias("b")).union(links)
+        joined = table(components(links).withColumnsRenamed({"node": "x", "component": "c"}), "joined")
+    joined = joined.withColumnsRenamed({"x": "node", "c": "component"})
     named = classes.select("node", "d").join(joined, "node", "left").select("d", "node", F.coalesce("component", "node").alias("component"))
     best = named.groupBy("component").agg(F.min("d").alias("best"))
     named = table(named.join(best, "component").where("best < d or component <> node").select("node", "best"), "named")
@@ -269,15 +279,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def _links(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The pairs of nodes whose texts align."""
+def _links(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame | None:
+    """The pairs of nodes whose texts align; None for no pairs or no such."""
     pairs = table(pairs, "pairs")
+    if pairs.isEmpty():
+        return None
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     need = table(classes.select("node", "d", "t1").join(nodes, "node"), "needed")
     texts = keyed.join(beside(need), ["d", "t1"]).select("node", "text")
     seqs = table(texts.mapInArrow(_sequences, "node long, seq binary").dropDuplicates(["node"]), "sequences")
     one, two = seqs.toDF("a", "sa"), seqs.toDF("b", "sb")
-    return table(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"), "links")
+    links = table(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"), "links")
+    return None if links.isEmpty() else links
 
 
 def op7_near(spark, sf_dir):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import _bytes as B
 from folioscope.llm._blocks import dealt, grouped
-from folioscope.llm._common import NO_ID, beside, components, table, text_hash
+from folioscope.llm._common import NO_ID, at_hand, beside, components, table, text_hash
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = [True] * NEAREST_ROUNDS + [False]
     while left:
         nearest = left.pop(0)
-        rows = member.join(beside(joined), F.col("node") == F.col("x"), "left")
+        rows = member.join(at_hand(joined), F.col("node") == F.col("x"), "left")
         rows = rows.select("key", "size", "node", "n", "profile", F.coalesce("c", "node").alias("comp"))
         mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         rows = dealt(rows.join(beside(mixed), "key", "left_semi"), ["key"], "node", BLOCK)
@@ -285,9 +285,11 @@ def _links(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame
     if pairs.isEmpty():
         return None
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = table(classes.select("node", "d", "t1").join(nodes, "node"), "needed")
-    texts = keyed.join(beside(need), ["d", "t1"]).select("node", "text")
+    # few nodes go to the texts, not all texts to the nodes
+    need = table(classes.select("node", "d", "t1").join(at_hand(table(nodes, "nodes")), "node"), "needed")
+    texts = keyed.join(at_hand(need), ["d", "t1"]).select("node", "text")
     seqs = table(texts.mapInArrow(_sequences, "node long, seq binary").dropDuplicates(["node"]), "sequences")
+    seqs = at_hand(seqs)
     one, two = seqs.toDF("a", "sa"), seqs.toDF("b", "sb")
     links = table(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"), "links")
     return None if links.isEmpty() else links
